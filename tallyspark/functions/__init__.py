@@ -1 +1,64 @@
+"""Column expressions that operators are built of. All stay in the JVM."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def zero(c: str | Column) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(c.cast("double"), F.lit(0.0))
+
+
+def base_amount() -> Column:
+    """The larger of debit and credit; what isn't a number counts as 0."""
+    return F.greatest(zero("debit_amount"), zero("credit_amount"))
+
+
+def plain(c: str | Column) -> Column:
+    """Trimmed and lower-cased; null for null."""
+    return F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
+
+
+def blank(c: str | Column) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return c.isNull() | (F.trim(c.cast("string")) == "")
+
+
+def robust_z(x: Column, med: Column, mad: Column, iqr: Column) -> Column:
+    """(x - median) over the MAD, else over the interquartile range, else by a Poisson spread, else x itself up to 10."""
+    return F.when(mad > 0, 0.6745 * (x - med) / mad).when(iqr > 0, (x - med) / (iqr / 1.349)).when(med > 0, (x - med) / F.sqrt(med)).otherwise(F.least(x, F.lit(10.0)))
+
+
+def to_number(c: Column) -> Column:
+    """Amounts as people write them: currency signs, thousands separators, parentheses or a trailing minus for negative; null if it is none."""
+    t = F.regexp_replace(F.trim(c.cast("string")), "[​﻿₩$€£¥,\\s]", "")
+    t = F.regexp_replace(t, r"^\((.*)\)\z", r"-$1")
+    t = F.regexp_replace(t, r"^([0-9.]+)-\z", r"-$1")
+    return F.when(~F.lower(t).isin("", "-", "nan", "null", "none", "n/a"), t.try_cast("double"))
+
+
+def to_date(c: Column) -> Column:
+    """Dates in the usual formats, and day numbers of spreadsheets."""
+    s = F.trim(c.cast("string"))
+    tries = [F.try_to_timestamp(s, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd", "dd.MM.yyyy", "MM/dd/yyyy")]
+    serial = F.when(s.rlike(r"^[0-9]{5}(\.[0-9]+)?\z"), F.timestamp_seconds((s.try_cast("double") - 25569) * 86400))
+    return F.coalesce(*tries, serial)
+
+
+def to_flag(c: Column) -> Column:
+    """Truth values as people write them; null if it is none."""
+    s = plain(c.cast("string"))
+    return F.when(s.isin("true", "t", "yes", "y", "1", "1.0", "x"), True).when(s.isin("false", "f", "no", "n", "0", "0.0", ""), False)
+
+
+def ecdf(df: DataFrame, value: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """The share of rows (of each group) whose value is at most the row's own, zeros and nulls kept at 0 and left out of the base. Values are counted first, so
+    the running sum is over distinct values and is joined back."""
+    keys = keys or []
+    pos = F.col(value) > 0
+    counts = df.filter(pos).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    cum = counts.withColumn(name, F.sum("_c").over(w.orderBy(value)) / F.sum("_c").over(w)).drop("_c")
+    return df.join(cum, [*keys, value], "left").withColumn(name, F.when(pos, F.col(name)).otherwise(0.0))

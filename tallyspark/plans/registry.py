@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import analytics, ledger, problems, surface
 
-MODULES = (problems,)
+MODULES = (problems, ledger, analytics, surface)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p5_found(spark, sf_dir)
+    return analytics.row_scores(spark, sf_dir)
