@@ -13,7 +13,7 @@ used, so the target recall holds at every size; no cell, bucket or partner list
 
 Candidates of a bucket are joined in the JVM by sort-merge; nearness and an upper bound of the similarity from bit sets of the
 shingles (exact: a bit that only one side has proves a shingle that only one side has) drop most of them before
-the shingle sets are compared. Records that are equal in all respects are one class and take part once; where pairs are
+the shingle sets are compared, many at a time, in a separate step (within the join the comparison would be evaluated first). Records that are equal in all respects are one class and take part once; where pairs are
 asked for, members are put in at the end.
 
 Defined results: texts are lower-cased, trimmed, runs of white space become one space; texts shorter than the shingle never pair;
@@ -146,8 +146,25 @@ def paths(deep: DataFrame, a: Alike) -> DataFrame:
     return deep.mapInArrow(run, schema)
 
 
-def shingle_set(text, k: int):
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, k)))
+def exact(candidates: DataFrame, a: Alike) -> DataFrame:
+    """Candidates (id_a, id_b, ta, tb) whose texts reach the similarity, by comparing the shingle sets, many pairs at a time."""
+    schema = T.StructType([candidates.schema["id_a"], candidates.schema["id_b"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                b = whole.slice(start, 2048)
+                n = b.num_rows
+                (ca, oa), (cb, ob) = (shingle_codes(b.column(k).to_pylist(), a.shingle) for k in (2, 3))
+                code, owner = np.concatenate([ca, cb]), np.concatenate([oa, ob])
+                order = np.lexsort((code, owner))
+                code, owner = code[order], owner[order]
+                twice = (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])
+                common = np.bincount(owner[1:][twice], minlength=n)
+                either = np.bincount(owner, minlength=n) - common
+                yield pa.RecordBatch.from_arrays(b.columns[:2], names=schema.names).filter(pa.array(common >= a.similarity * either))
+
+    return candidates.mapInArrow(run, schema)
 
 
 def alike_pairs(records: DataFrame, a: Alike = Alike()) -> DataFrame:  # noqa: B008
@@ -180,11 +197,8 @@ def _verified(keyed: DataFrame, a: Alike) -> DataFrame:
     both = F.least(col("x", "shingles") - only("x", "y"), col("y", "shingles") - only("y", "x"))
     may = both * (1 + a.similarity) >= a.similarity * (col("x", "shingles") + col("y", "shingles"))
     near = (F.abs(col("x", "day") - col("y", "day")) <= a.days) & (F.abs(col("x", "amount") - col("y", "amount")) <= a.amount * F.greatest(col("x", "amount"), col("y", "amount")))
-    c = x.join(y, (col("x", "key") == col("y", "key")) & (col("x", "id") < col("y", "id")) & near & (col("x", "grp") == col("y", "grp")) & may)
-    c = c.select(col("x", "id").alias("id_a"), col("y", "id").alias("id_b"), col("x", "text").alias("ta"), col("y", "text").alias("tb"), (col("x", "shingles") + col("y", "shingles")).alias("n"))
-    common = F.size(F.array_intersect(shingle_set(F.col("ta"), a.shingle), shingle_set(F.col("tb"), a.shingle)))
-    same = F.when(F.col("ta") == F.col("tb"), True).otherwise(common >= a.similarity * (F.col("n") - common))
-    return c.filter(same).select("id_a", "id_b")
+    c = x.join(y, (col("x", "key") == col("y", "key")) & near & may & (col("x", "id") < col("y", "id")) & (col("x", "grp") == col("y", "grp")))
+    return exact(c.select(col("x", "id").alias("id_a"), col("y", "id").alias("id_b"), col("x", "text").alias("ta"), col("y", "text").alias("tb")), a)
 
 
 def ledger_documents(gl: DataFrame) -> DataFrame:
