@@ -65,7 +65,7 @@ def psi_categorical(before: DataFrame, after: DataFrame, column: str, k: int = 1
 def _psi(a: DataFrame, b: DataFrame, key: str, eps: float) -> DataFrame:
     j = a.join(b, key, "full").na.fill(0, ["a", "b"])
     w = Window.partitionBy()  # over bins
-    pa, pb = (F.greatest(F.col(c) / F.sum(c).over(w), F.lit(eps)) for c in "ab")
+    pa, pb = (F.greatest(F.try_divide(F.col(c), F.sum(c).over(w)), F.lit(eps)) for c in "ab")
     return j.select(((pb - pa) * F.log(pb / pa)).alias("t")).agg(F.sum("t").alias("psi"))
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_or_shuffled, written
+from ..session import small_or_shuffled
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def orphans(child: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
     c = child.select(F.col(ref.row_id).alias("row_id"), plain_key(F.col(ref.key)).alias("key"), F.col(ref.created).alias("created"), F.col(ref.period).alias("period"))
     status = F.lower(F.regexp_replace(F.col("status"), r"\s+", "")) if "status" in parent.columns else F.lit(None).cast("string")
     p = parent.select(plain_key(F.col(ref.parent_key)).alias("key"), status.alias("status"), F.col(ref.created).alias("created"))
-    bad = small_or_shuffled(written(failing_keys(c, p), f"failing-{ref.table}"))
+    bad = small_or_shuffled(failing_keys(c, p))
     hit = c.filter("key is not null").join(bad, "key")
     late = (F.col("state") != "late") | (F.col("created") < F.col("valid_from"))
     return hit.filter(late).select(

@@ -89,16 +89,17 @@ def concentration(gl: DataFrame, unit: str = "month", s: Settings = DEFAULT) ->
     return j.withColumn("z", z).filter((F.col("z") >= s.concentration_z) & (F.col("docs") >= s.concentration_docs) & (F.col("buckets") >= 3)).select("gl_account", "year", "bucket", "docs", "z")
 
 
-def partner_signals(gl: DataFrame, year: int, s: Settings = DEFAULT) -> DataFrame:
-    """(partner, signal): first seen in the year, dormant before it (not in the year before, the gap at least dormant_days), or rare (as few lines as the lowest tenth of at least 50 partners)."""
-    p = gl.filter(~blank("trading_partner") & F.col("posting_date").isNotNull()).select(F.trim("trading_partner").alias("partner"), F.year("posting_date").alias("y"), F.col("posting_date").cast("date").alias("d"))
+def partner_signals(gl: DataFrame, since, recent, s: Settings = DEFAULT) -> DataFrame:
+    """(partner, signal, lines) of the period from `since` on: first seen in it; dormant before it (seen earlier, but not since `recent`, the gap at least dormant_days); or rare (as few
+    lines as the lowest tenth of at least 50 partners)."""
+    p = gl.filter(~blank("trading_partner") & F.col("posting_date").isNotNull()).select(F.trim("trading_partner").alias("partner"), F.col("posting_date").cast("date").alias("d"))
+    now, before, late = F.col("d") >= F.lit(since), F.col("d") < F.lit(since), (F.col("d") < F.lit(since)) & (F.col("d") >= F.lit(recent))
     g = p.groupBy("partner").agg(
-        F.count(F.when(F.col("y") == year, 1)).alias("now"), F.count(F.when(F.col("y") < year, 1)).alias("before"), F.count(F.when(F.col("y") == year - 1, 1)).alias("last_year"),
-        F.min(F.when(F.col("y") == year, F.col("d"))).alias("first_now"), F.max(F.when(F.col("y") < year, F.col("d"))).alias("last_before"),
+        F.count(F.when(now, 1)).alias("now"), F.count(F.when(before, 1)).alias("before"), F.count(F.when(late, 1)).alias("last"), F.min(F.when(now, F.col("d"))).alias("first_now"), F.max(F.when(before, F.col("d"))).alias("last_before"),
     ).filter("now > 0")
     q = g.agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile(now, {s.rare_quantile})").alias("q")).first()
     rare = (F.col("now") <= q["q"]) if q["n"] >= 50 else F.lit(False)
-    dormant = (F.col("before") > 0) & (F.col("last_year") == 0) & (F.datediff("first_now", "last_before") >= s.dormant_days)
+    dormant = (F.col("before") > 0) & (F.col("last") == 0) & (F.datediff("first_now", "last_before") >= s.dormant_days)
     tags = F.array_compact(F.array(F.when(F.col("before") == 0, F.lit("first_seen")), F.when(dormant, F.lit("dormant")), F.when(rare, F.lit("rare"))))
     return g.select("partner", F.explode(tags).alias("signal"), F.col("now").alias("lines"))
 
@@ -109,29 +110,26 @@ def partner_summary(gl: DataFrame) -> DataFrame:
     return g
 
 
-def activity_shift(gl: DataFrame, year: int, s: Settings = DEFAULT) -> DataFrame:
-    """Accounts whose total, count and average moved against the year before: 0.5, 0.3 and 0.2 of the relative changes add up to more than the threshold, or that are new."""
+def activity_shift(current: DataFrame, prior: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Accounts whose total, count and average moved against the prior period: 0.5, 0.3 and 0.2 of the relative changes add up to more than the threshold, or that are new."""
     b = base_amount()
-    side = lambda y, p: gl.filter((F.col("fiscal_year") == y) & ~blank("gl_account")).groupBy("gl_account").agg(F.sum(b).alias(f"{p}total"), F.count(F.lit(1)).alias(f"{p}n"), F.avg(b).alias(f"{p}avg"))
-    j = side(year, "").join(side(year - 1, "p_"), "gl_account", "left")
+    side = lambda gl, p: gl.filter(~blank("gl_account")).groupBy("gl_account").agg(F.sum(b).alias(f"{p}total"), F.count(F.lit(1)).alias(f"{p}n"), F.avg(b).alias(f"{p}avg"))
+    j = side(current, "").join(side(prior, "p_"), "gl_account", "left")
     rel = lambda c: F.abs(F.col(c) - F.col(f"p_{c}")) / F.greatest(F.abs(F.col(f"p_{c}")), F.lit(1.0))
-    score = F.when(F.col("p_n").isNull(), F.lit(None).cast("double")).otherwise(0.5 * rel("total") + 0.3 * rel("n") + 0.2 * rel("avg"))
+    score = F.when(F.col("p_n").isNotNull(), 0.5 * rel("total") + 0.3 * rel("n") + 0.2 * rel("avg"))
     return j.withColumn("score", score).withColumn("is_new", F.col("p_n").isNull()).filter(F.col("is_new") | (F.col("score") > s.shift_activity)).select("gl_account", "n", "score", "is_new")
 
 
-def shape_shift(gl: DataFrame, year: int, least: int = 100, s: Settings = DEFAULT) -> DataFrame:
-    """Accounts whose spread of documents over the months differs from the year before: Jensen-Shannon distance (base e, a square root) above the threshold and the top month's share
-    moved by at least shift_top, given enough documents in both years."""
-    x = gl.filter(F.col("fiscal_year").isin(year, year - 1) & ~blank("gl_account") & F.col("posting_date").isNotNull())
-    g = x.groupBy("gl_account", "fiscal_year", F.month("posting_date").alias("m")).agg(F.count_distinct("document_id").alias("c"))
-    p = g.groupBy("gl_account").agg(*(F.sum(F.when((F.col("fiscal_year") == y) & (F.col("m") == m), F.col("c")).otherwise(0)).alias(f"{k}{m}") for k, y in (("a", year), ("b", year - 1)) for m in range(1, 13)))
-    tot = lambda k: sum((F.col(f"{k}{m}") for m in range(1, 13)), F.lit(0))
-    p = p.withColumns({"na": tot("a"), "nb": tot("b")}).filter((F.col("na") >= least) & (F.col("nb") >= least))
-    sh = lambda k, m: F.col(f"{k}{m}") / F.col(f"n{k}")
-    kl = lambda k, m: F.when(sh(k, m) > 0, sh(k, m) * F.log(2 * sh(k, m) / (sh("a", m) + sh("b", m)))).otherwise(0.0)
-    js = sum((kl("a", m) + kl("b", m) for m in range(1, 13)), F.lit(0.0)) / 2
-    top = lambda k: F.greatest(*(sh(k, m) for m in range(1, 13)))
-    return p.select("gl_account", "na", "nb", F.sqrt(F.greatest(js, F.lit(0.0))).alias("distance"), F.abs(top("a") - top("b")).alias("top_shift")).filter((F.col("distance") > s.shift_shape) & (F.col("top_shift") >= s.shift_top))
+def shape_shift(current: DataFrame, prior: DataFrame, bucket: Column, least: int = 100, s: Settings = DEFAULT) -> DataFrame:
+    """Accounts whose spread of documents over the buckets (months, say) differs from the prior period: Jensen-Shannon distance (base e, a square root) above the threshold and the top bucket's
+    share moved by at least shift_top, given enough documents in both."""
+    docs = lambda gl, a, b: gl.filter(~blank("gl_account") & F.col("posting_date").isNotNull()).groupBy("gl_account", bucket.alias("m")).agg(F.count_distinct("document_id").alias("c")).select("gl_account", "m", (F.col("c") * a).alias("a"), (F.col("c") * b).alias("b"))
+    g = docs(current, 1, 0).unionByName(docs(prior, 0, 1)).groupBy("gl_account", "m").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    t = g.groupBy("gl_account").agg(F.sum("a").alias("na"), F.sum("b").alias("nb")).filter((F.col("na") >= max(1, least)) & (F.col("nb") >= max(1, least)))
+    x = g.join(t, "gl_account").withColumns({"p": F.try_divide("a", "na"), "q": F.try_divide("b", "nb")})
+    kl = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log(2 * F.col(c) / (F.col("p") + F.col("q")))).otherwise(0.0)
+    r = x.groupBy("gl_account", "na", "nb").agg((F.sum(kl("p") + kl("q")) / 2).alias("js"), F.abs(F.max("p") - F.max("q")).alias("top_shift"))
+    return r.select("gl_account", "na", "nb", F.sqrt(F.greatest("js", F.lit(0.0))).alias("distance"), "top_shift").filter((F.col("distance") > s.shift_shape) & (F.col("top_shift") >= s.shift_top))
 
 
 def trend(gl: DataFrame, unit: str = "quarter", share: float = 0.7, least: int = 3) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import base_amount, blank, plain, zero
-from ..session import small_or_shuffled
+from ..session import small_or_shuffled, written
 from . import features as X
 
 REQUIRED = ("document_id", "company_code", "fiscal_year", "fiscal_period", "posting_date", "document_date", "document_type", "gl_account")
@@ -25,61 +25,74 @@ def flags(df: DataFrame, rule: str, score: Column | float = 1.0) -> DataFrame:
     return df.select("row_id", F.lit(rule).alias("rule_id"), (score if isinstance(score, Column) else F.lit(float(score))).cast("double").alias("score"))
 
 
-def unbalanced(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """All lines of documents whose debits and credits differ; a line without a document is its own document."""
-    doc = F.coalesce(F.col("document_id"), F.concat(F.lit("#"), F.col("row_id").cast("string")))
-    x = gl.withColumn("doc", doc)
-    off = x.groupBy("doc").agg(F.sum(zero("debit_amount") - zero("credit_amount")).alias("off")).filter(F.abs("off") > s.balance_tolerance)
-    return flags(x.join(off, "doc", "left_semi"), "L1-01")
-
-
-def missing_required(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    return flags(gl.filter(reduce(lambda a, b: a | b, (blank(c) for c in REQUIRED))), "L1-02")
-
-
 def chart_of_accounts(gl: DataFrame, least: int = 10) -> DataFrame:
     """Where no chart is given: well-formed accounts that at least `least` lines use."""
     return gl.filter(F.col("gl_account").rlike(r"^[0-9]{6}\z")).groupBy(F.col("gl_account").alias("account")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("account")
 
 
-def unknown_account(gl: DataFrame, chart: DataFrame) -> DataFrame:
-    return flags(gl.filter(~blank("gl_account")).join(small_or_shuffled(chart.distinct()), F.trim(F.col("gl_account")) == F.col("account"), "left_anti"), "L1-03")
-
-
-def self_approval(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    return flags(gl.filter((plain("created_by") == plain("approved_by")) & ~blank("created_by") & ~F.coalesce(plain("user_persona") == "automated_system", F.lit(False))), "L1-05")
-
-
 def human(s: Settings = DEFAULT) -> Column:
     return ~F.coalesce(plain("user_persona") == "automated_system", F.lit(False)) & ~F.coalesce(plain("source").isin(*s.automated_sources), F.lit(False)) & ~F.coalesce(F.upper("created_by").contains("SVC_"), F.lit(False)) & ~blank("created_by")
 
 
-def segregation(gl: DataFrame, pairs: tuple[tuple[str, str], ...] = (("P2P", "TRE"), ("O2C", "TRE"), ("P2P", "R2R")), s: Settings = DEFAULT) -> DataFrame:
-    """Lines of people who work in both processes of a forbidden pair, in either of them."""
-    x = gl.filter(human(s)).withColumn("user", plain("created_by"))
-    who = x.groupBy("user").agg(F.collect_set("business_process").alias("did"))  # bounded by the number of processes
-    hit = F.array_distinct(F.flatten(F.array(*(F.when(F.array_contains("did", a) & F.array_contains("did", b), F.array(F.lit(a), F.lit(b))).otherwise(F.array().cast("array<string>")) for a, b in pairs))))
-    who = who.select("user", hit.alias("hit")).filter(F.size("hit") > 0)
-    return flags(x.join(small_or_shuffled(who), "user").filter(F.array_contains("hit", F.col("business_process"))), "L1-06")
+#: Pairs of processes that one person should not work in.
+SEPARATE = (("P2P", "TRE"), ("O2C", "TRE"), ("P2P", "R2R"))
 
 
-def no_approval(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    return flags(gl.filter(blank("approved_by")), "L1-07")
+def held(df: DataFrame, tests: dict[str, Column], scores: dict[str, float] | None = None) -> DataFrame:
+    """The flags of several tests that are columns of one frame, in one pass."""
+    each = [F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(k).alias("rule_id"), F.lit((scores or {}).get(k, 1.0)).alias("score"))) for k, cond in tests.items()]
+    return df.select("row_id", F.explode(F.array_compact(F.array(*each))).alias("x")).select("row_id", "x.rule_id", "x.score")
 
 
-def unknown_approver(gl: DataFrame, employees: DataFrame) -> DataFrame:
-    known = employees.select(plain("user_id").alias("known")).filter("known is not null").distinct()
-    return flags(gl.filter(~blank("approved_by")).join(small_or_shuffled(known), plain("approved_by") == F.col("known"), "left_anti"), "L1-07-02")
+def document_tests(gl: DataFrame, employees: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Tests of a line against its document's totals, from one aggregation and one join: unbalanced (L1-01: all lines of the document; a line without a document is its own), over or just below the
+    approver's limit (L1-04, L2-01), and asset debits met by expense credits (L2-04: those lines, where the subtotals are within the tolerance)."""
+    d, c = zero("debit_amount"), zero("credit_amount")
+    asset, expense = X.starts(F.col("gl_account"), s.asset_prefixes), X.starts(F.col("gl_account"), s.expense_prefixes)
+    x = gl.select("row_id", "document_id", F.coalesce(F.col("document_id"), F.concat(F.lit("#"), F.col("row_id").cast("string"))).alias("doc"), d.alias("d"), c.alias("c"), asset.alias("asset"), expense.alias("expense"), plain("approved_by").alias("approver"))
+    docs = x.groupBy("doc").agg(F.sum(F.col("d") - F.col("c")).alias("off"), F.sum("d").alias("total"), F.sum(F.when(F.col("asset"), F.col("d")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("expense"), F.col("c")).otherwise(0.0)).alias("e"))
+    m = employees.filter(F.col("user_id").isNotNull()).groupBy(plain("user_id").alias("approver")).agg(F.max("approval_limit").alias("limit"), F.max("can_approve_je").alias("may"))
+    x = x.join(docs, "doc").join(small_or_shuffled(m), "approver", "left")
+    limit = F.when(F.col("may") == False, 0.0).otherwise(F.col("limit"))  # noqa: E712
+    total = F.when(F.col("document_id").isNotNull(), F.col("total"))
+    met = F.col("document_id").isNotNull() & (F.col("a") > 0) & (F.col("e") > 0) & (F.abs(F.col("a") - F.col("e")) <= s.duplicate_tolerance * F.greatest("a", "e"))
+    return held(x, {
+        "L1-01": F.abs("off") > s.balance_tolerance, "L1-04": total > limit, "L2-01": (total >= limit * s.near_ratio) & (total < limit),
+        "L2-04": met & ((F.col("asset") & (F.col("d") > 0)) | (F.col("expense") & (F.col("c") > 0))),
+    })
 
 
-def wrong_period(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    return flags(gl.filter(F.col("fiscal_period").between(1, 12) & (F.col("fiscal_period") != F.month("posting_date"))), "L1-08")
+def users(x: DataFrame, s: Settings = DEFAULT, pairs: tuple[tuple[str, str], ...] = SEPARATE) -> DataFrame:
+    """(user, hit, late_hot) of people, from lines with is_after_hours: the processes of forbidden pairs they work in, and whether their share of after-hours lines is far above that of others (mean + sigma times the
+    deviation over at least 3 people of 10 lines or more, and at least hours_ratio)."""
+    u = x.filter(human(s)).groupBy(plain("created_by").alias("user")).agg(F.collect_set("business_process").alias("did"), F.avg(F.col("is_after_hours").cast("double")).alias("ratio"), F.count(F.lit(1)).alias("n"))
+    u = written(u, "users")  # a set of processes per user is bounded by the number of processes
+    one = u.filter("n >= 10").agg(F.count(F.lit(1)).alias("n"), F.avg("ratio").alias("m"), F.coalesce(F.stddev_samp("ratio"), F.lit(0.0)).alias("s")).first()
+    hot = (F.col("n") >= 10) & (F.col("ratio") > one["m"] + s.hours_sigma * one["s"]) & (F.col("ratio") >= s.hours_ratio) if one["n"] >= 3 else F.lit(False)
+    none = F.array().cast("array<string>")
+    hit = F.array_distinct(F.flatten(F.array(*(F.when(F.array_contains("did", a) & F.array_contains("did", b), F.array(F.lit(a), F.lit(b))).otherwise(none) for a, b in pairs))))
+    return u.select("user", hit.alias("hit"), hot.alias("late_hot")).filter((F.size("hit") > 0) | F.col("late_hot"))
 
 
-def approvals(gl: DataFrame, employees: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Over the approver's limit (L1-04), or just below it (L2-01)."""
-    x = X.approval_features(gl, employees, s)
-    return flags(x.filter("exceeds_threshold"), "L1-04").unionByName(flags(x.filter("is_near_threshold"), "L2-01"))
+def thresholds(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Per company and year: the larger of 3.75 % of its result and 0.375 % of its revenue."""
+    signed = lambda prefixes, plus, minus: F.sum(F.when(X.starts(F.col("gl_account"), prefixes), zero(plus) - zero(minus)).otherwise(0.0))
+    per = gl.groupBy("company_code", "fiscal_year").agg(signed(s.revenue_prefixes, "credit_amount", "debit_amount").alias("rev"), signed(s.expense_prefixes, "debit_amount", "credit_amount").alias("exp"))
+    return per.select("company_code", "fiscal_year", F.greatest(F.abs(F.col("rev") - F.col("exp")) * 0.05 * 0.75, F.abs("rev") * 0.005 * 0.75).alias("pm")).filter("pm > 0")
+
+
+def lookup_tests(gl: DataFrame, employees: DataFrame, chart: DataFrame | None = None, s: Settings = DEFAULT, pairs: tuple[tuple[str, str], ...] = SEPARATE) -> DataFrame:
+    """Tests of a line against small tables, in one pass over the ledger: account not in the chart (L1-03), people in both processes of a forbidden pair (L1-06), unknown approver (L1-07-02), at least
+    material (L4-03), after-hours lines of people who post late unusually often (L4-05). Without a chart, accounts in use stand for it."""
+    x = X.time_features(gl, s)
+    chart = (chart_of_accounts(gl) if chart is None else chart.select("account").distinct()).withColumn("listed", F.lit(True))
+    known = employees.select(plain("user_id").alias("approver")).filter("approver is not null").distinct().withColumn("known", F.lit(True))
+    x = x.withColumns({"account": F.trim("gl_account"), "approver": plain("approved_by"), "user": F.when(human(s), plain("created_by")), "base": base_amount()})
+    x = x.join(small_or_shuffled(chart), "account", "left").join(small_or_shuffled(known), "approver", "left").join(small_or_shuffled(users(x.drop("user"), s, pairs)), "user", "left").join(small_or_shuffled(thresholds(gl, s)), ["company_code", "fiscal_year"], "left")
+    return held(x, {
+        "L1-03": ~blank("account") & F.col("listed").isNull(), "L1-06": F.array_contains("hit", F.col("business_process")), "L1-07-02": ~blank("approver") & F.col("known").isNull(), "L4-03": F.col("base") >= F.col("pm"),
+        "L4-05": F.col("is_after_hours") & F.col("late_hot"),
+    }, {"L4-05": 0.45})
 
 
 def documents(gl: DataFrame) -> DataFrame:
@@ -142,17 +155,6 @@ def duplicate_entries(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return flags(x.join(twice, key, "left_semi"), "L2-03")
 
 
-def capitalised_expense(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Documents with a debit of an asset account and a credit of an expense account whose subtotals are within the tolerance."""
-    g = gl.filter("document_id is not null").groupBy("document_id").agg(
-        F.sum(F.when(X.starts(F.col("gl_account"), s.asset_prefixes), zero("debit_amount")).otherwise(0.0)).alias("a"), F.sum(F.when(X.starts(F.col("gl_account"), s.expense_prefixes), zero("credit_amount")).otherwise(0.0)).alias("e")
-    )
-    hit = g.filter((F.col("a") > 0) & (F.col("e") > 0) & (F.abs(F.col("a") - F.col("e")) <= s.duplicate_tolerance * F.greatest("a", "e"))).select("document_id")
-    x = gl.join(hit, "document_id", "left_semi")
-    side = (X.starts(F.col("gl_account"), s.asset_prefixes) & (zero("debit_amount") > 0)) | (X.starts(F.col("gl_account"), s.expense_prefixes) & (zero("credit_amount") > 0))
-    return flags(x.filter(side), "L2-04")
-
-
 def reversal_pairs(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(document_id, other, gl_account): documents whose net amounts on an account are equal and opposite within the days. Days are cut into cells of the window's length; one side looks into two."""
     net = gl.filter("document_id is not null and gl_account is not null").groupBy("document_id", "company_code", "gl_account").agg(F.sum(zero("debit_amount") - zero("credit_amount")).alias("net"), F.min("posting_date").alias("at"))
@@ -172,14 +174,15 @@ def reversals(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def row_tests(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Tests of one line by itself, in one pass: manual entry, related party, period end, weekend or holiday, after hours, date gap, suspense account."""
+    """Tests of one line by itself, in one pass: missing fields, self approval, no approval, wrong period, manual entry, related party, period end, weekend or holiday, after hours, date gap, suspense account."""
     x = X.pattern_features(X.time_features(gl, s), s)
+    machine = F.coalesce(plain("user_persona") == "automated_system", F.lit(False))
     tests = {
-        "L3-02": F.col("is_manual_je"), "L3-03": F.col("is_intercompany"), "L3-04": F.col("is_period_end"), "L3-05": F.col("is_weekend") | F.col("is_holiday"), "L3-06": F.col("is_after_hours"),
-        "L3-07": F.abs("days_backdated") > s.backdated_days, "L3-09": F.col("is_suspense_account"),
+        "L1-02": reduce(lambda a, b: a | b, (blank(c) for c in REQUIRED)), "L1-05": (plain("created_by") == plain("approved_by")) & ~blank("created_by") & ~machine, "L1-07": blank("approved_by"),
+        "L1-08": F.col("fiscal_period").between(1, 12) & F.col("fiscal_period_mismatch"), "L3-02": F.col("is_manual_je"), "L3-03": F.col("is_intercompany"), "L3-04": F.col("is_period_end"), "L3-05": F.col("is_weekend") | F.col("is_holiday"),
+        "L3-06": F.col("is_after_hours"), "L3-07": F.abs("days_backdated") > s.backdated_days, "L3-09": F.col("is_suspense_account"),
     }
-    held = F.array_compact(F.array(*(F.when(cond, F.lit(k)) for k, cond in tests.items())))
-    return x.select("row_id", F.explode(held).alias("rule_id"), F.lit(1.0).alias("score"))
+    return held(x, tests)
 
 
 def revenue_outlier(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -188,14 +191,6 @@ def revenue_outlier(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return flags(x.filter(X.starts(F.col("gl_account"), s.revenue_prefixes) & (F.col("z") > s.zscore)), "L4-01")
 
 
-def materiality(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Lines of at least the company-year's threshold: the larger of 3.75 % of its result and 0.375 % of its revenue."""
-    signed = lambda prefixes, plus, minus: F.sum(F.when(X.starts(F.col("gl_account"), prefixes), zero(plus) - zero(minus)).otherwise(0.0))
-    per = gl.groupBy("company_code", "fiscal_year").agg(signed(s.revenue_prefixes, "credit_amount", "debit_amount").alias("rev"), signed(s.expense_prefixes, "debit_amount", "credit_amount").alias("exp"))
-    per = per.select("company_code", "fiscal_year", F.greatest(F.abs(F.col("rev") - F.col("exp")) * 0.05 * 0.75, F.abs("rev") * 0.005 * 0.75).alias("pm")).filter("pm > 0")
-    return flags(gl.join(small_or_shuffled(per), ["company_code", "fiscal_year"]).filter(base_amount() >= F.col("pm")), "L4-03")
-
-
 def rare_pairs(gl: DataFrame, most: int = 1) -> DataFrame:
     """Documents that hold a pair of debit and credit accounts which at most `most` documents hold. Accounts are made distinct per document and side
     first, so a document has at most as many pairs as the chart has, however many lines it has."""
@@ -208,17 +203,6 @@ def rare_pairs(gl: DataFrame, most: int = 1) -> DataFrame:
     return flags(gl.join(docs.distinct(), "document_id", "left_semi"), "L4-04")
 
 
-def hours_clusters(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """After-hours lines of people whose share of such lines is far above that of others (mean + sigma times the deviation, and at least hours_ratio)."""
-    x = X.time_features(gl, s).filter(human(s)).withColumn("user", plain("created_by"))
-    u = x.groupBy("user").agg(F.avg(F.col("is_after_hours").cast("double")).alias("ratio"), F.count(F.lit(1)).alias("n")).filter("n >= 10")
-    one = u.agg(F.count(F.lit(1)).alias("n"), F.avg("ratio").alias("m"), F.coalesce(F.stddev_samp("ratio"), F.lit(0.0)).alias("s")).first()
-    if one["n"] < 3:
-        return flags(x.limit(0), "L4-05")
-    hot = u.filter((F.col("ratio") > one["m"] + s.hours_sigma * one["s"]) & (F.col("ratio") >= s.hours_ratio)).select("user")
-    return flags(x.filter("is_after_hours").join(small_or_shuffled(hot), "user", "left_semi"), "L4-05", 0.45)
-
-
 def batch_anomaly(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Automated lines posted in the same second as batch_same_time or more other documents."""
     x = gl.filter(F.coalesce(plain("source").isin(*s.automated_sources), F.lit(False)) & F.col("posting_date").isNotNull())
@@ -271,11 +255,9 @@ RULES = {r.id: r for r in (
 def all_flags(gl: DataFrame, employees: DataFrame, s: Settings = DEFAULT, only: set[str] | None = None) -> DataFrame:
     """The long table of flags of every test, or of some."""
     tests: dict[tuple[str, ...], Callable[[], DataFrame]] = {
-        ("L1-01",): lambda: unbalanced(gl, s), ("L1-02",): lambda: missing_required(gl, s), ("L1-03",): lambda: unknown_account(gl, chart_of_accounts(gl)), ("L1-04", "L2-01"): lambda: approvals(gl, employees, s),
-        ("L1-05",): lambda: self_approval(gl, s), ("L1-06",): lambda: segregation(gl, s=s), ("L1-07",): lambda: no_approval(gl, s), ("L1-07-02",): lambda: unknown_approver(gl, employees), ("L1-08",): lambda: wrong_period(gl, s),
-        ("L2-02",): lambda: duplicate_payments(gl, s), ("L2-03",): lambda: duplicate_entries(gl, s), ("L2-04",): lambda: capitalised_expense(gl, s), ("L2-05",): lambda: reversals(gl, s),
-        ("L3-02", "L3-03", "L3-04", "L3-05", "L3-06", "L3-07", "L3-09"): lambda: row_tests(gl, s), ("L4-01",): lambda: revenue_outlier(gl, s), ("L4-03",): lambda: materiality(gl, s), ("L4-04",): lambda: rare_pairs(gl),
-        ("L4-05",): lambda: hours_clusters(gl, s), ("L4-06",): lambda: batch_anomaly(gl, s), ("EV01",): lambda: split_purchases(gl),
+        ("L1-02", "L1-05", "L1-07", "L1-08", "L3-02", "L3-03", "L3-04", "L3-05", "L3-06", "L3-07", "L3-09"): lambda: row_tests(gl, s), ("L1-01", "L1-04", "L2-01", "L2-04"): lambda: document_tests(gl, employees, s),
+        ("L1-03", "L1-06", "L1-07-02", "L4-03", "L4-05"): lambda: lookup_tests(gl, employees, s=s), ("L2-02",): lambda: duplicate_payments(gl, s), ("L2-03",): lambda: duplicate_entries(gl, s), ("L2-05",): lambda: reversals(gl, s),
+        ("L4-01",): lambda: revenue_outlier(gl, s), ("L4-04",): lambda: rare_pairs(gl), ("L4-06",): lambda: batch_anomaly(gl, s), ("EV01",): lambda: split_purchases(gl),
     }
     made = [f() for ids, f in tests.items() if only is None or only & set(ids)]
     return reduce(DataFrame.unionByName, made)

@@ -29,8 +29,8 @@ def burst(gl: DataFrame, keys: list[str], s: Settings = DEFAULT) -> DataFrame:
     x = x.withColumn("med", F.when(F.col("seen") >= s.burst_least, F.col("q")[1])).withColumn("prev", F.lag("n").over(w)).withColumn("dev", F.abs(F.col("prev") - F.col("med")))
     mad = F.expr("percentile(dev, 0.5)").over(w.rowsBetween(1 - s.burst_window, 0))
     x = x.withColumn("mad", F.when(F.count("dev").over(w.rowsBetween(1 - s.burst_window, 0)) >= s.burst_least, mad))
-    z = F.when(F.col("med").isNotNull(), robust_z(F.col("n"), F.col("med"), F.coalesce("mad", F.lit(0.0)), F.col("q")[2] - F.col("q")[0]))
-    return x.select(*keys, "day", "n", F.greatest(F.lit(0.0), F.least(F.lit(30.0), z - 1.5)).alias("score")).filter("score > 0")
+    z = robust_z(F.col("n"), F.col("med"), F.coalesce("mad", F.lit(0.0)), F.col("q")[2] - F.col("q")[0])
+    return x.filter("med is not null").select(*keys, "day", "n", F.greatest(F.lit(0.0), F.least(F.lit(30.0), z - 1.5)).alias("score")).filter("score > 0")
 
 
 def rolling_outliers(gl: DataFrame, keys: list[str], s: Settings = DEFAULT) -> DataFrame:

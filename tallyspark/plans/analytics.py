@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,10 @@ def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
+def dated(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 _B = ", ".join(f"({k}, log10(1 + 1.0 / {k}))" for k in range(1, 10))
 
 
@@ -56,23 +62,24 @@ _RZ = lambda x, med, mad, iqr: f"CASE WHEN {mad} > 0 THEN 0.6745 * ({x} - {med})
 
 
 @query(f"""
-    WITH b AS (SELECT gl_account, year(posting_date)::INTEGER AS year, date_trunc('month', posting_date)::DATE AS bucket, count(DISTINCT document_id) AS docs FROM general_ledger WHERE NOT {BLANK("gl_account")} AND posting_date IS NOT NULL AND document_id IS NOT NULL GROUP BY 1, 2, 3),
+    WITH b AS (SELECT gl_account, year(posting_date)::INTEGER AS year, strftime(date_trunc('month', posting_date), '%Y-%m-%d') AS bucket, count(DISTINCT document_id) AS docs FROM general_ledger WHERE NOT {BLANK("gl_account")} AND posting_date IS NOT NULL AND document_id IS NOT NULL GROUP BY 1, 2, 3),
     g AS (SELECT gl_account, year, count(*) AS nb, quantile_cont(docs, 0.25) AS q1, quantile_cont(docs, 0.5) AS q2, quantile_cont(docs, 0.75) AS q3 FROM b GROUP BY 1, 2),
     m AS (SELECT gl_account, year, quantile_cont(abs(docs - q2), 0.5) AS mad FROM b JOIN g USING (gl_account, year) GROUP BY 1, 2),
     z AS (SELECT gl_account, year, bucket, docs, nb, {_RZ("docs::DOUBLE", "q2", "mad", "(q3 - q1)")} AS z FROM b JOIN g USING (gl_account, year) JOIN m USING (gl_account, year))
-    SELECT gl_account, year, bucket, docs, round(z, 5) AS z FROM z WHERE z >= 3.5 AND docs >= 10 AND nb >= 3""")
+    SELECT gl_account, year, bucket, docs, round(z, 9) AS z FROM z WHERE z >= 3.5 AND docs >= 10 AND nb >= 3""")
 def concentration(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.concentration(gl_of(spark, d)), 5, "z")
+    return rounded(P.concentration(gl_of(spark, d)), 9, "z").withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
 
 
 @query(f"""
-    WITH p AS (SELECT trim(trading_partner, ' ') AS partner, year(posting_date) AS y, posting_date::DATE AS day FROM general_ledger WHERE NOT {BLANK("trading_partner")} AND posting_date IS NOT NULL),
-    g AS (SELECT partner, count(*) FILTER (WHERE y = 2024) AS now, count(*) FILTER (WHERE y < 2024) AS bef, count(*) FILTER (WHERE y = 2023) AS ly, min(day) FILTER (WHERE y = 2024) AS f, max(day) FILTER (WHERE y < 2024) AS l FROM p GROUP BY 1 HAVING count(*) FILTER (WHERE y = 2024) > 0),
+    WITH p AS (SELECT trim(trading_partner, ' ') AS partner, posting_date::DATE AS day FROM general_ledger WHERE NOT {BLANK("trading_partner")} AND posting_date IS NOT NULL),
+    g AS (SELECT partner, count(*) FILTER (WHERE day >= DATE '2023-09-01') AS now, count(*) FILTER (WHERE day < DATE '2023-09-01') AS bef, count(*) FILTER (WHERE day < DATE '2023-09-01' AND day >= DATE '2023-06-01') AS ly,
+        min(day) FILTER (WHERE day >= DATE '2023-09-01') AS f, max(day) FILTER (WHERE day < DATE '2023-09-01') AS l FROM p GROUP BY 1 HAVING count(*) FILTER (WHERE day >= DATE '2023-09-01') > 0),
     q AS (SELECT count(*) AS n, quantile_cont(now, 0.1) AS q FROM g)
     SELECT partner, 'first_seen' AS signal, now AS lines FROM g WHERE bef = 0 UNION ALL SELECT partner, 'dormant', now FROM g WHERE bef > 0 AND ly = 0 AND f - l >= 180
     UNION ALL SELECT partner, 'rare', now FROM g, q WHERE q.n >= 50 AND now <= q.q""")
 def partner_signals(spark: SparkSession, d: str) -> DataFrame:
-    return P.partner_signals(gl_of(spark, d), 2024)
+    return P.partner_signals(gl_of(spark, d), datetime.date(2023, 9, 1), datetime.date(2023, 6, 1))
 
 
 @query(f"""SELECT trim(trading_partner, ' ') AS partner, count(*) AS lines, count(DISTINCT document_id) AS docs, round(sum({BASE}), 2) AS amount FROM general_ledger WHERE NOT {BLANK("trading_partner")} GROUP BY 1""")
@@ -80,22 +87,29 @@ def partner_summary(spark: SparkSession, d: str) -> DataFrame:
     return P.partner_summary(gl_of(spark, d))
 
 
+#: The two halves of a year that the shift and drift queries compare.
+_H1, _H2 = ("posting_date >= timestamp_ntz'2023-01-01' and posting_date < timestamp_ntz'2023-07-01'", "posting_date >= timestamp_ntz'2023-07-01' and posting_date < timestamp_ntz'2024-01-01'")
+_HALF = "CASE WHEN posting_date >= TIMESTAMP '2023-01-01' AND posting_date < TIMESTAMP '2023-07-01' THEN 1 WHEN posting_date >= TIMESTAMP '2023-07-01' AND posting_date < TIMESTAMP '2024-01-01' THEN 2 END"
+
+
 @query(f"""
-    WITH s AS (SELECT gl_account, fiscal_year AS y, sum({BASE}) AS t, count(*) AS n, avg({BASE}) AS a FROM general_ledger WHERE NOT {BLANK("gl_account")} GROUP BY 1, 2),
-    j AS (SELECT c.gl_account, c.n, p.n IS NULL AS is_new, 0.5 * abs(c.t - p.t) / greatest(abs(p.t), 1) + 0.3 * abs(c.n - p.n) / greatest(p.n, 1) + 0.2 * abs(c.a - p.a) / greatest(abs(p.a), 1) AS score FROM s c LEFT JOIN s p ON p.gl_account = c.gl_account AND p.y = 2023 WHERE c.y = 2024)
+    WITH s AS (SELECT gl_account, {_HALF} AS y, sum({BASE}) AS t, count(*) AS n, avg({BASE}) AS a FROM general_ledger WHERE NOT {BLANK("gl_account")} GROUP BY 1, 2),
+    j AS (SELECT c.gl_account, c.n, p.n IS NULL AS is_new, 0.5 * abs(c.t - p.t) / greatest(abs(p.t), 1) + 0.3 * abs(c.n - p.n) / greatest(p.n, 1) + 0.2 * abs(c.a - p.a) / greatest(abs(p.a), 1) AS score FROM s c LEFT JOIN s p ON p.gl_account = c.gl_account AND p.y = 1 WHERE c.y = 2)
     SELECT gl_account, n, round(score, 5) AS score, is_new FROM j WHERE is_new OR score > 0.5""")
 def activity_shift(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.activity_shift(gl_of(spark, d), 2024), 5, "score")
+    gl = gl_of(spark, d)
+    return rounded(P.activity_shift(gl.filter(_H2), gl.filter(_H1)), 5, "score")
 
 
 @query(f"""
-    WITH g AS (SELECT gl_account, fiscal_year AS y, month(posting_date) AS m, count(DISTINCT document_id) AS c FROM general_ledger WHERE fiscal_year IN (2023, 2024) AND NOT {BLANK("gl_account")} AND posting_date IS NOT NULL GROUP BY 1, 2, 3),
-    t AS (SELECT gl_account, coalesce(sum(c) FILTER (WHERE y = 2024), 0)::BIGINT AS na, coalesce(sum(c) FILTER (WHERE y = 2023), 0)::BIGINT AS nb FROM g GROUP BY 1),
-    k AS (SELECT t.gl_account, na, nb, m, coalesce(sum(c) FILTER (WHERE y = 2024), 0) / na AS a, coalesce(sum(c) FILTER (WHERE y = 2023), 0) / nb AS b FROM t JOIN g USING (gl_account) WHERE na >= 20 AND nb >= 20 GROUP BY 1, 2, 3, 4),
+    WITH g AS (SELECT gl_account, {_HALF} AS y, (month(posting_date) - 1) % 6 AS m, count(DISTINCT document_id) AS c FROM general_ledger WHERE NOT {BLANK("gl_account")} AND posting_date IS NOT NULL GROUP BY 1, 2, 3),
+    t AS (SELECT gl_account, coalesce(sum(c) FILTER (WHERE y = 2), 0)::BIGINT AS na, coalesce(sum(c) FILTER (WHERE y = 1), 0)::BIGINT AS nb FROM g GROUP BY 1),
+    k AS (SELECT t.gl_account, na, nb, m, coalesce(sum(c) FILTER (WHERE y = 2), 0) / na AS a, coalesce(sum(c) FILTER (WHERE y = 1), 0) / nb AS b FROM t JOIN g USING (gl_account) WHERE na >= 3 AND nb >= 3 AND y IS NOT NULL GROUP BY 1, 2, 3, 4),
     r AS (SELECT gl_account, na, nb, sqrt(greatest(0, sum((CASE WHEN a > 0 THEN a * ln(2 * a / (a + b)) ELSE 0 END) + (CASE WHEN b > 0 THEN b * ln(2 * b / (a + b)) ELSE 0 END)) / 2)) AS d, abs(max(a) - max(b)) AS ts FROM k GROUP BY 1, 2, 3)
     SELECT gl_account, na, nb, round(d, 5) AS distance, round(ts, 6) AS top_shift FROM r WHERE d > 0.3 AND ts >= 0.25""")
 def shape_shift(spark: SparkSession, d: str) -> DataFrame:
-    x = P.shape_shift(gl_of(spark, d), 2024, least=20)
+    gl = gl_of(spark, d)
+    x = P.shape_shift(gl.filter(_H2), gl.filter(_H1), (F.month("posting_date") - 1) % 6, least=3)
     return x.select("gl_account", "na", "nb", F.round("distance", 5).alias("distance"), F.round("top_shift", 6).alias("top_shift"))
 
 
@@ -130,16 +144,16 @@ def _daily(keys: str) -> str:
     m AS (SELECT *, CASE WHEN seen >= 7 THEN q2 END AS med, abs(prev - CASE WHEN seen >= 7 THEN q2 END) AS dev FROM y),
     r AS (SELECT *, CASE WHEN count(dev) OVER v >= 7 THEN quantile_cont(dev, 0.5) OVER v ELSE 0.0 END AS mad FROM m WINDOW v AS (PARTITION BY company_code ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
     z AS (SELECT company_code, day, n, greatest(0.0, least(30.0, ({_RZ("n", "med", "mad", "(q3 - q1)")}) - 1.5)) AS score FROM r WHERE med IS NOT NULL)
-    SELECT company_code, day, n, round(score, 5) AS score FROM z WHERE score > 0""")
+    SELECT company_code, strftime(day, '%Y-%m-%d') AS day, n, round(score, 9) AS score FROM z WHERE score > 0""")
 def daily_burst(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(T.burst(gl_of(spark, d), ["company_code"]), 5, "score")
+    return dated(rounded(T.burst(gl_of(spark, d), ["company_code"]), 9, "score"))
 
 
 @query(_daily("company_code") + """,
     y AS (SELECT *, count(*) OVER w AS seen, avg(n) OVER w AS m, stddev_samp(n) OVER w AS sd FROM x WINDOW w AS (PARTITION BY company_code ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
-    SELECT company_code, day, n::BIGINT AS n FROM y WHERE seen >= 7 AND n > m + 3 * sd""")
+    SELECT company_code, strftime(day, '%Y-%m-%d') AS day, n::BIGINT AS n FROM y WHERE seen >= 7 AND n > m + 3 * sd""")
 def rolling_outliers(spark: SparkSession, d: str) -> DataFrame:
-    return T.rolling_outliers(gl_of(spark, d), ["company_code"])
+    return dated(T.rolling_outliers(gl_of(spark, d), ["company_code"]))
 
 
 @query("""
@@ -156,9 +170,9 @@ def busy_ranges(spark: SparkSession, d: str) -> DataFrame:
     x AS (SELECT created_by, day, coalesce(n, 0) AS n FROM sp LEFT JOIN c USING (created_by, day)),
     y AS (SELECT created_by, day, sum(n) OVER (PARTITION BY created_by ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)::BIGINT AS r FROM x),
     z AS (SELECT *, quantile_cont(r, 0.5) OVER (PARTITION BY created_by ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS med FROM y)
-    SELECT created_by, day, r, med FROM z WHERE r - med >= 3 AND r >= 2 * med""")
+    SELECT created_by, strftime(day, '%Y-%m-%d') AS day, r, med FROM z WHERE r - med >= 3 AND r >= 2 * med""")
 def group_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return T.group_frequency(gl_of(spark, d), "created_by")
+    return dated(T.group_frequency(gl_of(spark, d), "created_by"))
 
 
 @query(f"""
@@ -279,7 +293,7 @@ def rule_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """How each test's documents agree with a truth, here the unbalanced documents."""
     gl = gl_of(spark, d).filter("document_id is not null")
     f = _flags(spark, d).join(gl.select("row_id", "document_id"), "row_id").select("rule_id", "document_id")
-    b = R.unbalanced(gl).join(gl.select("row_id", "document_id"), "row_id").select("document_id").distinct()
+    b = R.document_tests(gl, read(spark, d, "employees")).filter("rule_id = 'L1-01'").join(gl.select("row_id", "document_id"), "row_id").select("document_id").distinct()
     hits = f.distinct().join(b.withColumn("bad", F.lit(1)), "document_id", "left")
     n = b.count()
     return hits.groupBy("rule_id").agg(F.count("bad").alias("tp"), (F.count(F.lit(1)) - F.count("bad")).alias("fp"), (F.lit(n) - F.count("bad")).alias("fn"))
@@ -287,23 +301,23 @@ def rule_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- learning
 @query(f"""
-    WITH a AS (SELECT debit_amount AS v FROM general_ledger WHERE fiscal_year = 2023), b AS (SELECT debit_amount AS v FROM general_ledger WHERE fiscal_year = 2024), m AS (SELECT avg(v) AS m, stddev_samp(v) AS s FROM a),
+    WITH a AS (SELECT debit_amount AS v FROM general_ledger WHERE {_HALF} = 1), b AS (SELECT debit_amount AS v FROM general_ledger WHERE {_HALF} = 2), m AS (SELECT avg(v) AS m, stddev_samp(v) AS s FROM a),
     x AS (SELECT 'a' AS k, greatest(0, least(9, floor((v - m) / s * 2 + 5))) AS bin FROM a, m WHERE v IS NOT NULL UNION ALL SELECT 'b', greatest(0, least(9, floor((v - m) / s * 2 + 5))) FROM b, m WHERE v IS NOT NULL),
     g AS (SELECT bin, greatest(count(*) FILTER (WHERE k = 'a') / sum(count(*) FILTER (WHERE k = 'a')) OVER (), 1e-4) AS pa, greatest(count(*) FILTER (WHERE k = 'b') / sum(count(*) FILTER (WHERE k = 'b')) OVER (), 1e-4) AS pb FROM x GROUP BY 1)
     SELECT round(sum((pb - pa) * ln(pb / pa)), 6) AS psi FROM g""")
 def drift_numeric(spark: SparkSession, d: str) -> DataFrame:
     gl = gl_of(spark, d)
-    return rounded(L.psi_numeric(gl.filter("fiscal_year = 2023"), gl.filter("fiscal_year = 2024"), "debit_amount"), 6, "psi")
+    return rounded(L.psi_numeric(gl.filter(_H1), gl.filter(_H2), "debit_amount"), 6, "psi")
 
 
-@query("""
-    WITH t AS (SELECT document_type AS v FROM general_ledger WHERE fiscal_year = 2023 AND document_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10),
-    x AS (SELECT fiscal_year AS y, CASE WHEN document_type IN (SELECT v FROM t) THEN document_type ELSE '_OTHER_' END AS bin FROM general_ledger WHERE fiscal_year IN (2023, 2024)),
-    g AS (SELECT bin, greatest(count(*) FILTER (WHERE y = 2023) / sum(count(*) FILTER (WHERE y = 2023)) OVER (), 1e-4) AS pa, greatest(count(*) FILTER (WHERE y = 2024) / sum(count(*) FILTER (WHERE y = 2024)) OVER (), 1e-4) AS pb FROM x GROUP BY 1)
+@query(f"""
+    WITH t AS (SELECT document_type AS v FROM general_ledger WHERE {_HALF} = 1 AND document_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10),
+    x AS (SELECT {_HALF} AS y, CASE WHEN document_type IN (SELECT v FROM t) THEN document_type ELSE '_OTHER_' END AS bin FROM general_ledger WHERE {_HALF} IS NOT NULL),
+    g AS (SELECT bin, greatest(count(*) FILTER (WHERE y = 1) / sum(count(*) FILTER (WHERE y = 1)) OVER (), 1e-4) AS pa, greatest(count(*) FILTER (WHERE y = 2) / sum(count(*) FILTER (WHERE y = 2)) OVER (), 1e-4) AS pb FROM x GROUP BY 1)
     SELECT round(sum((pb - pa) * ln(pb / pa)), 6) AS psi FROM g""")
 def drift_categorical(spark: SparkSession, d: str) -> DataFrame:
     gl = gl_of(spark, d)
-    return rounded(L.psi_categorical(gl.filter("fiscal_year = 2023"), gl.filter("fiscal_year = 2024"), "document_type"), 6, "psi")
+    return rounded(L.psi_categorical(gl.filter(_H1), gl.filter(_H2), "document_type"), 6, "psi")
 
 
 @query("""
@@ -336,8 +350,6 @@ def user_sequences(spark: SparkSession, d: str) -> DataFrame:
     WITH tr AS (SELECT row_id, created_by FROM general_ledger WHERE posting_date < TIMESTAMP '2024-07-01'), te AS (SELECT row_id, created_by FROM general_ledger WHERE posting_date >= TIMESTAMP '2024-07-01')
     SELECT row_id, 'train' AS split FROM tr UNION ALL SELECT row_id, 'test' FROM te WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.created_by = te.created_by)""")
 def temporal_holdout(spark: SparkSession, d: str) -> DataFrame:
-    import datetime
-
     return L.temporal_holdout(gl_of(spark, d).select("row_id", "created_by", "posting_date"), "posting_date", "created_by", datetime.datetime(2024, 7, 1)).select("row_id", "split")
 
 

@@ -53,13 +53,14 @@ HUMAN = f"(NOT coalesce({PLAIN('user_persona')} = 'automated_system', false) AND
 
 
 @query(f"""
-    WITH t AS (SELECT row_id, {WEEKEND} AS is_weekend, {HOLIDAY} AS is_holiday, {LATE} AS is_after_hours, {END} AS is_period_end, {BACK}::BIGINT AS days_backdated,
-        fiscal_period <> month(posting_date) AS fiscal_period_mismatch, {KIND0} AS k, {MD} AS md FROM general_ledger),
+    WITH t AS (SELECT row_id, {WEEKEND} AS is_weekend, {HOLIDAY} AS is_holiday, {LATE} AS is_after_hours, {END} AS is_period_end, {BACK} AS days_backdated,
+        (fiscal_period <> month(posting_date))::INTEGER::DOUBLE AS fiscal_period_mismatch, {KIND0} AS k, {MD} AS md FROM general_ledger),
     u AS (SELECT *, CASE WHEN k = 'overtime' AND (md >= 1220 OR md <= 115) THEN 'normal' ELSE k END AS k2 FROM t)
     SELECT row_id, is_weekend, is_holiday, is_after_hours, is_period_end, days_backdated, fiscal_period_mismatch,
         CASE WHEN k2 = 'normal' AND (is_weekend OR is_holiday) THEN 'overtime' ELSE k2 END AS time_zone_category FROM u""")
 def feature_time(spark: SparkSession, d: str) -> DataFrame:
-    return X.time_features(gl_of(spark, d)).select("row_id", "is_weekend", "is_holiday", "is_after_hours", "is_period_end", "days_backdated", "fiscal_period_mismatch", "time_zone_category")
+    x = X.time_features(gl_of(spark, d))
+    return x.select("row_id", "is_weekend", "is_holiday", "is_after_hours", "is_period_end", F.col("days_backdated").cast("double").alias("days_backdated"), F.col("fiscal_period_mismatch").cast("int").cast("double").alias("fiscal_period_mismatch"), "time_zone_category")
 
 
 _ROUND = "(b > 0 AND abs(b - round_even(b, 0)) < 1e-9 AND length(round_even(b, 0)::DECIMAL(20,0)::VARCHAR) >= 3 AND length(rtrim(round_even(b, 0)::DECIMAL(20,0)::VARCHAR, '0')) <= 2)"
@@ -68,10 +69,10 @@ _DIGIT = "try_cast(regexp_extract(m::DECIMAL(30,6)::VARCHAR, '([1-9])', 1) AS IN
 
 @query(f"""
     WITH t AS (SELECT row_id, {BASE} AS b, greatest(abs({D}), abs({C})) AS m FROM general_ledger)
-    SELECT row_id, b AS base_amount, round(log10(abs(b) + 1), 6) AS amount_magnitude, {_ROUND} AS is_round_number, {_DIGIT} AS first_digit FROM t""")
+    SELECT row_id, b AS base_amount, round(log10(abs(b) + 1), 6) AS amount_magnitude, {_ROUND} AS is_round_number, {_DIGIT}::DOUBLE AS first_digit FROM t""")
 def feature_amount(spark: SparkSession, d: str) -> DataFrame:
     x = X.amount_features(gl_of(spark, d))
-    return x.select("row_id", "base_amount", F.round("amount_magnitude", 6).alias("amount_magnitude"), "is_round_number", "first_digit")
+    return x.select("row_id", "base_amount", F.round("amount_magnitude", 6).alias("amount_magnitude"), "is_round_number", F.col("first_digit").cast("double").alias("first_digit"))
 
 
 def _z_sql(value: str) -> str:
@@ -151,9 +152,9 @@ def validate_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     WITH b AS (SELECT min(posting_date::DATE) AS lo, max(posting_date::DATE) AS hi FROM general_ledger), s AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS day FROM b)
-    SELECT day FROM s WHERE isodow(day) < 6 AND day NOT IN (SELECT posting_date::DATE FROM general_ledger WHERE posting_date IS NOT NULL)""")
+    SELECT strftime(day, '%Y-%m-%d') AS day FROM s WHERE isodow(day) < 6 AND day NOT IN (SELECT posting_date::DATE FROM general_ledger WHERE posting_date IS NOT NULL)""")
 def validate_business_days(spark: SparkSession, d: str) -> DataFrame:
-    return V.missing_business_days(gl_of(spark, d))
+    return V.missing_business_days(gl_of(spark, d)).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 @query("""
@@ -191,9 +192,9 @@ _TB = f"""tb AS (SELECT company_code, gl_account, fiscal_year, fiscal_period, ro
     FROM general_ledger WHERE NOT {BLANK("gl_account")} GROUP BY 1, 2, 3, 4)"""
 
 
-@query(f"WITH {_TB} SELECT * FROM tb")
+@query(f"WITH {_TB} SELECT * REPLACE (fiscal_year::VARCHAR AS fiscal_year, fiscal_period::VARCHAR AS fiscal_period) FROM tb")
 def trial_balance(spark: SparkSession, d: str) -> DataFrame:
-    return V.trial_balance(gl_of(spark, d))
+    return V.trial_balance(gl_of(spark, d)).withColumns({c: F.col(c).cast("string") for c in ("fiscal_year", "fiscal_period")})
 
 
 @query(f"""

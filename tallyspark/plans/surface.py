@@ -36,7 +36,7 @@ PRESETS = {
         SELECT d.gl_account AS debit_account, c.gl_account AS credit_account, count(*) AS documents FROM d JOIN c ON d.document_id = c.document_id GROUP BY d.gl_account, c.gl_account""",
     "weekend_midnight": "SELECT document_id, count(*) AS line_count FROM general_ledger WHERE document_id IS NOT NULL AND (weekday(posting_date) IN (5, 6) OR hour(posting_date) >= 22 OR hour(posting_date) < 6) GROUP BY document_id",
     "common_documents": "SELECT document_id FROM general_ledger WHERE gl_account = '183247' AND document_id IS NOT NULL INTERSECT SELECT document_id FROM general_ledger WHERE gl_account = '101278'",
-    "monthly_sales": f"SELECT fiscal_year, fiscal_period, count(*) AS line_count, round(sum(CASE WHEN gl_account LIKE '4%' THEN {C} - {D} ELSE 0 END), 2) AS net_sales FROM general_ledger GROUP BY fiscal_year, fiscal_period",
+    "monthly_sales": f"SELECT CAST(fiscal_year AS VARCHAR) AS fiscal_year, CAST(fiscal_period AS VARCHAR) AS fiscal_period, count(*) AS line_count, round(sum(CASE WHEN gl_account LIKE '4%' THEN {C} - {D} ELSE 0 END), 2) AS net_sales FROM general_ledger GROUP BY fiscal_year, fiscal_period",
     "year_over_year": f"""
         WITH a AS (SELECT gl_account, round(sum({BASE}), 2) AS amount FROM general_ledger WHERE fiscal_year = 2023 AND gl_account IS NOT NULL GROUP BY gl_account), b AS (SELECT gl_account, round(sum({BASE}), 2) AS amount FROM general_ledger WHERE fiscal_year = 2024 AND gl_account IS NOT NULL GROUP BY gl_account)
         SELECT coalesce(a.gl_account, b.gl_account) AS gl_account, coalesce(a.amount, 0) AS before_amount, coalesce(b.amount, 0) AS after_amount FROM a FULL OUTER JOIN b ON a.gl_account = b.gl_account""",
@@ -61,7 +61,7 @@ OTHER_DIALECT = {
 
 def spark_sql(text: str) -> str:
     """The shared fragments use casts and trims in a form that Spark spells otherwise."""
-    text = re.sub(r"(\w+)::(\w+)", r"CAST(\1 AS \2)", text).replace("AS VARCHAR)", "AS STRING)")
+    text = re.sub(r"(\w+)::(\w+)", r"CAST(\1 AS \2)", text).replace(" AS VARCHAR)", " AS STRING)")
     return re.sub(r"trim\(([^(),]*(?:\([^()]*\))?), ' '\)", r"trim(\1)", text)
 
 

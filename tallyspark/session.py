@@ -65,11 +65,11 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcast if a count shows that it has at most max_rows rows; otherwise return it unmarked, and
-    joins with it shuffle. df should be cheap to recompute or already written."""
-    n = len(df.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) if max_rows < 1000 else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def small_or_shuffled(df: DataFrame, max_rows: int = BROADCAST_ROWS, ready: bool = False) -> DataFrame:
+    """Mark df for broadcast if a count shows that it has at most max_rows rows; otherwise return it unmarked, and joins with it shuffle. df is written first, so that counting
+    and joining do not compute it twice, unless it is `ready` (a written table, or cheap)."""
+    df = df if ready else written(df, "small")
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -23,19 +23,26 @@ def ledger(spark):
     return make
 
 
+@pytest.fixture
+def employees(spark):
+    return spark.createDataFrame([("u2", 100.0, True), ("U3", 1e9, False), (None, 5.0, True)], "user_id string, approval_limit double, can_approve_je boolean")
+
+
 def ids(df):
     return sorted(r["row_id"] for r in df.collect())
 
 
-def test_unbalanced(ledger):
+def test_unbalanced(ledger, employees):
+    unbalanced = lambda gl: rules.document_tests(gl, employees).filter("rule_id = 'L1-01'")
     lines = [dict(debit_amount=5.0), dict(credit_amount=5.0), dict(document_id="J2", debit_amount=5.0), dict(document_id="J2", credit_amount=4.0), dict(document_id=None, debit_amount=1.0), dict(document_id=None, debit_amount=None), dict(document_id="J3", debit_amount=0.01)]
     for parts in (1, 7):
-        assert ids(rules.unbalanced(ledger(*lines, parts=parts))) == [3, 4, 5]
-    assert ids(rules.unbalanced(ledger())) == []
+        assert ids(unbalanced(ledger(*lines, parts=parts))) == [3, 4, 5]
+    assert ids(unbalanced(ledger())) == []
 
 
 def test_missing_required(ledger):
-    assert ids(rules.missing_required(ledger({}, dict(gl_account=" "), dict(posting_date=None), dict(document_type=None)))) == [2, 3, 4]
+    got = rules.row_tests(ledger({}, dict(gl_account=" "), dict(posting_date=None), dict(document_type=None))).filter("rule_id = 'L1-02'")
+    assert ids(got) == [2, 3, 4]
 
 
 def test_duplicate_payments(ledger):
@@ -65,9 +72,18 @@ def test_rare_pairs_and_gaps(ledger):
     assert [(r["document_id"], r["gap"]) for r in rules.number_gaps(ledger(*far)).collect()] == [("JE-250001", 150001)]
 
 
-def test_segregation(ledger):
+def test_segregation(ledger, employees):
     lines = [dict(created_by="u1 ", business_process="P2P"), dict(created_by="U1", business_process="TRE"), dict(created_by="U1", business_process="O2C"), dict(created_by="U3", business_process="P2P"), dict(created_by="SVC_1", business_process="P2P"), dict(created_by="SVC_1", business_process="TRE"), dict(created_by=None, business_process="P2P")]
-    assert ids(rules.segregation(ledger(*lines))) == [1, 2, 3]
+    lines = [x | dict(source="Manual") for x in lines]
+    assert ids(rules.lookup_tests(ledger(*lines), employees).filter("rule_id = 'L1-06'")) == [1, 2, 3]
+
+
+def test_limits_and_lookups(ledger, employees, spark):
+    lines = [dict(document_id="A", debit_amount=95.0), dict(document_id="B", debit_amount=101.0), dict(document_id="C", debit_amount=5.0, approved_by="u3"), dict(document_id="D", debit_amount=5.0, approved_by=" "), dict(document_id="E", debit_amount=5.0, approved_by="X"), dict(document_id=None, debit_amount=500.0), dict(document_id="F", debit_amount=89.0, gl_account=" 7 ")]
+    got = rules.document_tests(ledger(*lines), employees)
+    assert ids(got.filter("rule_id = 'L2-01'")) == [1] and ids(got.filter("rule_id = 'L1-04'")) == [2, 3]
+    got = rules.lookup_tests(ledger(*lines), employees, spark.createDataFrame([("100000",), ("8",), ("8",)], "account string"))
+    assert ids(got.filter("rule_id = 'L1-07-02'")) == [5] and ids(got.filter("rule_id = 'L1-03'")) == [7]
 
 
 def test_time_features(ledger):
