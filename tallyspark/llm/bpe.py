@@ -106,6 +106,7 @@ class Encoder:
         self.plain = pattern == default_pattern()
         self.seams: dict[int, bool] = {}
         self.parts = _Cache(lambda s: self.run(" " + s))  # by part, without the space before it
+        self.words = _Cache(self.run)  # by part, with the white space before it
         self.pieces = _Cache(lambda s: array("i", self.piece(s)).tobytes())
 
     def compatible(self, a: int, b: int) -> bool:

@@ -24,17 +24,22 @@ from pyspark.sql import types as T
 from .bpe import Encoder, encoder
 
 SECTION, PARAGRAPH, SENTENCE, LINE, WORD, NONE = 5, 4, 3, 2, 1, 0
-#: The last white space before a word: the tokenizer always begins a piece there.
-_SEAM = re.compile(r"([ \n\t\r])(?=\S)").split
+#: Cuts a text before the last white space in front of a word: the tokenizer always begins a piece there.
+_SEAM = re.compile(r"(?=[ \n\t\r]\S)").split
 _END = frozenset(".!?…。！？")
 _CLOSE = frozenset("\"')]}”’」』")
 _HEADING = re.compile(r"(?:#{1,6} |§|\[?[A-Z]{1,3}-?\d+(?:[.-]\d+)*\]?[ .:]|\d+(?:\.\d+)*[.)] |제 ?\d+ ?[장조절]|(?:Section|Chapter|SECTION) )").match
 
 
-def _strength(before: str, sep: str, after: str) -> int:
+#: Last characters of a part after which the cut may be more than one between words.
+_MARKS = np.zeros(0x110000, bool)
+_MARKS[[ord(c) for c in {*_END, *_CLOSE, *" \n\t\r\f\v\x1c\x1d\x1e\x1f\x85\xa0"}]] = True
+
+
+def _strength(before: str, after: str) -> int:
     body = before.rstrip()
-    breaks = before.count("\n", len(body)) + (sep == "\n")
-    if breaks and _HEADING(after):
+    breaks = before.count("\n", len(body)) + (after[0] == "\n")
+    if breaks and _HEADING(after, 1):
         return SECTION
     if breaks > 1:
         return PARAGRAPH
@@ -43,32 +48,34 @@ def _strength(before: str, sep: str, after: str) -> int:
     return LINE if breaks else WORD
 
 
-def cuts(enc: Encoder, text: str, coarse: int) -> tuple[list[int], list[int], list[int], int]:
-    """(token offsets, character offsets, strengths, tokens in all). Parts of more than `coarse` tokens get cuts inside."""
-    got = _SEAM(text)
-    tok, chars, strength = [], [], []
-    t = c = 0
-    parts, run = enc.parts, enc.run
-    for k in range(0, len(got), 2):
-        part = got[k]
-        if k:
-            sep, prev = got[k - 1], got[k - 2]
-            last = prev[-1:]
-            tok.append(t)
-            chars.append(c)
-            if sep == " " and (last.isalnum() or last == ","):
-                strength.append(WORD)
-            else:
-                strength.append(_strength(prev, sep, part))
-            n = len(parts[part]) // 4 if sep == " " else len(run(sep + part)) // 4
-            whole, size = sep, len(part) + 1
-        else:
-            n, whole, size = len(run(part)) // 4, "", len(part)
-        if n > coarse:
-            _inside(enc, whole + part, t, c, tok, chars, strength)
-        t += n
-        c += size
-    return tok, chars, strength, t
+def _points(chars: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(chars).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def cuts(enc: Encoder, text: str, coarse: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(token offsets, character offsets, strengths, tokens in all); no cuts for a text within the limit. Parts of more than `coarse` tokens get cuts inside."""
+    parts = _SEAM(text)
+    if not parts[0]:
+        parts = parts[1:]
+    n = len(parts)
+    tokens = np.fromiter(map(len, map(enc.words.__getitem__, parts)), np.int64, n) // 4
+    total = int(tokens.sum())
+    none = np.empty(0, np.int64)
+    if total <= limit:
+        return none, none, none, total
+    size = np.fromiter(map(len, parts), np.int64, n)
+    tok, chars = np.cumsum(tokens)[:-1], np.cumsum(size)[:-1]
+    strength = np.full(n - 1, WORD, np.int64)
+    for k in np.flatnonzero((_points([p[0] for p in parts[1:]]) != 32) | _MARKS[_points([p[-1] for p in parts[:-1]])]):
+        strength[k] = _strength(parts[k], parts[k + 1])
+    more: tuple[list[int], list[int], list[int]] = ([], [], [])
+    for k in np.flatnonzero(tokens > coarse):
+        _inside(enc, parts[k], int(tok[k - 1]) if k else 0, int(chars[k - 1]) if k else 0, *more)
+    if more[0]:
+        tok, chars, strength = (np.concatenate([a, np.array(b, np.int64)]) for a, b in zip((tok, chars, strength), more, strict=True))
+        order = np.argsort(chars, kind="stable")
+        tok, chars, strength = tok[order], chars[order], strength[order]
+    return tok, chars, strength, total
 
 
 def _inside(enc: Encoder, text: str, t: int, c: int, tok: list[int], chars: list[int], strength: list[int]) -> None:
@@ -81,7 +88,7 @@ def _inside(enc: Encoder, text: str, t: int, c: int, tok: list[int], chars: list
             tok.append(t)
             chars.append(c)
             strength.append(NONE)
-        if len(ids) > 1 and not p.isspace():
+        if len(ids) > 1:
             raw = np.frombuffer(p.encode("utf-8", "surrogatepass"), np.uint8)
             starts = np.cumsum((raw & 0xC0) != 0x80)  # characters begun up to each byte
             at = 0
@@ -89,7 +96,8 @@ def _inside(enc: Encoder, text: str, t: int, c: int, tok: list[int], chars: list
                 at += enc.length[i]
                 if raw[at] & 0xC0 != 0x80:
                     char = int(starts[at]) - 1
-                    if not p[char - 1].isspace() and p[char] != "'":
+                    # after the space that leads a piece there is no cut: it would join white space before it
+                    if (p.isspace() or not p[char - 1].isspace()) and p[char] != "'":
                         tok.append(t + k + 1)
                         chars.append(c + char)
                         strength.append(NONE)
@@ -119,12 +127,11 @@ class Strongest:
 
 def split_text(enc: Encoder, text: str | None, limit: int, overlap: int, least: int | None = None) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece, in characters; nothing for a text within the limit. A piece that isn't the last has at least `least` tokens (half the limit) where there is a cut."""
-    if not text or len(text) * 4 <= limit or (len(text) < 4 * limit and enc.count(text) <= limit):
+    if not text or len(text) * 4 <= limit:
         return []
-    tok, chars, strength, n = cuts(enc, text, max(1, min(overlap or limit, limit) // 8))
-    if n <= limit or not tok:
+    t, chars, s, n = cuts(enc, text, max(8, (overlap or limit) // 2), limit)
+    if n <= limit or not len(t):
         return []
-    t, s = np.array(tok, np.int64), np.array(strength, np.int64)
     best, out, start, begin = Strongest(s), [], 0, 0
     least = max(overlap + 1, limit // 2) if least is None else least
     while n - start > limit:
@@ -136,9 +143,9 @@ def split_text(enc: Encoder, text: str | None, limit: int, overlap: int, least:
             if lo >= len(t):
                 break
         k = best.of(lo, hi)
-        out.append((begin, chars[k], int(t[k]) - start))
+        out.append((begin, int(chars[k]), int(t[k]) - start))
         back = int(np.searchsorted(t, max(t[k] - overlap, start + 1), "left"))
-        start, begin = int(t[back]), chars[back]
+        start, begin = int(t[back]), int(chars[back])
     out.append((begin, len(text), n - start))
     return out
 
