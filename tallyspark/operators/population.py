@@ -38,7 +38,7 @@ def _binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
         if kk <= 0 or pp >= 1:
             out.append(1.0)
             continue
-        if pp <= 0:
+        if pp <= 0 or kk > nn:
             out.append(0.0)
             continue
         # the longer side is summed as its complement

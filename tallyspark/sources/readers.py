@@ -107,6 +107,8 @@ def read_text(spark: SparkSession, path: str, encoding: str | None = None, separ
     """Delimited text, all columns as strings, with lines that don't fit kept in _corrupt_record."""
     head = inspect(spark, path).head
     encoding = encoding or detect_encoding(head)
+    if encoding.upper() not in ("UTF-8", "UTF-16", "ISO-8859-1"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # other code pages are refused otherwise
     text = head.decode({"MS949": "cp949"}.get(encoding, encoding), errors="replace").lstrip("﻿")
     separator = separator or detect_separator(text)
     names = [c.strip() or f"column_{k + 1}" for k, c in enumerate(next(csv.reader(text.splitlines(), delimiter=separator)))]
