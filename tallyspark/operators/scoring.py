@@ -113,3 +113,36 @@ def latest_decisions(events: DataFrame, key: str, at: str, id_col: str) -> DataF
     """The last event of each key (ties: the higher id), by a mergeable maximum."""
     rest = [c for c in events.columns if c != key]
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, id_col)).alias("_e")).select(key, "_e.*")
+
+
+def boosted_fusion(df: DataFrame, key: str, scores: list[str], booster: str, q: float = 0.95, k: int = 60) -> DataFrame:
+    """(key, rrf): rank fusion in which one more ranker counts only for rows at or above its own q-quantile of positive scores."""
+    edge = df.filter(F.col(booster) > 0).agg(F.expr(f"percentile({booster}, {q})")).first()[0]
+    base = reciprocal_rank_fusion(df, key, scores, k)
+    if edge is None:
+        return base
+    top = rank_of(df.filter(F.col(booster) >= F.lit(edge)).select(key, booster), key, booster, "r")
+    return base.join(top, key, "left").select(key, (F.col("rrf") + F.coalesce(1 / (k + F.col("r")), F.lit(0.0))).alias("rrf"))
+
+
+def score_diagnostics(df: DataFrame, scores: list[str]) -> DataFrame:
+    """(score_name, n, non_zero_rate, distinct_share, top_tie_share): whether a score can rank at all, and how many rows share its highest value."""
+    out = None
+    for c in scores:
+        v = df.groupBy(F.coalesce(F.col(c), F.lit(0.0)).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+        g = v.agg(F.sum("k").alias("n"), F.sum(F.when(F.col("v") != 0, F.col("k")).otherwise(0)).alias("z"), F.count(F.lit(1)).alias("d"), F.max(F.struct("v", "k")).alias("top"))
+        g = g.select(F.lit(c).alias("score_name"), "n", F.try_divide("z", "n").alias("non_zero_rate"), F.try_divide("d", "n").alias("distinct_share"), F.try_divide("top.k", "n").alias("top_tie_share"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def topside(flags: DataFrame) -> DataFrame:
+    """(row_id, topside): of manual lines, how many of four groups of signs are there (period end, bypassed approval, unusual pattern, large amount), as a share."""
+    fired = lambda *r: F.max(F.col("rule_id").isin(*r).cast("int"))
+    g = flags.groupBy("row_id").agg(fired("L3-02").alias("m"), fired("L3-04", "L3-07").alias("p"), fired("L1-05", "L1-07", "L1-04").alias("b"), fired("L4-04", "L2-03", "L2-05").alias("u"), fired("L4-01", "L4-03").alias("a"))
+    return g.filter("m = 1").select("row_id", ((F.col("p") + F.col("b") + F.col("u") + F.col("a")) / 4).alias("topside"))
+
+
+def coverage(units: DataFrame) -> DataFrame:
+    """(rule_id, units, alone): in how many review units each test fired, and in how many alone."""
+    return units.select(F.explode("fired").alias("rule_id"), (F.size("fired") == 1).alias("one")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("units"), F.count(F.when(F.col("one"), 1)).alias("alone"))

@@ -103,3 +103,22 @@ def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
         g = df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).filter("value is not null").orderBy(F.desc("n"), "value").limit(k).select(F.lit(c).alias("column_name"), "value", "n")
         out = g if out is None else out.unionByName(g)
     return out
+
+
+def datetime_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, n, nulls, first, last, days, weekend_share) of timestamps."""
+    out = None
+    for c in columns:
+        d = F.col(c)
+        g = df.agg(F.lit(c).alias("column_name"), F.count(d).alias("n"), F.count(F.when(d.isNull(), 1)).alias("nulls"), F.date_format(F.min(d), "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format(F.max(d), "yyyy-MM-dd HH:mm:ss").alias("last"), F.count_distinct(d.cast("date")).alias("days"), F.avg((F.weekday(d) >= 5).cast("int")).alias("weekend_share"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def boolean_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, trues, falses, nulls)."""
+    out = None
+    for c in columns:
+        g = df.agg(F.lit(c).alias("column_name"), F.count(F.when(F.col(c), 1)).alias("trues"), F.count(F.when(~F.col(c), 1)).alias("falses"), F.count(F.when(F.col(c).isNull(), 1)).alias("nulls"))
+        out = g if out is None else out.unionByName(g)
+    return out

@@ -14,6 +14,7 @@ from ..operators import population as P
 from ..operators import rules as R
 from ..operators import scoring as K
 from ..operators import timeseries as T
+from ..operators.similarity import far_from_centre
 from ..session import read, written
 from .ledger import _DIGIT, BASE, BLANK, SQL_FLAGS, C, D, Query, gl_of
 
@@ -299,7 +300,47 @@ def rule_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("rule_id").agg(F.count("bad").alias("tp"), (F.count(F.lit(1)) - F.count("bad")).alias("fp"), (F.lit(n) - F.count("bad")).alias("fn"))
 
 
+@query(f"""
+    WITH {_CASES}, a AS (SELECT row_id, rank() OVER (ORDER BY score DESC) AS r FROM c WHERE score IS NOT NULL), b AS (SELECT row_id, rank() OVER (ORDER BY doc_count DESC) AS r FROM c WHERE doc_count IS NOT NULL),
+    q AS (SELECT quantile_cont(row_count, 0.95) AS q FROM c WHERE row_count > 0), e AS (SELECT row_id, rank() OVER (ORDER BY row_count DESC) AS r FROM c, q WHERE row_count >= q.q)
+    SELECT row_id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0) + coalesce(1.0 / (60 + e.r), 0), 9) AS rrf FROM c LEFT JOIN a USING (row_id) LEFT JOIN b USING (row_id) LEFT JOIN e USING (row_id)""")
+def boosted_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(K.boosted_fusion(_cases(spark, d), "row_id", ["score", "doc_count"], "row_count"), 9, "rrf")
+
+
+@query(f"WITH {_CASES} " + " UNION ALL ".join(f"SELECT '{k}' AS score_name, count(*) AS n, round(count(*) FILTER (WHERE coalesce({k}, 0) <> 0) / count(*), 6) AS non_zero_rate, round(count(DISTINCT coalesce({k}, 0)) / count(*), 6) AS distinct_share, round(count(*) FILTER (WHERE coalesce({k}, 0) = (SELECT max(coalesce({k}, 0)) FROM c)) / count(*), 6) AS top_tie_share FROM c" for k in ("score", "doc_count", "row_count")))
+def score_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(K.score_diagnostics(_cases(spark, d), ["score", "doc_count", "row_count"]), 6, "non_zero_rate", "distinct_share", "top_tie_share")
+
+
+@query(f"""
+    WITH {_FLAGS}, g AS (SELECT row_id, bool_or(rule_id = 'L3-02') AS m, bool_or(rule_id IN ('L3-04', 'L3-07'))::INTEGER + bool_or(rule_id IN ('L1-05', 'L1-07', 'L1-04'))::INTEGER + bool_or(rule_id IN ('L4-04', 'L2-03', 'L2-05'))::INTEGER + bool_or(rule_id IN ('L4-01', 'L4-03'))::INTEGER AS k FROM flags GROUP BY 1)
+    SELECT row_id, k / 4 AS topside FROM g WHERE m""")
+def topside_scores(spark: SparkSession, d: str) -> DataFrame:
+    return K.topside(_flags(spark, d))
+
+
+@query(f"WITH {_FLAGS}, {_UNITS} SELECT rule_id, count(*) AS units, count(*) FILTER (WHERE len(fired) = 1) AS alone FROM (SELECT unnest(fired) AS rule_id, fired FROM units) GROUP BY 1")
+def rule_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return K.coverage(K.document_units(_flags(spark, d), gl_of(spark, d)))
+
+
+@query("""
+    WITH u AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IS NOT NULL), m AS (SELECT label, i, avg(v::DOUBLE) AS m FROM u GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1),
+    d AS (SELECT vec_id, label, 1 - list_cosine_similarity(embedding::DOUBLE[], c) AS distance FROM embeddings JOIN c USING (label)), q AS (SELECT label, quantile_cont(distance, 0.95) AS q FROM d GROUP BY 1)
+    SELECT vec_id, label, round(distance, 6) AS distance FROM d JOIN q USING (label) WHERE distance > q""")
+def far_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(far_from_centre(read(spark, d, "embeddings"), "vec_id", "embedding", "label"), 6, "distance")
+
+
 # ---- learning
+@query()
+def reconstruction_errors(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import detect
+
+    return detect.reconstruction_errors(detect.model_features(gl_of(spark, d)), detect.FEATURES)
+
+
 @query(f"""
     WITH a AS (SELECT debit_amount AS v FROM general_ledger WHERE {_HALF} = 1), b AS (SELECT debit_amount AS v FROM general_ledger WHERE {_HALF} = 2), m AS (SELECT avg(v) AS m, stddev_samp(v) AS s FROM a),
     x AS (SELECT 'a' AS k, greatest(0, least(9, floor((v - m) / s * 2 + 5))) AS bin FROM a, m WHERE v IS NOT NULL UNION ALL SELECT 'b', greatest(0, least(9, floor((v - m) / s * 2 + 5))) FROM b, m WHERE v IS NOT NULL),

@@ -223,6 +223,17 @@ def profile_categorical(spark: SparkSession, d: str) -> DataFrame:
     return V.top_values(gl_of(spark, d), _CATEGORICAL)
 
 
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, count(*) FILTER (WHERE {c} IS NULL) AS nulls, strftime(min({c}), '%Y-%m-%d %H:%M:%S') AS first, strftime(max({c}), '%Y-%m-%d %H:%M:%S') AS last, count(DISTINCT {c}::DATE) AS days, round(avg((isodow({c}) >= 6)::INTEGER), 6) AS weekend_share FROM general_ledger" for c in ("posting_date", "document_date", "approval_date", "created_at")))
+def profile_datetime(spark: SparkSession, d: str) -> DataFrame:
+    v = V.datetime_profile(gl_of(spark, d), ["posting_date", "document_date", "approval_date", "created_at"])
+    return v.withColumn("weekend_share", F.round("weekend_share", 6))
+
+
+@query("SELECT 'can_approve_je' AS column_name, count(*) FILTER (WHERE can_approve_je) AS trues, count(*) FILTER (WHERE NOT can_approve_je) AS falses, count(*) FILTER (WHERE can_approve_je IS NULL) AS nulls FROM employees")
+def profile_boolean(spark: SparkSession, d: str) -> DataFrame:
+    return V.boolean_profile(read(spark, d, "employees"), ["can_approve_je"])
+
+
 # ---- tests of lines: (row_id, rule_id, score)
 def _flag(rule: str, sql: str, score: str = "1.0") -> str:
     return f"SELECT row_id, '{rule}' AS rule_id, {score}::DOUBLE AS score {sql}"

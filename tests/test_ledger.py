@@ -139,3 +139,28 @@ def test_spine_and_empty_series(ledger, spark):
     assert timeseries.burst(e, ["company_code"]).count() == 0 and timeseries.pair_rarity(e, "gl_account", "source").count() == 0 and validate.missing_business_days(e).count() == 0
     assert validate.repeated_rows(e, ["row_id"]).first()["rows"] == 0
     assert validate.repeated_rows(ledger({}, {}, dict(source=None)), ["row_id"]).first()["repeated"] == 1
+
+
+def test_fitted_detectors(spark):
+    import random
+
+    from tallyspark.operators import detect
+
+    rnd = random.Random(1)
+    rows = []
+    for k in range(600):
+        a, b = rnd.gauss(0, 1), rnd.gauss(0, 1)
+        rows.append((k, a, a + b * 0.1 if k else a + 9.0, b, float(a + b > 0)))
+    x = spark.createDataFrame(rows, "row_id long, a double, b double, c double, label double")
+    worst = detect.reconstruction_errors(x, ["a", "b", "c"], 2).orderBy("error", ascending=False).first()
+    assert worst["row_id"] == 0
+    model = detect.supervised(x.filter("row_id < 400"), ["a", "c"], "label")
+    held = detect.scored(model, x.filter("row_id >= 400"), ["label"]).collect()
+    assert sum((r["score"] > 0.5) == (r["label"] > 0.5) for r in held) >= 0.95 * len(held)
+
+
+def test_vectors(spark):
+    from tallyspark.operators import similarity
+
+    df = spark.createDataFrame([(k, [1.0, k / 1000], "g") for k in range(20)] + [(99, [-1.0, 0.0], "g"), (100, None, "g"), (101, [1.0, 1.0], None)], "i int, v array<float>, g string")
+    assert [r["i"] for r in similarity.far_from_centre(df, "i", "v", "g", 0.95).collect()] == [99]
