@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import base_amount, blank, plain, zero
-from ..session import small_or_shuffled
+from ..session import small_or_shuffled, written
 
 
 def has_times(df: DataFrame, c: str = "posting_date") -> bool:
@@ -23,11 +23,11 @@ def holiday(d: Column, s: Settings) -> Column:
     return F.coalesce((F.month(d) * 100 + F.day(d)).isin(*(m * 100 + x for m, x in s.fixed_holidays)), F.lit(False))
 
 
-def time_features(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def time_features(df: DataFrame, s: Settings = DEFAULT, timed: bool | None = None) -> DataFrame:
     p, h = F.col("posting_date"), clock("posting_date")
     weekend = F.coalesce(F.weekday(p) >= 5, F.lit(False))
     late = ((h >= s.midnight_start) | (h < s.midnight_end)) if s.midnight_start > s.midnight_end else ((h >= s.midnight_start) & (h < s.midnight_end))
-    timed = has_times(df)
+    timed = has_times(df) if timed is None else timed
     kind = F.when(p.isNull(), "unknown").when((h >= 22) | (h < 6), "midnight").when((h >= s.normal_start) & (h < s.normal_end), "normal").otherwise("overtime")
     md = F.month(p) * 100 + F.day(p)
     kind = F.when((kind == "overtime") & ((md >= 1220) | (md <= 115)), "normal").otherwise(kind)
@@ -60,17 +60,25 @@ def amount_features(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 def zscores(df: DataFrame, value: Column, name: str, s: Settings = DEFAULT) -> DataFrame:
     """value against its account if that has enough lines, else against the accounts of the same first digit, else against all.
 
-    Null where there are too few lines in all or value is null; 0 where the spread is 0. Statistics are aggregated and joined back, so a
-    hot account is never in one task."""
-    x = df.withColumns({"_v": value, "_a": F.coalesce("gl_account", F.lit("")), "_c": F.coalesce(F.substring("gl_account", 1, 1), F.lit(""))})
-    stats = lambda p: (F.count(F.lit(1)).alias(f"{p}n"), F.avg("_v").alias(f"{p}m"), F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias(f"{p}s"))
-    one = x.agg(*stats("g")).first()
-    x = x.join(small_or_shuffled(x.groupBy("_a").agg(*stats("a"))), "_a", "left").join(small_or_shuffled(x.groupBy("_c").agg(*stats("c"))), "_c", "left")
-    pick = lambda k: F.when(F.col("an") >= s.zscore_group, F.col(f"a{k}")).when(F.col("cn") >= s.zscore_group, F.col(f"c{k}")).otherwise(F.lit(one[f"g{k}"]).cast("double"))
-    z = F.when(pick("s") == 0, F.when(F.col("_v").isNotNull(), 0.0)).otherwise((F.col("_v") - pick("m")) / pick("s"))
-    if one["gn"] < s.zscore_least:
-        z = F.lit(None).cast("double")
-    return x.withColumn(name, z).drop("_v", "_a", "_c", *(f"{p}{k}" for p in "ac" for k in "nms"))
+    Null where there are too few lines in all or value is null; 0 where the spread is 0. The ledger is aggregated once, per account; means and spreads of the wider groups are
+    pooled from those of accounts, and each account's are looked up, so a hot account is never in one task."""
+    x = df.withColumns({"_v": value, "_a": F.coalesce("gl_account", F.lit(""))})
+    acc = x.groupBy("_a").agg(F.count(F.lit(1)).alias("n"), F.count("_v").alias("k"), F.coalesce(F.avg("_v"), F.lit(0.0)).alias("m"), F.coalesce(F.var_samp("_v"), F.lit(0.0)).alias("s2"))
+    acc = written(acc.withColumn("_c", F.substring("_a", 1, 1)), "accounts")
+    spread = lambda mean: F.sum(F.col("s2") * F.greatest(F.col("k") - 1, F.lit(0)) + F.col("k") * F.pow(F.col("m") - mean, 2))
+    root = lambda m2, k: F.when(k > 1, F.sqrt(m2 / F.greatest(k - 1, F.lit(1)))).otherwise(0.0)
+    one = acc.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.try_divide(F.sum(F.col("k") * F.col("m")), F.sum("k")).alias("m")).first()
+    if not one["k"] or one["n"] < s.zscore_least:
+        return df.withColumn(name, F.lit(None).cast("double"))
+    whole = acc.agg(spread(F.lit(one["m"])).alias("m2")).first()["m2"]
+    w = Window.partitionBy("_c")  # over accounts
+    c = acc.withColumn("cm", F.try_divide(F.sum(F.col("k") * F.col("m")).over(w), F.sum("k").over(w))).groupBy("_c").agg(F.sum("n").alias("cn"), F.sum("k").alias("ck"), F.max("cm").alias("cm"), spread(F.col("cm")).alias("cs"))
+    pick = lambda a, b, g: F.when(F.col("n") >= s.zscore_group, a).when(F.col("cn") >= s.zscore_group, b).otherwise(F.lit(float(g)))
+    look = acc.join(c, "_c").select(
+        "_a", pick(F.col("m"), F.col("cm"), one["m"]).alias("_m"), pick(F.sqrt("s2"), root(F.col("cs"), F.col("ck")), (whole / (one["k"] - 1)) ** 0.5 if one["k"] > 1 else 0.0).alias("_s")
+    )
+    z = F.when(F.col("_s") == 0, F.when(F.col("_v").isNotNull(), 0.0)).otherwise((F.col("_v") - F.col("_m")) / F.col("_s"))
+    return x.join(small_or_shuffled(look), "_a").withColumn(name, z).drop("_v", "_a", "_m", "_s")
 
 
 def starts(c: Column, prefixes: tuple[str, ...]) -> Column:
@@ -113,16 +121,19 @@ def text_features(df: DataFrame, column: str = "line_text", s: Settings = DEFAUL
     })
 
 
+def masters(employees: DataFrame) -> DataFrame:
+    """(approver, limit, may), one row per user, however spelled: the largest limit and any authority; without authority the limit is 0."""
+    m = employees.filter(F.col("user_id").isNotNull()).groupBy(plain("user_id").alias("approver")).agg(F.max("approval_limit").alias("limit"), F.max("can_approve_je").alias("may"))
+    return m.withColumn("limit", F.when(F.col("may") == False, 0.0).otherwise(F.col("limit")))  # noqa: E712
+
+
 def approval_features(df: DataFrame, employees: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """The approver's limit and authority against the document's amount. The master is small by nature, which is checked; spelled twice, the larger limit holds."""
-    m = employees.filter(F.col("user_id").isNotNull()).groupBy(plain("user_id").alias("_u")).agg(F.max("approval_limit").alias("limit"), F.max("can_approve_je").alias("may"))
+    """The approver's limit and authority against the document's amount."""
     docs = df.groupBy("document_id").agg(F.sum(zero("debit_amount")).alias("document_amount"))
-    x = df.withColumn("_u", plain("approved_by")).join(small_or_shuffled(m), "_u", "left").join(docs, "document_id", "left")
-    limit = F.when(F.col("may") == False, 0.0).otherwise(F.col("limit"))  # noqa: E712
-    known = F.col("may").isNotNull() | F.col("limit").isNotNull()
-    x = x.withColumn("approver_limit", limit).withColumn("approver_known", known)
-    a, lim = F.col("document_amount"), F.col("approver_limit")
+    x = df.withColumn("approver", plain("approved_by")).join(small_or_shuffled(masters(employees)), "approver", "left").join(docs, "document_id", "left")
+    a, lim = F.col("document_amount"), F.col("limit")
     return x.withColumns({
+        "approver_limit": lim, "approver_known": F.col("may").isNotNull() | lim.isNotNull(),
         "is_near_threshold": F.coalesce((a >= lim * s.near_ratio) & (a < lim), F.lit(False)),
         "exceeds_threshold": F.coalesce(a > lim, F.lit(False)),
-    }).drop("_u", "limit", "may")
+    }).drop("approver", "limit", "may")

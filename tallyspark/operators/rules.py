@@ -44,16 +44,15 @@ def held(df: DataFrame, tests: dict[str, Column], scores: dict[str, float] | Non
     return df.select("row_id", F.explode(F.array_compact(F.array(*each))).alias("x")).select("row_id", "x.rule_id", "x.score")
 
 
-def document_tests(gl: DataFrame, employees: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def document_tests(gl: DataFrame, people: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Tests of a line against its document's totals, from one aggregation and one join: unbalanced (L1-01: all lines of the document; a line without a document is its own), over or just below the
-    approver's limit (L1-04, L2-01), and asset debits met by expense credits (L2-04: those lines, where the subtotals are within the tolerance)."""
+    approver's limit (L1-04, L2-01; people: features.masters()), and asset debits met by expense credits (L2-04: those lines, where the subtotals are within the tolerance)."""
     d, c = zero("debit_amount"), zero("credit_amount")
     asset, expense = X.starts(F.col("gl_account"), s.asset_prefixes), X.starts(F.col("gl_account"), s.expense_prefixes)
     x = gl.select("row_id", "document_id", F.coalesce(F.col("document_id"), F.concat(F.lit("#"), F.col("row_id").cast("string"))).alias("doc"), d.alias("d"), c.alias("c"), asset.alias("asset"), expense.alias("expense"), plain("approved_by").alias("approver"))
     docs = x.groupBy("doc").agg(F.sum(F.col("d") - F.col("c")).alias("off"), F.sum("d").alias("total"), F.sum(F.when(F.col("asset"), F.col("d")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("expense"), F.col("c")).otherwise(0.0)).alias("e"))
-    m = employees.filter(F.col("user_id").isNotNull()).groupBy(plain("user_id").alias("approver")).agg(F.max("approval_limit").alias("limit"), F.max("can_approve_je").alias("may"))
-    x = x.join(docs, "doc").join(small_or_shuffled(m), "approver", "left")
-    limit = F.when(F.col("may") == False, 0.0).otherwise(F.col("limit"))  # noqa: E712
+    x = x.join(docs, "doc").join(people, "approver", "left")
+    limit = F.col("limit")
     total = F.when(F.col("document_id").isNotNull(), F.col("total"))
     met = F.col("document_id").isNotNull() & (F.col("a") > 0) & (F.col("e") > 0) & (F.abs(F.col("a") - F.col("e")) <= s.duplicate_tolerance * F.greatest("a", "e"))
     return held(x, {
@@ -81,14 +80,14 @@ def thresholds(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return per.select("company_code", "fiscal_year", F.greatest(F.abs(F.col("rev") - F.col("exp")) * 0.05 * 0.75, F.abs("rev") * 0.005 * 0.75).alias("pm")).filter("pm > 0")
 
 
-def lookup_tests(gl: DataFrame, employees: DataFrame, chart: DataFrame | None = None, s: Settings = DEFAULT, pairs: tuple[tuple[str, str], ...] = SEPARATE) -> DataFrame:
+def lookup_tests(gl: DataFrame, people: DataFrame, chart: DataFrame | None = None, s: Settings = DEFAULT, pairs: tuple[tuple[str, str], ...] = SEPARATE, timed: bool | None = None) -> DataFrame:
     """Tests of a line against small tables, in one pass over the ledger: account not in the chart (L1-03), people in both processes of a forbidden pair (L1-06), unknown approver (L1-07-02), at least
     material (L4-03), after-hours lines of people who post late unusually often (L4-05). Without a chart, accounts in use stand for it."""
-    x = X.time_features(gl, s)
+    x = X.time_features(gl, s, timed)
     chart = (chart_of_accounts(gl) if chart is None else chart.select("account").distinct()).withColumn("listed", F.lit(True))
-    known = employees.select(plain("user_id").alias("approver")).filter("approver is not null").distinct().withColumn("known", F.lit(True))
+    known = people.select("approver").withColumn("known", F.lit(True))
     x = x.withColumns({"account": F.trim("gl_account"), "approver": plain("approved_by"), "user": F.when(human(s), plain("created_by")), "base": base_amount()})
-    x = x.join(small_or_shuffled(chart), "account", "left").join(small_or_shuffled(known), "approver", "left").join(small_or_shuffled(users(x.drop("user"), s, pairs)), "user", "left").join(small_or_shuffled(thresholds(gl, s)), ["company_code", "fiscal_year"], "left")
+    x = x.join(small_or_shuffled(chart), "account", "left").join(known, "approver", "left").join(small_or_shuffled(users(x.drop("user"), s, pairs)), "user", "left").join(small_or_shuffled(thresholds(gl, s)), ["company_code", "fiscal_year"], "left")
     return held(x, {
         "L1-03": ~blank("account") & F.col("listed").isNull(), "L1-06": F.array_contains("hit", F.col("business_process")), "L1-07-02": ~blank("approver") & F.col("known").isNull(), "L4-03": F.col("base") >= F.col("pm"),
         "L4-05": F.col("is_after_hours") & F.col("late_hot"),
@@ -173,9 +172,9 @@ def reversals(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return flags(gl.join(hit, ["document_id", "gl_account"], "left_semi"), "L2-05")
 
 
-def row_tests(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def row_tests(gl: DataFrame, s: Settings = DEFAULT, timed: bool | None = None) -> DataFrame:
     """Tests of one line by itself, in one pass: missing fields, self approval, no approval, wrong period, manual entry, related party, period end, weekend or holiday, after hours, date gap, suspense account."""
-    x = X.pattern_features(X.time_features(gl, s), s)
+    x = X.pattern_features(X.time_features(gl, s, timed), s)
     machine = F.coalesce(plain("user_persona") == "automated_system", F.lit(False))
     tests = {
         "L1-02": reduce(lambda a, b: a | b, (blank(c) for c in REQUIRED)), "L1-05": (plain("created_by") == plain("approved_by")) & ~blank("created_by") & ~machine, "L1-07": blank("approved_by"),
@@ -254,9 +253,10 @@ RULES = {r.id: r for r in (
 
 def all_flags(gl: DataFrame, employees: DataFrame, s: Settings = DEFAULT, only: set[str] | None = None) -> DataFrame:
     """The long table of flags of every test, or of some."""
+    people, timed = small_or_shuffled(X.masters(employees)), X.has_times(gl)
     tests: dict[tuple[str, ...], Callable[[], DataFrame]] = {
-        ("L1-02", "L1-05", "L1-07", "L1-08", "L3-02", "L3-03", "L3-04", "L3-05", "L3-06", "L3-07", "L3-09"): lambda: row_tests(gl, s), ("L1-01", "L1-04", "L2-01", "L2-04"): lambda: document_tests(gl, employees, s),
-        ("L1-03", "L1-06", "L1-07-02", "L4-03", "L4-05"): lambda: lookup_tests(gl, employees, s=s), ("L2-02",): lambda: duplicate_payments(gl, s), ("L2-03",): lambda: duplicate_entries(gl, s), ("L2-05",): lambda: reversals(gl, s),
+        ("L1-02", "L1-05", "L1-07", "L1-08", "L3-02", "L3-03", "L3-04", "L3-05", "L3-06", "L3-07", "L3-09"): lambda: row_tests(gl, s, timed), ("L1-01", "L1-04", "L2-01", "L2-04"): lambda: document_tests(gl, people, s),
+        ("L1-03", "L1-06", "L1-07-02", "L4-03", "L4-05"): lambda: lookup_tests(gl, people, s=s, timed=timed), ("L2-02",): lambda: duplicate_payments(gl, s), ("L2-03",): lambda: duplicate_entries(gl, s), ("L2-05",): lambda: reversals(gl, s),
         ("L4-01",): lambda: revenue_outlier(gl, s), ("L4-04",): lambda: rare_pairs(gl), ("L4-06",): lambda: batch_anomaly(gl, s), ("EV01",): lambda: split_purchases(gl),
     }
     made = [f() for ids, f in tests.items() if only is None or only & set(ids)]

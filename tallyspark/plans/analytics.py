@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT as S
 from ..functions import base_amount, ecdf
+from ..operators import features as X
 from ..operators import learn as L
 from ..operators import population as P
 from ..operators import rules as R
@@ -294,7 +295,7 @@ def rule_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """How each test's documents agree with a truth, here the unbalanced documents."""
     gl = gl_of(spark, d).filter("document_id is not null")
     f = _flags(spark, d).join(gl.select("row_id", "document_id"), "row_id").select("rule_id", "document_id")
-    b = R.document_tests(gl, read(spark, d, "employees")).filter("rule_id = 'L1-01'").join(gl.select("row_id", "document_id"), "row_id").select("document_id").distinct()
+    b = R.document_tests(gl, X.masters(read(spark, d, "employees"))).filter("rule_id = 'L1-01'").join(gl.select("row_id", "document_id"), "row_id").select("document_id").distinct()
     hits = f.distinct().join(b.withColumn("bad", F.lit(1)), "document_id", "left")
     n = b.count()
     return hits.groupBy("rule_id").agg(F.count("bad").alias("tp"), (F.count(F.lit(1)) - F.count("bad")).alias("fp"), (F.lit(n) - F.count("bad")).alias("fn"))

@@ -25,7 +25,7 @@ def ledger(spark):
 
 @pytest.fixture
 def employees(spark):
-    return spark.createDataFrame([("u2", 100.0, True), ("U3", 1e9, False), (None, 5.0, True)], "user_id string, approval_limit double, can_approve_je boolean")
+    return features.masters(spark.createDataFrame([("u2", 100.0, True), ("U3", 1e9, False), (None, 5.0, True)], "user_id string, approval_limit double, can_approve_je boolean"))
 
 
 def ids(df):
