@@ -102,23 +102,23 @@ def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits; null for null, 0 for empty."""
     chars = F.split(text, "")
     n = F.size(chars).cast("double")
-    each = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+    each = F.transform(F.array_distinct(chars), lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
     return F.when(F.length(text) == 0, 0.0).when(text.isNotNull(), F.aggregate(each, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)))
 
 
 def text_features(df: DataFrame, column: str = "line_text", s: Settings = DEFAULT) -> DataFrame:
-    t = F.col(column)
-    clean = F.trim(F.regexp_replace(F.lower(t), r"[ \t\r\n]+", " "))
-    tokens = F.split(clean, " ")
+    """The cleaned text is a column of its own first, so that it is made once per row."""
+    x = df.withColumn("_clean", F.trim(F.regexp_replace(F.lower(column), r"[ \t\r\n]+", " "))).withColumn("_tokens", F.split("_clean", " "))
+    clean, tokens = F.col("_clean"), F.col("_tokens")
     corrupted = clean.rlike("^[ㄱ-ㅎㅏ-ㅣ ]+$") | clean.rlike("^[^0-9a-z가-힣]+$") | clean.rlike(r"^(.)\1{3,}$")
     high, medium = (clean.rlike("(" + "|".join(w) + ")") for w in (s.high_words, s.medium_words))
-    return df.withColumns({
+    return x.withColumns({
         "description_quality": F.when(blank(column), "missing").when(corrupted, "corrupted").otherwise("normal"),
         "token_count": F.when(blank(column), 0).otherwise(F.size(tokens)),
         "type_token_ratio": F.when(blank(column), 0.0).otherwise(F.size(F.array_distinct(tokens)) / F.size(tokens)),
         "char_entropy": entropy(clean),
         "risk_keyword": F.when(high, "high").when(medium, "medium"),
-    })
+    }).drop("_clean", "_tokens")
 
 
 def masters(employees: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import base_amount, blank, plain, zero
-from ..session import small_or_shuffled, written
+from ..session import at_once, small_or_shuffled, written
 from . import features as X
 
 REQUIRED = ("document_id", "company_code", "fiscal_year", "fiscal_period", "posting_date", "document_date", "document_type", "gl_account")
@@ -83,11 +83,12 @@ def thresholds(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 def lookup_tests(gl: DataFrame, people: DataFrame, chart: DataFrame | None = None, s: Settings = DEFAULT, pairs: tuple[tuple[str, str], ...] = SEPARATE, timed: bool | None = None) -> DataFrame:
     """Tests of a line against small tables, in one pass over the ledger: account not in the chart (L1-03), people in both processes of a forbidden pair (L1-06), unknown approver (L1-07-02), at least
     material (L4-03), after-hours lines of people who post late unusually often (L4-05). Without a chart, accounts in use stand for it."""
-    x = X.time_features(gl, s, timed)
+    x = gl_timed = X.time_features(gl, s, timed)
     chart = (chart_of_accounts(gl) if chart is None else chart.select("account").distinct()).withColumn("listed", F.lit(True))
     known = people.select("approver").withColumn("known", F.lit(True))
+    listed, odd, material = at_once(lambda: small_or_shuffled(chart), lambda: small_or_shuffled(users(gl_timed, s, pairs)), lambda: small_or_shuffled(thresholds(gl, s)))
     x = x.withColumns({"account": F.trim("gl_account"), "approver": plain("approved_by"), "user": F.when(human(s), plain("created_by")), "base": base_amount()})
-    x = x.join(small_or_shuffled(chart), "account", "left").join(known, "approver", "left").join(small_or_shuffled(users(x.drop("user"), s, pairs)), "user", "left").join(small_or_shuffled(thresholds(gl, s)), ["company_code", "fiscal_year"], "left")
+    x = x.join(listed, "account", "left").join(known, "approver", "left").join(odd, "user", "left").join(material, ["company_code", "fiscal_year"], "left")
     return held(x, {
         "L1-03": ~blank("account") & F.col("listed").isNull(), "L1-06": F.array_contains("hit", F.col("business_process")), "L1-07-02": ~blank("approver") & F.col("known").isNull(), "L4-03": F.col("base") >= F.col("pm"),
         "L4-05": F.col("is_after_hours") & F.col("late_hot"),
@@ -253,11 +254,10 @@ RULES = {r.id: r for r in (
 
 def all_flags(gl: DataFrame, employees: DataFrame, s: Settings = DEFAULT, only: set[str] | None = None) -> DataFrame:
     """The long table of flags of every test, or of some."""
-    people, timed = small_or_shuffled(X.masters(employees)), X.has_times(gl)
+    people, timed = at_once(lambda: small_or_shuffled(X.masters(employees)), lambda: X.has_times(gl))
     tests: dict[tuple[str, ...], Callable[[], DataFrame]] = {
         ("L1-02", "L1-05", "L1-07", "L1-08", "L3-02", "L3-03", "L3-04", "L3-05", "L3-06", "L3-07", "L3-09"): lambda: row_tests(gl, s, timed), ("L1-01", "L1-04", "L2-01", "L2-04"): lambda: document_tests(gl, people, s),
         ("L1-03", "L1-06", "L1-07-02", "L4-03", "L4-05"): lambda: lookup_tests(gl, people, s=s, timed=timed), ("L2-02",): lambda: duplicate_payments(gl, s), ("L2-03",): lambda: duplicate_entries(gl, s), ("L2-05",): lambda: reversals(gl, s),
         ("L4-01",): lambda: revenue_outlier(gl, s), ("L4-04",): lambda: rare_pairs(gl), ("L4-06",): lambda: batch_anomaly(gl, s), ("EV01",): lambda: split_purchases(gl),
     }
-    made = [f() for ids, f in tests.items() if only is None or only & set(ids)]
-    return reduce(DataFrame.unionByName, made)
+    return reduce(DataFrame.unionByName, at_once(*(f for ids, f in tests.items() if only is None or only & set(ids))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,5 +74,11 @@ def small_or_shuffled(df: DataFrame, max_rows: int = BROADCAST_ROWS, ready: bool
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def at_once(*makers: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Call functions that build frames side by side, so that the small jobs which some of them run overlap."""
+    with ThreadPoolExecutor(min(8, len(makers))) as pool:
+        return list(pool.map(lambda f: f(), makers))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
