@@ -172,7 +172,7 @@ def alike_pairs(records: DataFrame, a: Alike = Alike()) -> DataFrame:  # noqa: B
     ok = F.col("grp").isNotNull() & F.col("day").isNotNull() & (F.col("amount") > 0) & (F.col("amount") < float("inf"))
     s = written(in_cells(sketched(records.filter(ok), a), a).drop("dc", "mc"), "cells")
     # how many records a cell holds decides how deep its tries are matched (Alike.depth)
-    by_size = [(a.small * a.widen**d, d + 1) for d in range(9)]
+    by_size = [(n, d + 1) for d in range(40) if (n := a.small * a.widen**d) < 2**62]
     depth = F.coalesce(*(F.when(F.col("n") > least, F.lit(d)) for least, d in reversed(by_size)))
     crowded = written(s.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > a.small).select("cell", depth.alias("depth")), "crowded")
     narrow = ["key", "id", "grp", "day", "amount", "shingles", *(f"b{j}" for j in range(WORDS)), "text"]
