@@ -53,12 +53,32 @@ def to_flag(c: Column) -> Column:
     return F.when(s.isin("true", "t", "yes", "y", "1", "1.0", "x"), True).when(s.isin("false", "f", "no", "n", "0", "0.0", ""), False)
 
 
+#: Order-keeping bins of a number, per unit of log(1 + |x|).
+BINS = 1024
+
+
+def order_bin(c: Column) -> Column:
+    """A coarse bin that grows with the value; numbers of any size fall into some ten thousand bins."""
+    return F.floor(F.signum(c) * F.log1p(F.abs(c)) * BINS)
+
+
+def running_count(df: DataFrame, value: str, name: str, keys: list[str] | None = None, descending: bool = False) -> DataFrame:
+    """(keys, value, _c, _all, name): for each distinct value that is not null, how often it occurs, how many rows there are, and how many are at most (descending: at least) as large.
+
+    Occurrences are summed per value, then per bin; running sums go over bins and, separately, within each bin, so neither rows nor distinct values are ever in one task."""
+    keys = keys or []
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_bin", order_bin(F.col(value).cast("double")))
+    way = F.desc if descending else F.asc
+    per = counts.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_b"))
+    w = Window.partitionBy(*keys)
+    per = per.withColumn("_before", F.sum("_b").over(w.orderBy(way("_bin"))) - F.col("_b")).withColumn("_all", F.sum("_b").over(w)).drop("_b")
+    inner = Window.partitionBy(*keys, "_bin").orderBy(way(value))
+    return counts.join(per, [*keys, "_bin"]).withColumn(name, F.col("_before") + F.sum("_c").over(inner)).drop("_bin", "_before")
+
+
 def ecdf(df: DataFrame, value: str, name: str, keys: list[str] | None = None) -> DataFrame:
-    """The share of rows (of each group) whose value is at most the row's own, zeros and nulls kept at 0 and left out of the base. Values are counted first, so
-    the running sum is over distinct values and is joined back."""
+    """The share of rows (of each group) whose value is at most the row's own, zeros and nulls kept at 0 and left out of the base."""
     keys = keys or []
     pos = F.col(value) > 0
-    counts = df.filter(pos).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys)
-    cum = counts.withColumn(name, F.sum("_c").over(w.orderBy(value)) / F.sum("_c").over(w)).drop("_c")
+    cum = running_count(df.filter(pos).select(*keys, value), value, "_r", keys).select(*keys, value, (F.col("_r") / F.col("_all")).alias(name))
     return df.join(cum, [*keys, value], "left").withColumn(name, F.when(pos, F.col(name)).otherwise(0.0))

@@ -28,8 +28,8 @@ def model_features(gl: DataFrame) -> DataFrame:
 
 def reconstruction_errors(x: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
     """(row_id, error): the squared distance of a standardised row from the plane of the first k principal components."""
-    p = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="v"), StandardScaler(inputCol="v", outputCol="z", withMean=True), PCA(k=k, inputCol="z", outputCol="c")]).fit(x)
-    y = p.transform(x).select("row_id", vector_to_array("z").alias("z"), vector_to_array("c").alias("c"))
+    p = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_z", withMean=True), PCA(k=k, inputCol="_z", outputCol="_c")]).fit(x)
+    y = p.transform(x).select("row_id", vector_to_array("_z").alias("z"), vector_to_array("_c").alias("c"))
     sq = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
     # the components are orthonormal, so what they leave is the difference of the squared lengths
     return y.select("row_id", F.greatest(F.lit(0.0), sq(F.col("z")) - sq(F.col("c"))).alias("error"))
@@ -37,7 +37,7 @@ def reconstruction_errors(x: DataFrame, columns: list[str], k: int = 3) -> DataF
 
 def supervised(train: DataFrame, columns: list[str], label: str):
     """A fitted pipeline; its transform() adds probability. Standardised logistic regression."""
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="v"), StandardScaler(inputCol="v", outputCol="z", withMean=True), LogisticRegression(featuresCol="z", labelCol=label, regParam=0.01)]).fit(train)
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_z", withMean=True), LogisticRegression(featuresCol="_z", labelCol=label, regParam=0.01)]).fit(train)
 
 
 def scored(model, x: DataFrame, keep: list[str]) -> DataFrame:

@@ -69,13 +69,14 @@ def _psi(a: DataFrame, b: DataFrame, key: str, eps: float) -> DataFrame:
     return j.select(((pb - pa) * F.log(pb / pa)).alias("t")).agg(F.sum("t").alias("psi"))
 
 
-def sequences(df: DataFrame, user: str, order: list[str], features: list[str], length: int = 5, stride: int = 5) -> DataFrame:
-    """(user, at, steps): every stride-th line of a user with the last `length` lines up to it, oldest first, padded with zeros in front."""
-    w = Window.partitionBy(user).orderBy(*order)
+def sequences(df: DataFrame, user: str, within: Column, order: list[str], features: list[str], length: int = 5, stride: int = 5) -> DataFrame:
+    """(user, period, at, steps): every stride-th line of a user in a period with the last `length` lines up to it, oldest first, padded with zeros in front. Sequences end with their period (a day,
+    a month), which bounds what one task has to order of a user who holds a third of all lines."""
+    w = Window.partitionBy(user, "period").orderBy(*order)
     row = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features))
-    x = df.filter(F.col(user).isNotNull()).withColumn("at", F.row_number().over(w)).withColumn("steps", F.collect_list(row).over(w.rowsBetween(1 - length, 0)))
+    x = df.filter(F.col(user).isNotNull()).withColumn("period", within).withColumn("at", F.row_number().over(w)).withColumn("steps", F.collect_list(row).over(w.rowsBetween(1 - length, 0)))
     pad = F.array_repeat(F.array(*(F.lit(0.0) for _ in features)), F.lit(length) - F.size("steps"))
-    return x.filter(F.col("at") % stride == 0).select(user, "at", F.concat(pad, F.col("steps")).alias("steps"))
+    return x.filter(F.col("at") % stride == 0).select(user, "period", "at", F.concat(pad, F.col("steps")).alias("steps"))
 
 
 def group_split(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> DataFrame:

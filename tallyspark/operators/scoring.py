@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import running_count
 from .rules import RULES
 
 #: Weight of each level in a row's score, and the lower bounds of the risk levels.
@@ -72,9 +73,7 @@ def combine(units: DataFrame, bodies: list[str], features: list[str], strict: bo
 
 def rank_of(df: DataFrame, key: str, value: str, name: str, descending: bool = True) -> DataFrame:
     """The rank (1 + rows that are better; equal values share one), from counts of distinct values, so no task sorts all rows."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy(F.desc(value) if descending else F.asc(value))
-    ranks = counts.withColumn(name, F.sum("_c").over(w) - F.col("_c") + 1).drop("_c")
+    ranks = running_count(df.select(value), value, "_r", descending=descending).select(value, (F.col("_r") - F.col("_c") + 1).alias(name))
     return df.join(ranks, value, "left").select(key, name)
 
 

@@ -384,8 +384,8 @@ def scaling_policy(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def user_sequences(spark: SparkSession, d: str) -> DataFrame:
-    x = gl_of(spark, d).filter(~F.upper("created_by").contains("SVC_")).withColumn("amount", F.log1p(base_amount()))
-    return L.sequences(x, "created_by", ["posting_date", "row_id"], ["amount", "fiscal_period"])
+    x = gl_of(spark, d).withColumn("amount", F.log1p(base_amount()))
+    return L.sequences(x, "created_by", F.date_format("posting_date", "yyyy-MM-dd"), ["posting_date", "row_id"], ["amount", "fiscal_period"])
 
 
 @query("""

@@ -164,3 +164,28 @@ def test_vectors(spark):
 
     df = spark.createDataFrame([(k, [1.0, k / 1000], "g") for k in range(20)] + [(99, [-1.0, 0.0], "g"), (100, None, "g"), (101, [1.0, 1.0], None)], "i int, v array<float>, g string")
     assert [r["i"] for r in similarity.far_from_centre(df, "i", "v", "g", 0.95).collect()] == [99]
+
+
+def test_ranks_and_shares(spark):
+    import random
+
+    from tallyspark.functions import ecdf
+
+    rnd = random.Random(3)
+    vals = [rnd.choice([None, 0.0, -3.0, 0.001, 0.0011, 5.0, 1e12, rnd.random()]) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(vals)), "i int, v double").repartition(5)
+    pos = sorted(v for v in vals if v and v > 0)
+    for r in ecdf(df, "v", "e").collect():
+        assert r["e"] == (sum(x <= r["v"] for x in pos) / len(pos) if r["v"] and r["v"] > 0 else 0.0)
+    ranks = {r["i"]: r["k"] for r in scoring.rank_of(df, "i", "v", "k").collect()}
+    some = [v for v in vals if v is not None]
+    assert all(ranks[i] == (None if v is None else 1 + sum(x > v for x in some)) for i, v in enumerate(vals))
+    assert ecdf(df.limit(0), "v", "e").count() == 0
+
+
+def test_sides_too_large_to_send(spark):
+    from tallyspark.session import small_or_shuffled
+
+    big, small = spark.range(50), spark.range(5)
+    plan = lambda side: big.join(side, "id")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(small_or_shuffled(small, 5)).lower() and "broadcast" not in plan(small_or_shuffled(small, 4)).lower()
