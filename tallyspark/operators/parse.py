@@ -80,14 +80,15 @@ def _bad_date(v: Column) -> Column:
 
 def errors(p: DataFrame, layout: Layout = JOURNAL) -> DataFrame:
     """(record_id, reason), one row per record and reason, of what parsed() gave."""
+    # what is wrong with a record as a whole goes through the same join, as a cell at -1 that holds its reason
     spark = p.sparkSession
-    rules = spark.createDataFrame([(layout.fields.index(f), f, k) for f, k in layout.rules], "pos int, reason string, kind string")
-    whole = p.filter("reason is not null").select("record_id", "reason")
-    cells = p.filter("reason is null").select("record_id", F.posexplode("cells").alias("pos", "value"))
-    judged = cells.join(F.broadcast(rules), "pos")  # a constant table: one row per checked field
+    rules = spark.createDataFrame([(-1, None, "whole"), *((layout.fields.index(f), f, k) for f, k in layout.rules)], "pos int, rule_reason string, kind string")
+    cell = lambda pos, value: F.struct(pos.cast("int").alias("pos"), value.alias("value"))
+    each = F.when(F.col("reason").isNotNull(), F.array(cell(F.lit(-1), F.col("reason")))).otherwise(F.transform("cells", lambda v, k: cell(k, v)))
+    judged = p.select("record_id", F.inline(each)).join(F.broadcast(rules), "pos")  # a constant table: one row per checked field
     v, kind = F.col("value"), F.col("kind")
-    bad = F.when(kind == "period", ~v.rlike(PATTERNS["period"])).when(kind == "date", _bad_date(v)).when(kind == "amount", ~v.rlike(PATTERNS["amount"]))
-    return whole.unionByName(judged.filter(bad).select("record_id", "reason"))
+    bad = F.when(kind == "period", ~v.rlike(PATTERNS["period"])).when(kind == "date", _bad_date(v)).when(kind == "amount", ~v.rlike(PATTERNS["amount"])).otherwise(True)
+    return judged.filter(bad).select("record_id", F.coalesce("rule_reason", "value").alias("reason"))
 
 
 def error_report(err: DataFrame) -> DataFrame:
