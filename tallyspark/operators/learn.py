@@ -69,14 +69,29 @@ def _psi(a: DataFrame, b: DataFrame, key: str, eps: float) -> DataFrame:
     return j.select(((pb - pa) * F.log(pb / pa)).alias("t")).agg(F.sum("t").alias("psi"))
 
 
-def sequences(df: DataFrame, user: str, within: Column, order: list[str], features: list[str], length: int = 5, stride: int = 5) -> DataFrame:
-    """(user, period, at, steps): every stride-th line of a user in a period with the last `length` lines up to it, oldest first, padded with zeros in front. Sequences end with their period (a day,
-    a month), which bounds what one task has to order of a user who holds a third of all lines."""
-    w = Window.partitionBy(user, "period").orderBy(*order)
+def sequences(df: DataFrame, user: str, bins: Column, order: list[str], features: list[str], key: str = "row_id", length: int = 16, stride: int = 1, block: int = 4096) -> DataFrame:
+    """(user, key, at, valid, steps): windows of `length` lines over each user's whole history, oldest first, one for every stride-th line from the first full window on. A user with fewer lines has
+    one window, padded with zeros in front; `valid` counts the steps that are lines. key and at name the window's last line and its number among the user's.
+
+    Lines are numbered by counts per user and bin and by their order within the bin; bins must be not null and never fall along the order. Windows run over blocks of equally many lines that begin with the last
+    lines of the block before, so that what one task orders is bounded for a user who holds a third of all lines."""
+    if not 1 <= length <= block:
+        raise ValueError("length must be from 1 to block")
     row = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features))
-    x = df.filter(F.col(user).isNotNull()).withColumn("period", within).withColumn("at", F.row_number().over(w)).withColumn("steps", F.collect_list(row).over(w.rowsBetween(1 - length, 0)))
+    x = df.filter(F.col(user).isNotNull()).select(*dict.fromkeys([user, key, *order]), bins.alias("_bin"), row.alias("_step"))
+    w = Window.partitionBy(user)
+    per = x.groupBy(user, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    per = per.select(user, "_bin", (F.sum("_c").over(w.orderBy("_bin")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    inner = Window.partitionBy(user, "_bin").orderBy(*(F.col(c).asc_nulls_last() for c in order))
+    x = x.join(per, [user, "_bin"]).withColumn("at", F.col("_before") + F.row_number().over(inner)).select(user, key, "at", "_n", "_step")
+    own = F.floor((F.col("at") - 1) / block)
+    carried = (F.col("at") - 1) % block > block - length
+    x = x.withColumn("_block", F.explode(F.when(carried, F.array(own, own + 1)).otherwise(F.array(own))))
+    x = x.withColumn("steps", F.collect_list("_step").over(Window.partitionBy(user, "_block").orderBy("at").rowsBetween(1 - length, 0)))
+    full = (F.col("at") >= length) & ((F.col("at") - length) % stride == 0)
+    x = x.filter((F.col("_block") == own) & (full | ((F.col("_n") < length) & (F.col("at") == F.col("_n")))))
     pad = F.array_repeat(F.array(*(F.lit(0.0) for _ in features)), F.lit(length) - F.size("steps"))
-    return x.filter(F.col("at") % stride == 0).select(user, "period", "at", F.concat(pad, F.col("steps")).alias("steps"))
+    return x.select(user, key, "at", F.size("steps").alias("valid"), F.concat(pad, F.col("steps")).alias("steps"))
 
 
 def group_split(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> DataFrame:

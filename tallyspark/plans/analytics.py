@@ -385,7 +385,8 @@ def scaling_policy(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def user_sequences(spark: SparkSession, d: str) -> DataFrame:
     x = gl_of(spark, d).withColumn("amount", F.log1p(base_amount()))
-    return L.sequences(x, "created_by", F.date_format("posting_date", "yyyy-MM-dd"), ["posting_date", "row_id"], ["amount", "fiscal_period"])
+    undated = F.lit(10_000_000) + F.floor(F.col("row_id") / 100_000)  # after all days, as undated lines come last
+    return L.sequences(x, "created_by", F.coalesce(F.unix_date(F.col("posting_date").cast("date")).cast("bigint"), undated), ["posting_date", "row_id"], ["amount", "fiscal_period"])
 
 
 @query("""
