@@ -145,3 +145,77 @@ def sign_bias(gl: DataFrame, least: int = 2, share: float = 0.8) -> DataFrame:
     m = gl.filter(~blank("gl_account") & F.col("posting_date").isNotNull()).groupBy("gl_account", F.date_trunc("month", "posting_date").alias("t")).agg(F.round(F.sum(zero("debit_amount") - zero("credit_amount")), 2).alias("net")).filter("net <> 0")
     g = m.groupBy("gl_account").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("net") > 0, 1)).alias("up"))
     return g.withColumn("same_sign", F.greatest(F.col("up"), F.col("n") - F.col("up")) / F.col("n")).filter((F.col("n") >= least) & (F.col("same_sign") >= share))
+
+
+def spans(gl: DataFrame) -> DataFrame:
+    """Every line once per unit it is compared in: (unit 'year', the fiscal year) and (unit 'half', the year and 1 or 2 of the posting date), with the bucket of its month. Lines without a period are left out of that unit."""
+    y, m = F.year("posting_date"), F.month("posting_date")
+    year = F.struct(F.lit("year").alias("unit"), F.col("fiscal_year").cast("int").alias("period"), m.alias("bucket"))
+    half = F.struct(F.lit("half").alias("unit"), (y * 10 + F.when(m > 6, 2).otherwise(1)).cast("int").alias("period"), ((m - 1) % 6).alias("bucket"))
+    return gl.withColumn("_u", F.explode(F.array(year, half))).select("*", "_u.*").drop("_u").filter("period is not null")
+
+
+def priors(x: DataFrame) -> DataFrame:
+    """(unit, period, prior): each period that occurs with the one before it that occurs; the first of a unit has none and is left out."""
+    w = Window.partitionBy("unit").orderBy("period")  # over periods
+    return F.broadcast(x.select("unit", "period").distinct().withColumn("prior", F.lag("period").over(w)).filter("prior is not null"))
+
+
+def activity_shifts(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """activity_shift of every period of the ledger against the one before it: (unit, period, gl_account, n, score, is_new)."""
+    x, b = spans(gl), base_amount()
+    g = x.filter(~blank("gl_account")).groupBy("unit", "period", "gl_account").agg(F.sum(b).alias("total"), F.count(F.lit(1)).alias("n"), F.avg(b).alias("avg"))
+    p = g.select("unit", F.col("period").alias("prior"), "gl_account", *(F.col(c).alias(f"p_{c}") for c in ("total", "n", "avg")))
+    j = g.join(priors(x), ["unit", "period"]).join(p, ["unit", "prior", "gl_account"], "left")
+    rel = lambda c: F.abs(F.col(c) - F.col(f"p_{c}")) / F.greatest(F.abs(F.col(f"p_{c}")), F.lit(1.0))
+    j = j.withColumn("score", 0.5 * rel("total") + 0.3 * rel("n") + 0.2 * rel("avg")).withColumn("is_new", F.col("p_n").isNull())
+    return j.filter(F.col("is_new") | (F.col("score") > s.shift_activity)).select("unit", "period", "gl_account", "n", "score", "is_new")
+
+
+def shape_shifts(gl: DataFrame, least: dict[str, int], s: Settings = DEFAULT) -> DataFrame:
+    """shape_shift of every period against the one before it, over the months of years and of halves, given `least` documents of the unit in both."""
+    x = spans(gl)
+    c = x.filter(~blank("gl_account") & F.col("posting_date").isNotNull()).groupBy("unit", "period", "gl_account", "bucket").agg(F.count_distinct("document_id").alias("c"))
+    pr = priors(x)
+    now = c.join(pr, ["unit", "period"]).select("unit", "period", "gl_account", "bucket", F.col("c").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    before = c.withColumnRenamed("period", "prior").join(pr, ["unit", "prior"]).select("unit", "period", "gl_account", "bucket", F.lit(0).cast("bigint").alias("a"), F.col("c").alias("b"))
+    key = ["unit", "period", "gl_account"]
+    g = now.unionByName(before).groupBy(*key, "bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    enough = F.coalesce(*(F.when(F.col("unit") == u, F.lit(max(1, n))) for u, n in least.items()))
+    t = g.groupBy(*key).agg(F.sum("a").alias("na"), F.sum("b").alias("nb")).filter((F.col("na") >= enough) & (F.col("nb") >= enough))
+    y = g.join(t, key).withColumns({"p": F.col("a") / F.col("na"), "q": F.col("b") / F.col("nb")})
+    kl = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log(2 * F.col(c) / (F.col("p") + F.col("q")))).otherwise(0.0)
+    r = y.groupBy(*key, "na", "nb").agg((F.sum(kl("p") + kl("q")) / 2).alias("js"), F.abs(F.max("p") - F.max("q")).alias("top_shift"))
+    return r.select(*key, "na", "nb", F.sqrt(F.greatest("js", F.lit(0.0))).alias("distance"), "top_shift").filter((F.col("distance") > s.shift_shape) & (F.col("top_shift") >= s.shift_top))
+
+
+def drifts_numeric(gl: DataFrame, column: str, eps: float = 1e-4) -> DataFrame:
+    """learn.psi_numeric of every period against the one before it: (unit, period, psi)."""
+    x = spans(gl)
+    pr = priors(x)
+    v = x.filter(F.col(column).isNotNull()).groupBy("unit", "period").agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s"))
+    by = pr.join(v.withColumnRenamed("period", "prior"), ["unit", "prior"]).withColumn("s", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0))
+    by = F.broadcast(by.select("unit", "period", F.explode(F.array(F.struct(F.col("period").alias("of"), F.lit(1).alias("now")), F.struct(F.col("prior").alias("of"), F.lit(0).alias("now")))).alias("k"), "m", "s").select("unit", "period", F.col("k.of").alias("of"), F.col("k.now").alias("now"), "m", "s"))
+    y = x.filter(F.col(column).isNotNull()).select("unit", F.col("period").alias("of"), F.col(column).alias("v")).join(by, ["unit", "of"])
+    b = F.greatest(F.lit(0), F.least(F.lit(9), F.floor((F.col("v") - F.col("m")) / F.col("s") * 2 + 5)))
+    return _psi_by(y.groupBy("unit", "period", b.cast("int").alias("bin")).agg(F.sum(1 - F.col("now")).alias("a"), F.sum("now").alias("b")), eps)
+
+
+def drifts_categorical(gl: DataFrame, column: str, k: int = 10, eps: float = 1e-4) -> DataFrame:
+    """learn.psi_categorical of every period against the one before it: (unit, period, psi)."""
+    x = spans(gl)
+    pr = priors(x)
+    c = x.groupBy("unit", "period", F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    top = c.filter("v is not null").withColumn("_r", F.row_number().over(Window.partitionBy("unit", "period").orderBy(F.desc("c"), "v"))).filter(F.col("_r") <= k)  # over distinct values
+    top = top.withColumnRenamed("period", "prior").join(pr, ["unit", "prior"]).select("unit", "period", "v", F.lit(True).alias("listed"))
+    now = c.join(pr, ["unit", "period"]).select("unit", "period", "v", F.lit(0).cast("bigint").alias("a"), F.col("c").alias("b"))
+    before = c.withColumnRenamed("period", "prior").join(pr, ["unit", "prior"]).select("unit", "period", "v", F.col("c").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    y = now.unionByName(before).join(top, ["unit", "period", "v"], "left")
+    bins = F.when(F.col("listed"), F.col("v").cast("string")).otherwise("_OTHER_")
+    return _psi_by(y.groupBy("unit", "period", bins.alias("bin")).agg(F.sum("a").alias("a"), F.sum("b").alias("b")), eps)
+
+
+def _psi_by(j: DataFrame, eps: float) -> DataFrame:
+    w = Window.partitionBy("unit", "period")  # over bins
+    pa, pb = (F.greatest(F.try_divide(F.col(c), F.sum(c).over(w)), F.lit(eps)) for c in "ab")
+    return j.select("unit", "period", ((pb - pa) * F.log(pb / pa)).alias("t")).groupBy("unit", "period").agg(F.sum("t").alias("psi"))

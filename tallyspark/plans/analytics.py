@@ -115,6 +115,50 @@ def shape_shift(spark: SparkSession, d: str) -> DataFrame:
     return x.select("gl_account", "na", "nb", F.round("distance", 5).alias("distance"), F.round("top_shift", 6).alias("top_shift"))
 
 
+# ---- every year and half of the ledger against the one before it; the periods are those that occur
+_SPANS = """u AS (SELECT *, 'year' AS unit, fiscal_year AS period, month(posting_date) AS m FROM general_ledger WHERE fiscal_year IS NOT NULL
+        UNION ALL SELECT *, 'half', year(posting_date) * 10 + CASE WHEN month(posting_date) > 6 THEN 2 ELSE 1 END, (month(posting_date) - 1) % 6 FROM general_ledger WHERE posting_date IS NOT NULL),
+    pr AS (SELECT * FROM (SELECT unit, period, lag(period) OVER (PARTITION BY unit ORDER BY period) AS prior FROM (SELECT DISTINCT unit, period FROM u)) WHERE prior IS NOT NULL)"""
+_PSI = """round(sum((pb - pa) * ln(pb / pa)), 6) AS psi FROM (SELECT unit, period, greatest(a / sum(a) OVER w, 1e-4) AS pa, greatest(b / sum(b) OVER w, 1e-4) AS pb FROM g WINDOW w AS (PARTITION BY unit, period)) GROUP BY 1, 2"""
+
+
+@query(f"""
+    WITH {_SPANS}, s AS (SELECT unit, period, gl_account, sum({BASE}) AS t, count(*) AS n, avg({BASE}) AS a FROM u WHERE NOT {BLANK("gl_account")} GROUP BY 1, 2, 3),
+    j AS (SELECT c.unit, c.period, c.gl_account, c.n, p.n IS NULL AS is_new, 0.5 * abs(c.t - p.t) / greatest(abs(p.t), 1) + 0.3 * abs(c.n - p.n) / greatest(p.n, 1) + 0.2 * abs(c.a - p.a) / greatest(abs(p.a), 1) AS score
+        FROM s c JOIN pr USING (unit, period) LEFT JOIN s p ON p.unit = c.unit AND p.period = pr.prior AND p.gl_account = c.gl_account)
+    SELECT unit, period, gl_account, n, round(score, 5) AS score, is_new FROM j WHERE is_new OR score > 0.5""")
+def activity_shift_periods(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.activity_shifts(gl_of(spark, d)), 5, "score")
+
+
+@query(f"""
+    WITH {_SPANS}, g AS (SELECT unit, period, gl_account, m, count(DISTINCT document_id) AS c FROM u WHERE NOT {BLANK("gl_account")} AND posting_date IS NOT NULL GROUP BY 1, 2, 3, 4),
+    h AS (SELECT unit, period, gl_account, m, sum(a) AS a, sum(b) AS b FROM (SELECT unit, period, gl_account, m, c AS a, 0 AS b FROM g JOIN pr USING (unit, period) UNION ALL SELECT g.unit, pr.period, gl_account, m, 0, c FROM g JOIN pr ON g.unit = pr.unit AND g.period = pr.prior) GROUP BY 1, 2, 3, 4),
+    t AS (SELECT unit, period, gl_account, sum(a)::BIGINT AS na, sum(b)::BIGINT AS nb FROM h GROUP BY 1, 2, 3), k AS (SELECT unit, period, gl_account, na, nb, a / na AS a, b / nb AS b FROM h JOIN t USING (unit, period, gl_account) WHERE least(na, nb) >= CASE WHEN unit = 'year' THEN 20 ELSE 3 END),
+    r AS (SELECT unit, period, gl_account, na, nb, sqrt(greatest(0, sum((CASE WHEN a > 0 THEN a * ln(2 * a / (a + b)) ELSE 0 END) + (CASE WHEN b > 0 THEN b * ln(2 * b / (a + b)) ELSE 0 END)) / 2)) AS d, abs(max(a) - max(b)) AS ts FROM k GROUP BY ALL)
+    SELECT unit, period, gl_account, na, nb, round(d, 5) AS distance, round(ts, 6) AS top_shift FROM r WHERE d > 0.3 AND ts >= 0.25""")
+def shape_shift_periods(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rounded(P.shape_shifts(gl_of(spark, d), {"year": 20, "half": 3}), 5, "distance"), 6, "top_shift")
+
+
+@query(f"""
+    WITH {_SPANS}, m AS (SELECT unit, period, avg(debit_amount) AS m, CASE WHEN stddev_samp(debit_amount) > 0 THEN stddev_samp(debit_amount) ELSE 1 END AS s FROM u WHERE debit_amount IS NOT NULL GROUP BY 1, 2),
+    x AS (SELECT u.unit, pr.period, u.period = pr.period AS now, greatest(0, least(9, floor((debit_amount - m.m) / m.s * 2 + 5))) AS bin FROM u JOIN pr ON u.unit = pr.unit AND u.period IN (pr.period, pr.prior) JOIN m ON m.unit = pr.unit AND m.period = pr.prior WHERE debit_amount IS NOT NULL),
+    g AS (SELECT unit, period, bin, count(*) FILTER (WHERE NOT now) AS a, count(*) FILTER (WHERE now) AS b FROM x GROUP BY 1, 2, 3)
+    SELECT unit, period, {_PSI}""")
+def drift_numeric_periods(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.drifts_numeric(gl_of(spark, d), "debit_amount"), 6, "psi")
+
+
+@query(f"""
+    WITH {_SPANS}, c AS (SELECT unit, period, document_type AS v, row_number() OVER (PARTITION BY unit, period ORDER BY count(*) DESC, document_type) AS r FROM u WHERE document_type IS NOT NULL GROUP BY 1, 2, 3),
+    x AS (SELECT u.unit, pr.period, u.period = pr.period AS now, coalesce(c.v, '_OTHER_') AS bin FROM u JOIN pr ON u.unit = pr.unit AND u.period IN (pr.period, pr.prior) LEFT JOIN c ON c.unit = pr.unit AND c.period = pr.prior AND c.r <= 10 AND c.v = u.document_type),
+    g AS (SELECT unit, period, bin, count(*) FILTER (WHERE NOT now) AS a, count(*) FILTER (WHERE now) AS b FROM x GROUP BY 1, 2, 3)
+    SELECT unit, period, {_PSI}""")
+def drift_categorical_periods(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.drifts_categorical(gl_of(spark, d), "document_type"), 6, "psi")
+
+
 @query(f"""
     WITH t AS (SELECT gl_account, date_trunc('quarter', posting_date) AS t, sum({BASE}) AS v FROM general_ledger WHERE NOT {BLANK("gl_account")} AND posting_date IS NOT NULL GROUP BY 1, 2),
     d AS (SELECT gl_account, sign(round(v - lag(v) OVER (PARTITION BY gl_account ORDER BY t), 2)) AS s FROM t),
