@@ -140,6 +140,56 @@ def duplicate_payment_pairs(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame
     return joined(same_l, same, "reference", None).unionByName(joined(none_l, none, "blank", s.duplicate_days)).distinct()
 
 
+def recurring(docs: DataFrame, keys: list[str], least: int = 3, days: tuple[int, int] = (21, 100), spread: float = 0.20) -> DataFrame:
+    """(keys, median, varied) of series of documents that recur at a regular interval: of the gaps between neighbours that are within `days`, the deviation is at most `spread` of the median. Documents
+    of one day are summed first, as gaps within a day do not count."""
+    d = docs.filter("posting_date is not null").groupBy(*keys, "day").agg(F.min("posting_date").alias("lo"), F.max("posting_date").alias("hi"), F.count(F.lit(1)).alias("c"), F.min(F.coalesce("ref", F.lit(""))).alias("r0"), F.max(F.coalesce("ref", F.lit(""))).alias("r1"))
+    gap = F.floor(F.timestamp_diff("SECOND", F.lag("hi").over(Window.partitionBy(*keys).orderBy("day")), F.col("lo")) / 86400)
+    g = d.withColumn("gap", gap).withColumn("gap", F.when(F.col("gap").between(*days), F.col("gap").cast("double")))
+    g = g.groupBy(*keys).agg(F.sum("c").alias("n"), F.median("gap").alias("median"), F.stddev_pop("gap").alias("sd"), F.count("gap").alias("k"), (F.min("r0") != F.max("r1")).alias("varied"))
+    return g.filter((F.col("n") >= least) & (F.col("k") >= max(1, least - 2)) & (F.col("sd") / F.col("median") <= spread)).select(*keys, "median", "varied")
+
+
+def duplicate_payment_matches(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(document_id, earlier, kind): each later document with its best earlier one, in stages. reference: as in duplicate_payment_pairs. Else, unless it belongs to a recurring series of its exact
+    amount: mixed (it has no reference, the earlier has one, however far back), amount (it has another reference than the earlier, or the earlier has none) or blank (neither has one) within the window. Of a recurring
+    series, near_extra: a manual document within half the partner's usual interval (references varied) of such an earlier one. Within a kind the nearest earlier document is named."""
+    width = -math.log1p(-s.duplicate_tolerance) * 1.0001
+    d = docs.filter(~blank("partner") & (F.col("amount") > 0) & F.col("posting_date").isNotNull()).withColumns({
+        "ref": plain_reference(F.col("reference")), "bin": F.when(F.col("amount") < 100, F.lit(0).cast("bigint")).otherwise(F.floor(F.log(F.col("amount") / 100) / width) + 1), "day": F.datediff(F.col("posting_date").cast("date"), F.lit("1970-01-01").cast("date")),
+    })
+    series, usual = recurring(d, ["company_code", "partner", "amount"]), recurring(d, ["company_code", "partner"]).filter("varied")
+    d = written(
+        d.join(series.select("company_code", "partner", "amount", F.lit(True).alias("series")), ["company_code", "partner", "amount"], "left")
+        .join(usual.select("company_code", "partner", F.greatest(F.lit(1.0), F.col("median") * 0.5).alias("near")), ["company_code", "partner"], "left")
+        .select("document_id", "company_code", "partner", "posting_date", "amount", "ref", "bin", "day", "manual", F.coalesce("series", F.lit(False)).alias("series"), "near"), "payments",
+    )
+    later = d.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    cell = F.floor(F.col("day") / (s.duplicate_days + 1))
+    celled, celled_l = d.withColumn("k", cell), later.withColumn("k", F.explode(F.array(cell, cell - 1)))
+
+    def joined(a: DataFrame, b: DataFrame, rank: int, key: list[str], also: Column | None = None) -> DataFrame:
+        a, b = a.alias("a"), b.alias("b")
+        on = reduce(lambda p, q: p & q, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ["company_code", "partner", "bin", *key]))
+        before = (F.col("b.posting_date") < F.col("a.posting_date")) | ((F.col("b.posting_date") == F.col("a.posting_date")) & (F.col("b.document_id") < F.col("a.document_id")))
+        on = on & before & (F.abs(F.col("a.amount") - F.col("b.amount")) <= F.greatest(F.least(F.col("a.amount") * s.duplicate_tolerance, F.lit(s.duplicate_cap)), F.lit(1.0)))
+        gap = F.floor(F.timestamp_diff("SECOND", F.col("b.posting_date"), F.col("a.posting_date")) / 86400)
+        close = (F.col("a.day") - F.col("b.day") <= s.duplicate_days) & (gap <= F.col("a.near")) & F.col("a.manual")
+        x = a.join(b, on if also is None else on & also)
+        # in a series only near_extra counts, after all else
+        r = F.when(~F.col("a.series") | F.lit(rank == 0), rank).when(close, 4)
+        return x.select("a.document_id", r.alias("rank"), F.col("b.posting_date").alias("at"), F.col("b.document_id").alias("earlier")).filter("rank is not null")
+
+    within = F.col("a.day") - F.col("b.day") <= s.duplicate_days
+    pairs = [
+        joined(later.filter("ref is not null"), d.filter("ref is not null"), 0, ["ref"]), joined(later.filter("ref is null"), d.filter("ref is not null"), 1, []),
+        joined(celled_l.filter("ref is not null"), celled, 2, ["k"], within & ~F.col("a.ref").eqNullSafe(F.col("b.ref"))), joined(celled_l.filter("ref is null"), celled.filter("ref is null"), 3, ["k"], within),
+    ]
+    best = reduce(DataFrame.unionByName, pairs).groupBy("document_id").agg(F.max(F.struct((-F.col("rank")).alias("r"), "at", "earlier")).alias("x"))
+    kinds = F.array(*(F.lit(k) for k in ("reference", "mixed", "amount", "blank", "near_extra")))
+    return best.select("document_id", F.col("x.earlier").alias("earlier"), F.element_at(kinds, 1 - F.col("x.r")).alias("kind"))
+
+
 def duplicate_payments(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     docs = documents(gl).filter((F.col("process") == "P2P") & F.col("document_type").isin("KZ", "KR"))
     later = duplicate_payment_pairs(docs, s).select(F.col("later").alias("document_id")).distinct()

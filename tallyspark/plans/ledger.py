@@ -315,6 +315,26 @@ def number_gaps(spark: SparkSession, d: str) -> DataFrame:
     return R.number_gaps(gl_of(spark, d))
 
 
+_PROFILE = lambda keys, name: f"""{name} AS (SELECT {keys}, median(gap) AS median, min(r0) <> max(r1) AS varied FROM (SELECT {keys}, r AS r0, r AS r1, CASE WHEN g BETWEEN 21 AND 100 THEN g END AS gap
+        FROM (SELECT {keys}, coalesce(ref, '') AS r, floor(date_diff('second', lag(ts) OVER (PARTITION BY {keys} ORDER BY ts), ts) / 86400.0) AS g FROM p)) GROUP BY {keys} HAVING count(*) >= 3 AND count(gap) >= 1 AND stddev_pop(gap) / median(gap) <= 0.2)"""
+
+
+@query(f"""
+    WITH dd AS (SELECT document_id AS id, company_code AS co, min(posting_date) AS ts, max(document_type) AS ty, max(business_process) AS pr, max(trading_partner) AS pa, nullif(regexp_replace(upper(max(reference)), '[^0-9A-Z가-힣]', '', 'g'), '') AS ref,
+        greatest(sum({D}), sum({C})) AS am, bool_or(coalesce({PLAIN("source")} IN ('manual', 'adjustment'), false)) AS manual FROM general_ledger WHERE document_id IS NOT NULL GROUP BY 1, 2),
+    p AS (SELECT * FROM dd WHERE pr = 'P2P' AND ty IN ('KZ', 'KR') AND NOT {BLANK("pa")} AND am > 0 AND ts IS NOT NULL), {_PROFILE("co, pa, am", "series")}, {_PROFILE("co, pa", "usual")},
+    q AS (SELECT p.*, series.median IS NOT NULL AS series, greatest(1, usual.median * 0.5) AS near, usual.median IS NOT NULL AS has FROM p LEFT JOIN series USING (co, pa, am) LEFT JOIN usual ON usual.co = p.co AND usual.pa = p.pa AND usual.varied),
+    m AS (SELECT a.id, b.id AS earlier, b.ts AS bat, a.series, a.manual AND a.has AND a.ts::DATE - b.ts::DATE <= 90 AND floor(date_diff('second', b.ts, a.ts) / 86400.0) <= a.near AS close,
+        CASE WHEN a.ref = b.ref THEN 0 WHEN a.ref IS NULL AND b.ref IS NOT NULL THEN 1 WHEN a.ts::DATE - b.ts::DATE <= 90 THEN CASE WHEN a.ref IS NULL THEN 3 ELSE 2 END END AS r
+        FROM q a JOIN q b ON a.co = b.co AND a.pa = b.pa AND (b.ts < a.ts OR (b.ts = a.ts AND b.id < a.id)) AND abs(a.am - b.am) <= greatest(least(a.am * 0.02, 100000), 1)),
+    k AS (SELECT id, earlier, bat, CASE WHEN r = 0 OR NOT series THEN r WHEN close THEN 4 END AS r FROM m WHERE r IS NOT NULL),
+    z AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r, bat DESC, earlier DESC) AS nr FROM k WHERE r IS NOT NULL)
+    SELECT id AS document_id, earlier, ['reference', 'mixed', 'amount', 'blank', 'near_extra'][r + 1] AS kind FROM z WHERE nr = 1""")
+def duplicate_payment_kinds(spark: SparkSession, d: str) -> DataFrame:
+    docs = R.documents(gl_of(spark, d)).filter((F.col("process") == "P2P") & F.col("document_type").isin("KZ", "KR"))
+    return R.duplicate_payment_matches(docs)
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)
 
