@@ -17,7 +17,7 @@ BENFORD = [math.log10(1 + 1 / d) for d in range(1, 10)]
 
 
 def benford(gl: DataFrame, keys: list[str], least: int = 500, s: Settings = DEFAULT) -> DataFrame:
-    """Per group: n, mean absolute deviation of the leading digits' shares from the expected ones, chi-square, and the largest distance of the cumulative shares."""
+    """Per group: n, mean absolute deviation of the leading digits' shares from the expected ones, chi-square, the largest distance of the cumulative shares, and the digits that deviate by more than the threshold."""
     d = X.amount_features(gl, s).filter(F.col("first_digit").isNotNull())
     counts = [F.count(F.when(F.col("first_digit") == k, 1)).alias(f"c{k}") for k in range(1, 10)]
     g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *counts).filter(F.col("n") >= least)
@@ -28,7 +28,7 @@ def benford(gl: DataFrame, keys: list[str], least: int = 500, s: Settings = DEFA
     for k in range(1, 10):
         cum = cum + share(k) - BENFORD[k - 1]
         dist.append(F.abs(cum))
-    return g.select(*keys, "n", mad.alias("mad"), chi.alias("chi_square"), F.greatest(*dist).alias("ks"), (mad > s.benford_mad).alias("deviates"))
+    return g.select(*keys, "n", mad.alias("mad"), chi.alias("chi_square"), F.greatest(*dist).alias("ks"), (mad > s.benford_mad).alias("deviates"), F.array_compact(F.array(*(F.when(F.abs(share(k) - BENFORD[k - 1]) > s.benford_mad, F.lit(k)) for k in range(1, 10)))).alias("digits"))
 
 
 def _binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT as S
-from ..functions import base_amount, ecdf
+from ..functions import base_amount, blank, ecdf
 from ..operators import features as X
 from ..operators import learn as L
 from ..operators import population as P
@@ -55,6 +55,19 @@ def benford(spark: SparkSession, d: str) -> DataFrame:
     return b.select("company_code", "n", F.round("mad", 6).alias("mad"), F.round("chi_square", 4).alias("chi_square"), F.round("ks", 6).alias("ks"), "deviates")
 
 
+@query(f"""
+    WITH t AS (SELECT company_code, gl_account, greatest(abs({D}), abs({C})) AS m FROM general_ledger), x AS (SELECT company_code, gl_account, {_DIGIT} AS k FROM t),
+    n AS (SELECT company_code, gl_account, count(*) AS n FROM x WHERE k IS NOT NULL AND NOT {BLANK("gl_account")} GROUP BY 1, 2 HAVING count(*) >= 500), e(k, p) AS (VALUES {_B}), c AS (SELECT company_code, gl_account, k, count(*) AS c FROM x GROUP BY 1, 2, 3),
+    j AS (SELECT n.*, e.k, e.p, coalesce(c.c, 0) AS c FROM n CROSS JOIN e LEFT JOIN c ON c.company_code IS NOT DISTINCT FROM n.company_code AND c.gl_account = n.gl_account AND c.k = e.k),
+    s AS (SELECT *, abs(sum(c / n - p) OVER (PARTITION BY company_code, gl_account ORDER BY k)) AS dist FROM j)
+    SELECT company_code, gl_account, any_value(n) AS n, round(avg(abs(c / n - p)), 6) AS mad, round(sum(pow(c - n * p, 2) / (n * p)), 4) AS chi_square, round(max(dist), 6) AS ks, avg(abs(c / n - p)) > 0.012 AS deviates,
+        coalesce(string_agg(k::VARCHAR, ',' ORDER BY k) FILTER (WHERE abs(c / n - p) > 0.012), '') AS digits FROM s GROUP BY 1, 2""")
+def benford_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """Per company and account, with the digits that deviate."""
+    b = P.benford(gl_of(spark, d).filter(~blank("gl_account")), ["company_code", "gl_account"])
+    return rounded(rounded(b, 6, "mad", "ks"), 4, "chi_square").withColumn("digits", F.array_join(F.col("digits").cast("array<string>"), ","))
+
+
 @query()
 def round_density(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.round_density(gl_of(spark, d)), 6, "share", "excess", "p_value")
