@@ -3,21 +3,22 @@
 A record has a text (as a set of character shingles), an amount, a day and a group; two records are alike if the groups are equal, the days
 and amounts are near and the Jaccard similarity of the texts reaches a threshold.
 
-Each tree of the forest is a sorted prefix trie. The first labels of a path are those on which all trees agree: the
-group, a cell of days and a cell of amounts (a record near a cell's edge stands in both cells, so no near pair is cut). The
-labels after them are minima of min-wise hash functions, other ones in each tree. Two records are candidates where their paths share
-a prefix. How long a prefix must be is adapted per cell: starting from the longest, it is shortened until (1 - t^k) to
-the power of the number of trees, the chance to miss a pair at the threshold t, is within the target, and further, down
-to the cell itself where no pair at all is missed, if the cell holds few records. The deeper a cell is matched, the more trees are
-used, so the target recall holds at every size; no cell, bucket or partner list is capped.
-
-Candidates of a bucket are joined in the JVM by sort-merge; nearness and an upper bound of the similarity from bit sets of the
-shingles (exact: a bit that only one side has proves a shingle that only one side has) drop most of them before
-the shingle sets are compared, many at a time, in a separate step (within the join the comparison would be evaluated first). Records that are equal in all respects are one class and take part once; where pairs are
-asked for, members are put in at the end.
+Records that are equal in all respects are one class and take part once. Each tree of the forest is a sorted prefix trie over the
+classes. The first labels of a path are those on which all trees agree: the group, a cell of days and a cell of amounts (a record near
+a cell's edge stands in both cells, so no near pair is cut). The labels after them are minima of min-wise hash functions, other ones in
+each tree; there is at least one. Two records are candidates where their paths share a prefix. The prefix is shortened per cell: it is as
+long as the cell's population pays for, and there are as many trees as it takes to bring (1 - t^k) to the power of their number, the
+chance to miss a pair at the very threshold t, within the target. So the target recall holds in cells of every size; no cell, bucket or
+partner list is capped.
+
+Only keys, numbers of classes, and days and amounts packed into one number go through the shuffle; a bucket is joined by
+sort-merge, with nearness in the condition. Each pair of classes is then looked at once: an upper bound of the similarity from bit sets
+(exact: a bit that only one side has proves a shingle that only one side has) drops most, and the texts of the others are fetched and
+their shingle sets compared, many pairs at a time.
 
 Defined results: texts are lower-cased, trimmed, runs of white space become one space; texts shorter than the shingle never pair;
-records with a null group, day or amount never pair; an empty table gives no pairs; very long texts take part whole.
+records with a null group, day or amount never pair; an empty table gives no pairs; very long texts take part whole; records that
+repeat an id are one record if they are equal and pair like any others if not, save with themselves.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,7 @@ from ..session import small_or_shuffled, written
 
 #: Words of the bit set of a text's shingles, 64 bits each.
 WORDS = 4
+KEY = ["grp", "day", "amount", "text"]
 
 
 @dataclass(frozen=True)
@@ -44,18 +47,22 @@ class Alike:
     amount: float = 0.02
     similarity: float = 0.5
     shingle: int = 3
-    recall: float = 0.9995  # of pairs at the very threshold; of pairs above it more
-    small: int = 1500  # records in a cell up to which the prefix ends at the cell
-    widen: int = 40  # by how much a cell's population may grow per further label
+    recall: float = 0.9999  # of pairs at the very threshold; of pairs above it more
+    full: int = 2000  # records of a cell beyond which one label more costs less (in trees) than it saves (in candidates)
+    widen: int = 4  # by how much the population must grow for the next
     day_cell: int = 28
     amount_cell: float = 0.1  # of the natural logarithm
 
     def trees(self, depth: int) -> int:
-        return 1 if depth == 0 else math.ceil(math.log(1 - self.recall) / math.log(1 - self.similarity**depth))
+        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.similarity**depth))
 
     def depth(self, records: int) -> int:
         """Labels after the cell's."""
-        return 0 if records <= self.small else 1 + int(math.log(records / self.small) / math.log(self.widen))
+        return 1 + sum(records > n for n in self.sizes())
+
+    def sizes(self) -> list[int]:
+        """Populations beyond which a path has one label more."""
+        return [n for d in range(40) if (n := self.full * self.widen**d) < 2**62]
 
 
 def tidy(text: str) -> str:
@@ -92,7 +99,7 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def sketched(df: DataFrame, a: Alike) -> DataFrame:
-    """df with columns (id, grp, day, amount, text) -> the same with the text tidied, its number of shingles and their bit set; texts without shingles are gone."""
+    """df with columns (id, grp, day, amount, text) -> the same with the text tidied, its number of shingles and their bit set."""
     schema = T.StructType([*(df.schema[c] for c in ("id", "grp", "day", "amount")), T.StructField("text", T.StringType()), T.StructField("shingles", T.IntegerType()), *(T.StructField(f"b{j}", T.LongType()) for j in range(WORDS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,47 +110,52 @@ def sketched(df: DataFrame, a: Alike) -> DataFrame:
             bits = np.zeros((len(texts), WORDS), np.uint64)
             at = mixed(code, 1) % np.uint64(64 * WORDS)
             np.bitwise_or.at(bits, (owner, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
-            cols = [*b.columns[:4], pa.array(texts, pa.string()), pa.array(size.astype(np.int32)), *(pa.array(bits[:, j].view(np.int64)) for j in range(WORDS))]
-            keep = pa.array(size > 0)
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(keep)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(texts, pa.string()), pa.array(size.astype(np.int32)), *(pa.array(bits[:, j].view(np.int64)) for j in range(WORDS))], names=schema.names)
 
     return df.select("id", "grp", "day", "amount", "text").mapInArrow(run, schema)
 
 
+def classes(records: DataFrame, a: Alike) -> tuple[DataFrame, DataFrame]:
+    """(records, classes), both written: the sketched records, and one row per set of equal ones, with a number cid, its least id and how many records it has."""
+    s = written(sketched(records.filter("id is not null"), a), "records")
+    made = [F.max(c).alias(c) for c in ("shingles", *(f"b{j}" for j in range(WORDS)))]
+    c = s.groupBy(*KEY).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *made)
+    return s, written(c.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+
 def in_cells(df: DataFrame, a: Alike) -> DataFrame:
     """A row for each cell that a record stands in: its own, and the one before if the record is near enough to its lower edge."""
     near = -math.log1p(-a.amount) * (1 + 1e-9)
     log = F.log("amount")
-    d0, m0 = F.floor(F.col("day") / a.day_cell), F.floor(log / a.amount_cell)
-    days = F.array_distinct(F.array(d0, F.floor((F.col("day") - a.days) / a.day_cell)))
-    amounts = F.array_distinct(F.array(m0, F.floor((log - near) / a.amount_cell)))
-    return df.withColumn("dc", F.explode(days)).withColumn("mc", F.explode(amounts)).withColumn("cell", F.xxhash64("grp", "dc", "mc")).withColumn("own", (F.col("dc") == d0) & (F.col("mc") == m0))
+    days = F.array_distinct(F.array(F.floor(F.col("day") / a.day_cell), F.floor((F.col("day") - a.days) / a.day_cell)))
+    amounts = F.array_distinct(F.array(F.floor(log / a.amount_cell), F.floor((log - near) / a.amount_cell)))
+    return df.withColumn("_d", F.explode(days)).withColumn("_m", F.explode(amounts)).withColumn("cell", F.xxhash64("grp", "_d", "_m")).drop("_d", "_m")
 
 
-def paths(deep: DataFrame, a: Alike) -> DataFrame:
-    """Rows of cells with a depth -> a row for each tree, keyed by the prefix of that depth."""
-    schema = T.StructType([*deep.schema.fields, T.StructField("key", T.LongType())])
-    cols = deep.columns
+def paths(rows: DataFrame, a: Alike) -> DataFrame:
+    """(cid, asked, cell, depth, at, text) -> (key, cid, asked, at): a row for each tree, keyed by the path's prefix of that depth."""
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("asked", T.BooleanType()), T.StructField("at", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                b = whole.slice(start, 512)
-                texts, depth = b.column(cols.index("text")).to_pylist(), b.column(cols.index("depth")).to_numpy(zero_copy_only=False)
-                cell = b.column(cols.index("cell")).to_numpy(zero_copy_only=False).view(np.uint64)
-                code, owner = shingle_codes(texts, a.shingle)
-                first = np.searchsorted(owner, np.arange(len(texts)))
+            for start in range(0, whole.num_rows, 2048):
+                b = whole.slice(start, 2048)
+                cid, cell, depth = b.column(0).to_numpy(), b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy()
+                new = np.r_[True, cid[1:] != cid[:-1]]  # the cells of a class follow one another; its labels are made once
+                of = np.cumsum(new) - 1
+                code, owner = shingle_codes(b.column(5).filter(pa.array(new)).to_pylist(), a.shingle)
+                first = np.searchsorted(owner, np.arange(of[-1] + 1))
                 for d in np.unique(depth):
                     take = np.flatnonzero(depth == d)
+                    got = b.take(pa.array(take))
                     for tree in range(a.trees(int(d))):
-                        key = mixed(cell, 7 + tree)
+                        key = mixed(cell[take], 7 + tree)
                         for level in range(int(d)):
                             low = np.minimum.reduceat(mixed(code, 1000 + tree * 64 + level), first)
-                            key = mixed(key ^ low, 3 + level)
-                        got = b.take(pa.array(take))
-                        yield pa.RecordBatch.from_arrays([*got.columns, pa.array(key[take].view(np.int64))], names=schema.names)
+                            key = mixed(key ^ low[of[take]], 3 + level)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), got.column(0), got.column(1), got.column(4)], names=schema.names)
 
-    return deep.mapInArrow(run, schema)
+    return rows.select("cid", "asked", "cell", "depth", "at", "text").mapInArrow(run, schema)
 
 
 def exact(candidates: DataFrame, a: Alike) -> DataFrame:
@@ -164,41 +176,64 @@ def exact(candidates: DataFrame, a: Alike) -> DataFrame:
                 either = np.bincount(owner, minlength=n) - common
                 yield pa.RecordBatch.from_arrays(b.columns[:2], names=schema.names).filter(pa.array(common >= a.similarity * either))
 
-    return candidates.mapInArrow(run, schema)
+    return candidates.select("id_a", "id_b", "ta", "tb").mapInArrow(run, schema)
 
 
-def alike_pairs(records: DataFrame, a: Alike = Alike()) -> DataFrame:  # noqa: B008
-    """records (id, grp, day int, amount double, text) -> (id_a, id_b), id_a < id_b, one row per pair of alike records."""
-    ok = F.col("grp").isNotNull() & F.col("day").isNotNull() & (F.col("amount") > 0) & (F.col("amount") < float("inf"))
-    s = written(in_cells(sketched(records.filter(ok), a), a).drop("dc", "mc"), "cells")
-    # how many records a cell holds decides how deep its tries are matched (Alike.depth)
-    by_size = [(n, d + 1) for d in range(40) if (n := a.small * a.widen**d) < 2**62]
-    depth = F.coalesce(*(F.when(F.col("n") > least, F.lit(d)) for least, d in reversed(by_size)))
-    crowded = written(s.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > a.small).select("cell", depth.alias("depth")), "crowded")
-    narrow = ["key", "id", "grp", "day", "amount", "shingles", *(f"b{j}" for j in range(WORDS)), "text"]
-    if crowded.isEmpty():
-        keyed = s.withColumn("key", F.col("cell")).select(*narrow)
-        deep = None
-    else:
-        few = small_or_shuffled(crowded)
-        keyed = s.join(few, "cell", "left_anti").withColumn("key", F.col("cell")).select(*narrow)
-        deep = paths(s.join(few, "cell"), a).select(*narrow)
-    found = _verified(keyed, a)
-    if deep is not None:
-        found = found.unionByName(_verified(deep, a))
-    return found.distinct()
-
-
-def _verified(keyed: DataFrame, a: Alike) -> DataFrame:
-    x, y = keyed.alias("x"), keyed.alias("y")
+def _may(a: Alike) -> Column:
+    """Whether sides x and y are near and can reach the similarity: shingles in both are at most those of either side less the ones proven to be on one side only."""
     col = lambda side, c: F.col(f"{side}.{c}")
     only = lambda p, q: sum((F.bit_count(col(p, f"b{j}").bitwiseAND(F.bitwise_not(col(q, f"b{j}")))) for j in range(WORDS)), F.lit(0))
-    # shingles in both are at most those of either side less the ones proven to be on one side only
     both = F.least(col("x", "shingles") - only("x", "y"), col("y", "shingles") - only("y", "x"))
     may = both * (1 + a.similarity) >= a.similarity * (col("x", "shingles") + col("y", "shingles"))
     near = (F.abs(col("x", "day") - col("y", "day")) <= a.days) & (F.abs(col("x", "amount") - col("y", "amount")) <= a.amount * F.greatest(col("x", "amount"), col("y", "amount")))
-    c = x.join(y, (col("x", "key") == col("y", "key")) & near & may & (col("x", "id") < col("y", "id")) & (col("x", "grp") == col("y", "grp")))
-    return exact(c.select(col("x", "id").alias("id_a"), col("y", "id").alias("id_b"), col("x", "text").alias("ta"), col("y", "text").alias("tb")), a)
+    return near & may & (col("x", "grp") == col("y", "grp"))
+
+
+def _able() -> Column:
+    return F.col("grp").isNotNull() & F.col("day").isNotNull() & (F.col("amount") > 0) & (F.col("amount") < float("inf")) & (F.col("shingles") > 0)
+
+
+def _verified(candidates: DataFrame, c: DataFrame, a: Alike) -> DataFrame:
+    """Of pairs (id_a, id_b) of classes those that are alike."""
+    sketch = c.select("cid", "grp", "day", "amount", "shingles", *(f"b{j}" for j in range(WORDS)))
+    x, y = sketch.alias("x"), sketch.alias("y")
+    left = small_or_shuffled(candidates.join(x, F.col("id_a") == F.col("x.cid")).join(y, F.col("id_b") == F.col("y.cid")).filter(_may(a)).select("id_a", "id_b"))
+    t = c.select("cid", "text")
+    return exact(t.select(F.col("cid").alias("id_a"), F.col("text").alias("ta")).join(left, "id_a").join(t.select(F.col("cid").alias("id_b"), F.col("text").alias("tb")), "id_b"), a)
+
+
+def links(c: DataFrame, a: Alike, asked: Column | None = None) -> DataFrame:
+    """(id_a, id_b), pairs of alike classes, each once with id_a < id_b; with `asked`, a condition on classes, the pairs that have such a class as id_a, in either order."""
+    able = c.filter(_able()).withColumn("asked", F.lit(True) if asked is None else F.coalesce(asked, F.lit(False)))
+    # day and amount in one number; the amount's logarithm in millionths
+    able = able.withColumn("at", F.shiftleft(F.col("day").cast("bigint"), 32) + F.floor(F.log("amount") * 1e6) + 1_000_000_000)
+    x = in_cells(able, a)
+    depth = reduce(lambda d, n: d + (F.col("n") > n).cast("int"), a.sizes(), F.lit(1))
+    shared = x.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("any")).filter("n > 1 and any").select("cell", depth.alias("depth"))
+    keyed = paths(x.select("cid", "asked", "cell", "at", "text").join(small_or_shuffled(shared), "cell"), a)
+    x, y = keyed.alias("x"), keyed.alias("y")
+    day, amount = (lambda s: F.shiftright(F.col(f"{s}.at"), 32)), (lambda s: F.col(f"{s}.at").bitwiseAND(F.lit(0xFFFFFFFF)))
+    near = (F.abs(day("x") - day("y")) <= a.days) & (F.abs(amount("x") - amount("y")) <= math.ceil(-math.log1p(-a.amount) * 1e6) + 1)
+    other = F.col("x.cid") < F.col("y.cid") if asked is None else F.col("x.asked") & (F.col("x.cid") != F.col("y.cid"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & other & near).select(F.col("x.cid").alias("id_a"), F.col("y.cid").alias("id_b"))
+    return _verified(met.distinct(), c, a)
+
+
+def _same(x: str, y: str) -> Column:
+    return reduce(lambda p, q: p & q, (F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in KEY))
+
+
+def alike_pairs(records: DataFrame, a: Alike = Alike()) -> DataFrame:  # noqa: B008
+    """records (id, grp, day int, amount double, text) -> (id_a, id_b), id_a < id_b, one row per pair of alike records: those of linked classes, and those within one."""
+    s, c = classes(records, a)
+    found = written(links(c, a), "links")
+    several = c.filter(F.col("n") > 1).filter(_able())
+    inner = s.alias("s").join(small_or_shuffled(several.select("cid", *KEY)).alias("q"), _same("s", "q")).select("cid", F.col("s.id").alias("id"))
+    member = c.filter(F.col("n") == 1).select("cid", "id").unionByName(inner)
+    m = lambda side: member.select(F.col("cid").alias(f"id_{side}"), F.col("id").alias(side))
+    over = found.join(m("a"), "id_a").join(m("b"), "id_b").select("a", "b")
+    within = inner.select("cid", F.col("id").alias("a")).join(inner.select("cid", F.col("id").alias("b")), "cid").select("a", "b").filter("a < b")
+    return over.filter("a <> b").unionByName(within).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
 def ledger_documents(gl: DataFrame) -> DataFrame:
@@ -210,13 +245,24 @@ def ledger_documents(gl: DataFrame) -> DataFrame:
 
 
 def links_per_record(records: DataFrame, a: Alike = Alike()) -> DataFrame:  # noqa: B008
-    """One row per record: its class (equal records), and to how many other classes it is alike."""
-    key = ["grp", "day", "amount", "text"]
-    reps = written(records.groupBy(*key).agg(F.min("id").alias("id")), "representatives")
-    p = written(alike_pairs(reps, a), "links")
-    n = p.select(F.explode(F.array("id_a", "id_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    same = F.lit(True)
-    r, q = records.alias("r"), reps.alias("q")
-    for c in key:
-        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"q.{c}"))
-    return r.join(q, same).select(F.col("r.id").alias("id"), F.col("q.id").alias("class_id")).join(n, "class_id", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """(id, class_id, n_links), one row per record: its class of equal records, named by the least id, and to how many other classes that is alike. Equal are records with the same group, day, amount
+    and tidied text, nulls being equal to nulls."""
+    s, c = classes(records, a)
+    n = links(c, a).select(F.explode(F.array("id_a", "id_b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
+    of = c.join(n, "cid", "left").select(*KEY, F.col("id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n")
+    plain = of.filter("n = 1").select(F.col("class_id").alias("id"), "class_id", "n_links")
+    several = s.alias("s").join(small_or_shuffled(of.filter("n > 1")).alias("q"), _same("s", "q")).select(F.col("s.id").alias("id"), "class_id", "n_links")
+    return plain.unionByName(several)
+
+
+def recall(records: DataFrame, asked: Column, a: Alike = Alike()) -> DataFrame:  # noqa: B008
+    """One row: of the classes that meet `asked` (a condition on id), how many links there are by comparing each with every other of its group, and how many the forest finds."""
+    _, c = classes(records, a)
+    got = written(links(c, a, asked), "found")
+    able = c.filter(_able()).select("cid", "id", *KEY, "shingles", *(f"b{j}" for j in range(WORDS)))
+    few = small_or_shuffled(able.filter(asked))
+    # the stated query set against all rows, group by group
+    may = few.alias("x").join(able.alias("y"), _may(a) & (F.col("x.cid") != F.col("y.cid")))
+    all_ = written(exact(may.select(F.col("x.cid").alias("id_a"), F.col("y.cid").alias("id_b"), F.col("x.text").alias("ta"), F.col("y.text").alias("tb")), a), "all")
+    hit = all_.join(got.withColumn("hit", F.lit(1)), ["id_a", "id_b"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("links"), F.count("hit").alias("found"))

@@ -22,10 +22,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    docs = written(neardup.ledger_documents(read(spark, d, "general_ledger")), "documents")
+    """One row per document and company. Documents without a company are no one's copies, so each stays alone but for its equals."""
+    docs = neardup.ledger_documents(read(spark, d, "general_ledger"))
     return neardup.links_per_record(docs).select(F.col("id").alias("document_id"), "class_id", "n_links")
 
 
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What the forest finds where cells are crowded: all documents of a company are put into one cell, and the links of those whose number is divisible by 50 are held against all."""
+    docs = neardup.ledger_documents(read(spark, d, "general_ledger")).withColumns({"day": F.lit(0), "amount": F.lit(1.0)})
+    asked = F.pmod(F.regexp_extract("id", "([0-9]+)$", 1).try_cast("bigint"), F.lit(50)) == 0
+    return neardup.recall(docs, asked).select("links", (F.col("found") >= 0.9 * F.col("links")).alias("enough"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return digest.heavy_tails(read(spark, d, "general_ledger"), "gl_account", F.col("local_amount"))
 
@@ -61,17 +69,23 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(read(spark, d, "documents"), "doc_id", "text")
 
 
+def p10_audit(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return pieces.audit(docs, pieces.split_oversized(docs, "doc_id", "text"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_classes, p6_found, p6_percentiles, p6_digest, p8_ids, p9_mix, p9_shares, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_classes, p3_recall, p6_found, p6_percentiles, p6_digest, p8_ids, p9_mix, p9_shares, p10_pieces, p10_audit)}
 
 
 _DOCS = """
   docs AS (
     SELECT document_id AS id, company_code AS grp, min(posting_date::DATE) AS day, max(CASE WHEN NOT isnan(local_amount) THEN local_amount END) AS amount,
            max(coalesce(header_text, '') || ' ' || coalesce(reference, '')) AS text
-    FROM general_ledger WHERE document_id IS NOT NULL AND company_code IS NOT NULL GROUP BY 1, 2),
-  tidy AS (SELECT id, grp, day, amount, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS text FROM docs WHERE amount > 0 AND day IS NOT NULL),
-  sets AS (SELECT *, list_distinct(list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3))) AS s FROM tidy WHERE length(text) >= 3)"""
+    FROM general_ledger WHERE document_id IS NOT NULL GROUP BY 1, 2),
+  tidied AS (SELECT id, grp, day, amount, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS text FROM docs)"""
+_SETS = lambda of: f"sets AS (SELECT *, list_distinct(list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3))) AS s FROM {of} WHERE length(text) >= 3 AND amount > 0 AND day IS NOT NULL AND grp IS NOT NULL)"
+_CLASSES = f"classes AS (SELECT min(id) AS id, grp, day, amount, text FROM tidied GROUP BY 2, 3, 4, 5), {_SETS('classes')}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -82,12 +96,23 @@ def oracle_sql() -> dict[str, str]:
                  ranked AS (SELECT theme_id, case_id, row_number() OVER (PARTITION BY theme_id ORDER BY score DESC, case_id) AS r FROM best)
             SELECT theme_id, case_id, r::INTEGER AS rank_no FROM ranked WHERE r <= 3""",
         "p3_found": f"""
-            WITH {_DOCS},
+            WITH {_DOCS}, {_SETS("tidied")},
               near AS (
                 SELECT a.id AS document_id_a, b.id AS document_id_b, len(a.s) + len(b.s) AS n, len(list_intersect(a.s, b.s)) AS c
                 FROM sets a JOIN sets b ON a.grp = b.grp AND a.id < b.id AND b.day BETWEEN a.day - 7 AND a.day + 7
                  AND abs(a.amount - b.amount) <= 0.02 * greatest(a.amount, b.amount))
             SELECT document_id_a, document_id_b FROM near WHERE c >= 0.5 * (n - c)""",
+        "p3_classes": f"""
+            WITH {_DOCS}, {_CLASSES},
+              near AS (SELECT a.id AS a, b.id AS b FROM sets a JOIN sets b ON a.grp = b.grp AND a.id < b.id AND b.day BETWEEN a.day - 7 AND a.day + 7 AND abs(a.amount - b.amount) <= 0.02 * greatest(a.amount, b.amount)
+                       WHERE len(list_intersect(a.s, b.s)) >= 0.5 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))),
+              n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM near UNION ALL SELECT b FROM near) GROUP BY 1)
+            SELECT t.id AS document_id, c.id AS class_id, coalesce(n.n, 0) AS n_links FROM tidied t JOIN classes c ON t.grp IS NOT DISTINCT FROM c.grp AND t.day IS NOT DISTINCT FROM c.day AND t.amount IS NOT DISTINCT FROM c.amount AND t.text = c.text LEFT JOIN n ON n.id = c.id""",
+        "p3_recall": f"""
+            WITH {_DOCS.replace("min(posting_date::DATE)", "DATE '1970-01-01'").replace("max(CASE WHEN NOT isnan(local_amount) THEN local_amount END)", "1.0")}, {_CLASSES},
+              q AS (SELECT * FROM sets WHERE try_cast(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) % 50 = 0)
+            SELECT count(*) AS links, true AS enough FROM q JOIN sets b ON q.grp = b.grp AND q.id <> b.id WHERE len(list_intersect(q.s, b.s)) >= 0.5 * (len(q.s) + len(b.s) - len(list_intersect(q.s, b.s)))""",
+        "p10_audit": "SELECT 0::BIGINT AS over_limit, 0::BIGINT AS altered, 0::BIGINT AS gaps, 0::BIGINT AS unordered, 0::BIGINT AS unlapped, 0::BIGINT AS unfinished",
         "p6_found": """
             WITH v AS (SELECT gl_account, abs(local_amount) AS a FROM general_ledger WHERE gl_account IS NOT NULL AND local_amount IS NOT NULL AND NOT isnan(local_amount)),
                  r AS (SELECT gl_account, a, row_number() OVER (PARTITION BY gl_account ORDER BY a) AS k, count(*) OVER (PARTITION BY gl_account) AS n FROM v)

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tallyspark.llm import neardup as N
 
 DAY = 19_000
@@ -39,16 +41,16 @@ def made(n, seed):
 SCHEMA = "id string, grp string, day int, amount double, text string"
 
 
-def test_all_pairs_where_cells_are_small(spark):
+def test_all_pairs(spark):
     rows = made(300, 1)
     got = {tuple(r) for r in N.alike_pairs(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
     assert got == brute(rows, N.Alike())
 
 
 def test_recall_where_tries_are_deep(spark):
-    """With cells counted as crowded from 5 records on, tries are matched down to two labels; nothing false, and at least the target recall."""
+    """With cells counted as crowded from 5 records on, tries are matched down to several labels; nothing false, and at least the target recall."""
     rows = made(400, 2)
-    for a in (N.Alike(small=5, widen=1000), N.Alike(small=5, widen=4)):
+    for a in (N.Alike(full=5, widen=1000), N.Alike(full=5, widen=4)):
         got = {tuple(r) for r in N.alike_pairs(spark.createDataFrame(rows, SCHEMA), a).collect()}
         want = brute(rows, a)
         assert got <= want and len(got) >= 0.995 * len(want)
@@ -58,7 +60,28 @@ def test_trees_reach_the_target():
     a = N.Alike()
     for depth in (1, 2, 3):
         assert 1 - (1 - a.similarity**depth) ** a.trees(depth) >= a.recall
-    assert [a.depth(n) for n in (1, 1500, 1501, 1500 * 40, 1500 * 41)] == [0, 0, 1, 2, 2]
+    assert [a.depth(n) for n in (1, a.full, a.full + 1, a.full * a.widen, a.full * a.widen + 1)] == [1, 1, 2, 2, 3]
+
+
+def test_a_crowded_cell(spark):
+    """1,200 records in one cell, at default parameters and with several labels."""
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    base = [" ".join(rnd.choices(words, k=9)) for _ in range(600)]
+    rows = [(f"d{k:05}", "A", DAY, 100.0, t) for k, t in enumerate(base)]
+    rows += [(f"e{k:05}", "A", DAY, 100.0, t.replace("w1", "v1", 1) + " x" * (k % 3)) for k, t in enumerate(base)]
+    want = brute(rows, N.Alike())
+    for a in (N.Alike(), N.Alike(full=50, widen=4)):
+        got = {tuple(r) for r in N.alike_pairs(spark.createDataFrame(rows, SCHEMA), a).collect()}
+        assert got <= want and len(got) >= 0.999 * len(want) and len(want) >= 600
+    r = N.recall(spark.createDataFrame(rows, SCHEMA), F.col("id").endswith("0")).first()
+    assert r["links"] > 50 and r["found"] >= 0.99 * r["links"]
+
+
+def test_equal_records_and_repeated_ids(spark):
+    rows = [(f"k{k:03}", "G", DAY, 10.0, "one and the same text") for k in range(60)] + [("k000", "G", DAY, 10.0, "one and the same texts"), ("k001", None, DAY, 10.0, "x"), ("q", None, None, None, None), (None, "G", DAY, 10.0, "one and the same text")]
+    got = N.alike_pairs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 60 * 59 // 2 and all(r["id_a"] < r["id_b"] for r in got)
 
 
 def test_links_and_empty(spark):
