@@ -27,8 +27,9 @@ def blank(c: str | Column) -> Column:
 
 
 def robust_z(x: Column, med: Column, mad: Column, iqr: Column) -> Column:
-    """(x - median) over the MAD, else over the interquartile range, else by a Poisson spread, else x itself up to 10."""
-    return F.when(mad > 0, 0.6745 * (x - med) / mad).when(iqr > 0, (x - med) / (iqr / 1.349)).when(med > 0, (x - med) / F.sqrt(med)).otherwise(F.least(x, F.lit(10.0)))
+    """(x - median) over the MAD, else over the interquartile range, else over a Poisson spread of at least 1, else x itself within 0..10."""
+    poisson = (x - med) / F.greatest(F.sqrt(med), F.lit(1.0))
+    return F.when(mad > 0, 0.6745 * (x - med) / mad).when(iqr > 0, (x - med) / (iqr / 1.349)).when(med > 0, poisson).otherwise(F.greatest(F.lit(0.0), F.least(x, F.lit(10.0))))
 
 
 def to_number(c: Column) -> Column:
@@ -78,7 +79,11 @@ def running_count(df: DataFrame, value: str, name: str, keys: list[str] | None =
 
 def ecdf(df: DataFrame, value: str, name: str, keys: list[str] | None = None) -> DataFrame:
     """The share of rows (of each group) whose value is at most the row's own, zeros and nulls kept at 0 and left out of the base."""
+    from ..operators.skew import joined_by_key
+
     keys = keys or []
-    pos = F.col(value) > 0
-    cum = running_count(df.filter(pos).select(*keys, value), value, "_r", keys).select(*keys, value, (F.col("_r") / F.col("_all")).alias(name))
-    return df.join(cum, [*keys, value], "left").withColumn(name, F.when(pos, F.col(name)).otherwise(0.0))
+    pos = F.coalesce((F.col(value) > 0) & ~F.isnan(F.col(value).cast("double")), F.lit(False))
+    some = df.filter(pos)
+    cum = running_count(some.select(*keys, value), value, "_r", keys).select(*keys, value, (F.col("_r") / F.col("_all")).alias(name))
+    # rows at 0 and without a value, usually most, take no part in the join
+    return joined_by_key(some, cum, [*keys, value], by=value).select(*df.columns, name).unionByName(df.filter(~pos).withColumn(name, F.lit(0.0)))

@@ -1,8 +1,8 @@
 """References to records that do not exist.
 
-The distinct non-null keys of a referring table are held against the keys of the table referred to (left anti-join on
-keys, each side aggregated to one row per key first, so a key that a third of the rows carry moves once); only the keys
-that fail for some row are joined back to the rows.
+The distinct non-null keys of a referring table are held against the keys of the table referred to: those that a left anti-join
+leaves are missing, the others are judged by what the records there say. Each side is aggregated to one row per key first, so a key that a
+third of the rows carry moves once. Only the keys that fail for some row are joined back to the rows, heavy ones apart.
 
 Defined results: keys compare trimmed and in lower case; null and blank references are none; a key with several parent
 rows is valid if any of them is; a null created_at on either side is never late; an empty parent table makes every
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_or_shuffled
+from .skew import joined_by_key
 
 
 @dataclass(frozen=True)
@@ -52,9 +52,9 @@ def failing_keys(child: DataFrame, parent: DataFrame) -> DataFrame:
         F.count(F.when(alive & F.col("created").isNull(), 1)).alias("undated"),
         F.min(F.when(alive, F.col("created"))).alias("first"),
     )
-    j = refs.join(have, "key", "left")
-    state = F.when(F.col("alive").isNull(), "missing").when(F.col("alive") == 0, "deleted").when((F.col("undated") == 0) & (F.col("first_use") < F.col("first")), "late")
-    return j.select("key", state.alias("state"), F.col("first").alias("valid_from")).filter("state is not null")
+    missing = refs.join(have, "key", "left_anti").select("key", F.lit("missing").alias("state"), F.lit(None).cast(parent.schema["created"].dataType).alias("valid_from"))
+    state = F.when(F.col("alive") == 0, "deleted").when((F.col("undated") == 0) & (F.col("first_use") < F.col("first")), "late")
+    return missing.unionByName(refs.join(have, "key").select("key", state.alias("state"), F.col("first").alias("valid_from")).filter("state is not null"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
@@ -62,8 +62,7 @@ def orphans(child: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
     c = child.select(F.col(ref.row_id).alias("row_id"), plain_key(F.col(ref.key)).alias("key"), F.col(ref.created).alias("created"), F.col(ref.period).alias("period"))
     status = F.lower(F.regexp_replace(F.col("status"), r"\s+", "")) if "status" in parent.columns else F.lit(None).cast("string")
     p = parent.select(plain_key(F.col(ref.parent_key)).alias("key"), status.alias("status"), F.col(ref.created).alias("created"))
-    bad = small_or_shuffled(failing_keys(c, p))
-    hit = c.filter("key is not null").join(bad, "key")
+    hit = joined_by_key(c.filter("key is not null"), failing_keys(c, p), ["key"])
     late = (F.col("state") != "late") | (F.col("created") < F.col("valid_from"))
     return hit.filter(late).select(
         F.lit(ref.table).alias("table_name"), F.coalesce(F.date_format("period", "yyyy-MM"), F.lit("unknown")).alias("ref_period"), "row_id", F.col("state").alias("reason")

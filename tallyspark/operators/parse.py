@@ -5,7 +5,8 @@ positions lie outside quotes. The cells are then exploded into (record, column,
 failing cells are the errors, and the clean rows are what an anti-join leaves. Nothing runs in Python.
 
 Defined results: a null or blank record has only column_count; a record whose quoting is broken has only quoting; a
-record with another number of fields only column_count; an empty table gives empty results; repeated records are
+line break outside quotes is a character like any other (a record is given, so it cannot end one); a
+record with another number of fields only column_count; an amount may have a minus sign of either kind, and must not end in its point; an empty table gives empty results; repeated records are
 judged each by itself; very long records are cut in linear time, without backtracking; other columns of the input,
 of whatever names, are not touched.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 _NUM = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
 #: What a cell must match, by kind of rule; the end is \z since $ would allow a line break.
 PATTERNS = {
-    "amount": rf"^(?:|[+-]?{_NUM}|\({_NUM}\))\z",
+    "amount": rf"^(?:|[+\-−]?{_NUM}|\({_NUM}\))\z",
     "period": r"^0*(?:[1-9]|1[0-6])\z",
     "date": r"^(?:19|[2-9][0-9])[0-9]{2}-[0-9]{2}-[0-9]{2}(?: (?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9])?\z",
 }
@@ -48,7 +49,7 @@ def split_quoted(line: Column) -> tuple[Column, Column]:
     last = F.size(segs) - 1
     # outside quotes: nothing (a doubled mark or an end), or text that the neighbouring quoted fields are cut off from by commas
     outside_ok = F.forall(
-        F.transform(segs, lambda s, i: (i % 2 == 1) | (s == "") | (((i == 0) | s.startswith(",")) & ((i == last) | s.endswith(","))) & ~s.rlike("[\r\n]")),
+        F.transform(segs, lambda s, i: (i % 2 == 1) | (s == "") | (((i == 0) | s.startswith(",")) & ((i == last) | s.endswith(",")))),
         lambda ok: ok,
     )
     well = (F.size(segs) % 2 == 1) & outside_ok
@@ -61,7 +62,7 @@ def split_quoted(line: Column) -> tuple[Column, Column]:
 
 def amount(cell: Column) -> Column:
     """A cell that matches PATTERNS['amount'] as a number; empty is null, parentheses mean negative."""
-    digits = F.regexp_replace(cell, r"[,()+]", "").try_cast("double")
+    digits = F.replace(F.regexp_replace(cell, r"[,()+]", ""), F.lit("−"), F.lit("-")).try_cast("double")
     return F.when(cell.startswith("("), -digits).otherwise(digits)
 
 

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import is_small, written
+
 #: Items that the sketch tracks. Its counts are too low by at most about 4 / ITEMS of the rows, far under the thresholds used.
 ITEMS = 4096
 
@@ -53,3 +55,21 @@ def dominant_keys(df: DataFrame, keys: Sequence[str], share: float = 0.05) -> Da
         t = totals_by_key(df, k, [], share).filter(F.col("n_rows") >= F.lit(share) * total).select(F.lit(k).alias("field_name"), F.col("key_value").cast("string").alias("key_value"))
         out = t if out is None else out.unionByName(t)
     return out
+
+
+def joined_by_key(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", by: str | None = None, share: float = 0.01) -> DataFrame:
+    """df joined (inner, left, left_semi or left_anti) with a table that has few rows per key, whatever share of df's rows one key holds.
+
+    A table shown to be small is sent to every executor. Beyond that, keys that hold much of df (in the column `by`, the first of `on` unless given) meet their rows of the table by
+    broadcast, and all other rows by the ordinary shuffle; the two are united."""
+    on, table = list(on), written(table, "lookup")
+    if is_small(table):
+        return df.join(F.broadcast(table), on, how)
+    by = by or on[0]
+    heavy = heavy_keys(df, by, share)
+    if not heavy:
+        return df.join(table, on, how)
+    hot = written(table.filter(F.col(f"`{by}`").isin(heavy)), "heavy")
+    is_hot = F.coalesce(F.col(f"`{by}`").isin(heavy), F.lit(False))
+    rest = df.filter(~is_hot).join(table, on, how)
+    return df.filter(is_hot).join(F.broadcast(hot) if is_small(hot) else hot, on, how).unionByName(rest)

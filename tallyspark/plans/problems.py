@@ -109,7 +109,7 @@ _P2 = f"""
     UNION ALL SELECT upload_batch_id, column_name, 'domain_shift' FROM j WHERE new > 0.2 * (rows_ - nulls)"""
 
 _NUM = "([0-9]{1,3}(,[0-9]{3})+|[0-9]+)(\\.[0-9]+)?"
-_FIELD = '("([^"]|"")*"|[^",]?[^",\\r\\n]*)'
+_FIELD = '("([^"]|"")*"|[^",]*)'
 _P4 = f"""
     r AS (SELECT record_id, raw_line, regexp_full_match(raw_line, '{_FIELD}(,{_FIELD})*') AS well FROM journal_entries),
     f AS (SELECT record_id, list_transform(regexp_extract_all(',' || raw_line, ',("(?:[^"]|"")*"|[^",]*)', 1),
@@ -120,12 +120,12 @@ _P4 = f"""
           UNION ALL SELECT record_id, 'fiscal_period' FROM f WHERE len(c) = 11 AND NOT regexp_full_match(c[4], '0*([1-9]|1[0-6])')
           UNION ALL SELECT record_id, 'posting_date' FROM f WHERE len(c) = 11 AND (NOT regexp_full_match(c[5], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}( [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}})?')
                     OR try_strptime(c[5], ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d']) IS NULL OR c[5] < '1900')
-          UNION ALL SELECT record_id, 'debit_amount' FROM f WHERE len(c) = 11 AND NOT regexp_full_match(c[9], '([+-]?{_NUM}|\\({_NUM}\\))?')
-          UNION ALL SELECT record_id, 'credit_amount' FROM f WHERE len(c) = 11 AND NOT regexp_full_match(c[10], '([+-]?{_NUM}|\\({_NUM}\\))?'))"""
+          UNION ALL SELECT record_id, 'debit_amount' FROM f WHERE len(c) = 11 AND NOT regexp_full_match(c[9], '([+\\-−]?{_NUM}|\\({_NUM}\\))?')
+          UNION ALL SELECT record_id, 'credit_amount' FROM f WHERE len(c) = 11 AND NOT regexp_full_match(c[10], '([+\\-−]?{_NUM}|\\({_NUM}\\))?'))"""
 
 
 def _amount_sql(c: str) -> str:
-    return f"TRY_CAST(regexp_replace({c}, '[,()+]', '', 'g') AS DOUBLE) * (CASE WHEN starts_with({c}, '(') THEN -1 ELSE 1 END)"
+    return f"TRY_CAST(replace(regexp_replace({c}, '[,()+]', '', 'g'), '−', '-') AS DOUBLE) * (CASE WHEN starts_with({c}, '(') THEN -1 ELSE 1 END)"
 
 
 def _orphans_sql(r: orphans.Reference, status: str) -> str:

@@ -1,8 +1,9 @@
-"""Session helpers: shared folder, written tables, size-checked broadcasts."""
+"""Session helpers: shared folder, written and cached tables, size-checked broadcasts."""
 
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,8 +12,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows (and few narrow columns) is sent to every executor; beyond it both sides are shuffled.
-BROADCAST_ROWS = 50_000
+#: A side with at most this many rows and bytes (of its file) is sent to every executor; beyond it both sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
 
 
 def build_session(app: str = "tallyspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,10 +33,12 @@ def build_session(app: str = "tallyspark", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. It is the session's spark.checkpoint.dir; where that is unset (tests on one
-    machine) a temporary folder is made and set."""
+    """The folder all executors share. It is the session's spark.checkpoint.dir; where that is unset and all runs in one
+    process (tests), a temporary folder is made and set. On a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -67,11 +70,50 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(df: DataFrame, max_rows: int = BROADCAST_ROWS, ready: bool = False) -> DataFrame:
-    """Mark df for broadcast if a count shows that it has at most max_rows rows; otherwise return it unmarked, and joins with it shuffle. df is written first, so that counting
-    and joining do not compute it twice, unless it is `ready` (a written table, or cheap)."""
-    df = df if ready else written(df, "small")
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def is_small(written_df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a written table may be sent to every executor, by its rows and the bytes of its files."""
+    size = int(str(written_df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= BROADCAST_BYTES and written_df.limit(max_rows + 1).count() <= max_rows
+
+
+def small_or_shuffled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark df for broadcast if it is shown to be small; otherwise return it unmarked, and joins with it shuffle. df is written first, so that counting
+    and joining do not compute it twice."""
+    df = written(df, "small")
+    return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def file_marks(spark: SparkSession, path: str) -> list[str]:
+    """Name, length and time of change of every file under a path; what a cached result of it depends on."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return sorted(out)
+
+
+def cached(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame], version: str = "1") -> DataFrame:
+    """The table that make() gives, kept in the shared folder under a fingerprint of the input files: computed once as long as these stay as they are. Only a complete table (with its mark of success) is
+    read; of two sessions that make it at once, one's copy is kept."""
+    key = hashlib.sha256("\n".join([name, version, *(m for i in inputs for m in file_marks(spark, i))]).encode()).hexdigest()[:24]
+    to = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallyspark/cache/{name}-{key}")
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(to):
+        df = make()
+        path = new_path(spark, name)
+        df.write.mode("errorifexists").parquet(path)
+        fs.mkdirs(to.getParent())
+        if not fs.exists(to) and not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(path), to):
+            return spark.read.schema(df.schema).parquet(path)
+    return spark.read.parquet(to.toString())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files make fewer tasks than there are (a small file is one task, whatever is computed of its rows). Select the columns first."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > n else df.repartition(n)
 
 
 def at_once(*makers: Callable[[], DataFrame]) -> list[DataFrame]:

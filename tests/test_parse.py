@@ -21,6 +21,7 @@ def test_reasons(spark):
         (line(period="0"), ["fiscal_period"]), (line(period="16"), []), (line(period="17"), ["fiscal_period"]), (line(period=" 007 "), []), (line(period="٣"), ["fiscal_period"]), (line(period=""), ["fiscal_period"]),
         (line(posted="2023-02-29"), ["posting_date"]), (line(posted="1899-12-31"), ["posting_date"]), (line(posted="1900-01-01 23:59:59"), []), (line(posted="2024-01-01 24:00:00"), ["posting_date"]), (line(posted="2024-1-1"), ["posting_date"]), (line(posted="2024-13-01"), ["posting_date"]),
         (line(debit='"1,234.50"'), []), (line(debit='"12,34"'), ["debit_amount"]), (line(debit="(5)"), []), (line(debit="(-5)"), ["debit_amount"]), (line(debit="+5"), []), (line(debit="5-"), ["debit_amount"]), (line(debit="1e3"), ["debit_amount"]), (line(debit="1 2", credit="x"), ["credit_amount", "debit_amount"]),
+        (line(text="a\nb"), []), (line(text="a\r\nb", debit="x"), ["debit_amount"]), ("D;C\nE;F", ["column_count"]), (line(debit="−5", credit="-5"), []), (line(debit="5."), ["debit_amount"]), (line(debit=".5"), ["debit_amount"]),
         (line(text="\x01s\x01e"), []), (line(text="z" * 100_000), []), (line(text='"' + '""' * 20_000 + '"'), []),
     ]
     got, _ = reasons(spark, [c[0] for c in cases])
@@ -28,7 +29,7 @@ def test_reasons(spark):
 
 
 def test_typed_values(spark):
-    lines = [line(debit='"1,234.50"', credit="(7)", period="007", text='"a ""q"", b"'), line(debit="bad"), line(debit="", credit="-3", posted="2024-02-29 10:11:12", text="\x01s")]
+    lines = [line(debit='"1,234.50"', credit="(7)", period="007", text='"a ""q"", b"'), line(debit="bad"), line(debit="", credit="−3", posted="2024-02-29 10:11:12", text="\x01s")]
     _, p = reasons(spark, lines)
     v = {r["record_id"]: r for r in parse.valid_rows(p, parse.errors(p)).collect()}
     assert set(v) == {0, 2}
