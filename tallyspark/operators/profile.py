@@ -2,8 +2,11 @@
 
 Every column of a table is kept as counts of (load, column, value). A load is added, or taken back, by appending a
 signed delta; null rate, distinct count, range, pattern violations, entropy, medians and domain changes are all derived
-from the counts, exactly. The counting runs as one hash aggregation per column (each reads only that column), so
-the shuffle carries counts of distinct values, never rows.
+from the maintained counts, exactly. sync() brings a store up to date with a table: only loads that are new or have changed since are
+counted, and what was counted of those that changed or went is taken back.
+
+The counting reads the table once for each kind of value (strings, doubles, whole numbers and times), each pass only its columns, and
+aggregates before the shuffle, which carries counts of distinct values, never rows.
 
 Defined results: a null value is counted as a value of its own and takes part in null rates only; NaN is an ordinary
 value; an empty table has no counts; columns of any clashing names are safe as the counts have fixed names of
@@ -12,6 +15,7 @@ their own (load_id, column_name, s, d, i, n); repeated rows count as often as th
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,6 +42,14 @@ def dtype_name(t: T.DataType) -> str:
     return "bool" if isinstance(t, T.BooleanType) else "object"
 
 
+def _kind(t: T.DataType) -> str:
+    """Which of the three a value is kept as: string, double or bigint."""
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        return "d"
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.TimestampType, T.TimestampNTZType, T.DateType)
+    return "i" if isinstance(t, whole) else "s"
+
+
 def _encoded(c: Column, t: T.DataType) -> tuple[Column, Column, Column]:
     """The value as (string, double, bigint); exactly one is set unless the value is null."""
     s, d, i = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("bigint")
@@ -59,47 +71,96 @@ def _encoded(c: Column, t: T.DataType) -> tuple[Column, Column, Column]:
 def value_counts(df: DataFrame, load_col: str, columns: list[str] | None = None) -> DataFrame:
     """Counts of each (load, column, value) as COUNT_SCHEMA. Rows with a null load belong to the load null."""
     columns = [c for c in df.columns if c != load_col] if columns is None else columns
-    parts = []
+    load = F.col(f"`{load_col}`").cast("string").alias("load_id")
+    kinds: dict[str, list] = {"s": [], "d": [], "i": []}
     for c in columns:
-        t = df.schema[c].dataType
-        g = df.select(F.col(f"`{load_col}`").cast("string").alias("load_id"), F.col(f"`{c}`").alias("v")).groupBy("load_id", "v").agg(F.count(F.lit(1)).alias("n"))
-        s, d, i = _encoded(F.col("v"), t)
-        parts.append(g.select("load_id", F.lit(c).alias("column_name"), s.alias("s"), d.alias("d"), i.alias("i"), "n"))
+        values = dict(zip("sdi", _encoded(F.col(f"`{c}`"), df.schema[c].dataType), strict=True))
+        kinds[_kind(df.schema[c].dataType)].append((c, values))
+    parts = []
+    for k, cols in kinds.items():
+        if not cols:
+            continue
+        names = F.array(*(F.lit(c) for c, _ in cols))
+        x = df.select(load, F.posexplode(F.array(*(v[k] for _, v in cols))).alias("c", "v"))
+        g = x.groupBy("load_id", "c", "v").agg(F.count(F.lit(1)).alias("n"))
+        one = {f.name: F.col("v") if f.name == k else F.lit(None).cast(f.dataType) for f in COUNT_SCHEMA if f.name in "sdi"}
+        parts.append(g.select("load_id", F.element_at(names, F.col("c") + 1).alias("column_name"), *(e.alias(n) for n, e in one.items()), "n"))
     return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], COUNT_SCHEMA)
 
 
-class ValueCountStore:
-    """Value-count tables kept in a folder: an append-only log of signed deltas, one per call of apply()."""
+def load_marks(df: DataFrame, load_col: str, columns: list[str]) -> DataFrame:
+    """(load_id, mark) of each load: its number of rows and two sums over hashes of them, in any order."""
+    h = F.xxhash64(*(F.col(f"`{c}`") for c in columns))
+    g = df.select(F.col(f"`{load_col}`").cast("string").alias("load_id"), h.alias("h")).groupBy("load_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").bitwiseAND(F.lit(0x7FFFFFFF))).alias("a"), F.sum(F.shiftrightunsigned("h", 33)).alias("b"))
+    return g.select("load_id", F.concat_ws("-", "n", "a", "b").alias("mark"))
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.deltas = spark, path.rstrip("/"), self._existing(spark, path)
 
-    @staticmethod
-    def _existing(spark: SparkSession, path: str) -> int:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return 0
-        return max([0, *(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(p) if x.getPath().getName().startswith("delta="))])
+class ValueCountStore:
+    """Value-count tables kept in a folder: an append-only log of signed deltas, one per call of apply(). A delta counts once its entries in the log are written, which comes last; what an interrupted
+    call left behind is not read."""
 
-    def apply(self, counts: DataFrame, sign: int = 1) -> None:
-        """Add (sign 1) or take back (sign -1) the counts of one or more loads. Costs as much as the delta, however large the store."""
-        self.deltas += 1
-        counts.withColumn("n", F.col("n") * F.lit(sign)).write.mode("errorifexists").parquet(f"{self.path}/delta={self.deltas:06d}")
+    LOG = "delta string, load_id string, sign int, mark string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _names(self) -> list[str]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = lambda d: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{d}/_SUCCESS"))
+        return sorted(n for x in fs.listStatus(p) if done(n := x.getPath().getName())) if fs.exists(p) else []
+
+    @property
+    def deltas(self) -> int:
+        return len(self._names())
+
+    def apply(self, counts: DataFrame, sign: int = 1, marks: DataFrame | None = None) -> None:
+        """Add (sign 1) or take back (sign -1) the counts of one or more loads. Costs as much as the delta, however large the store. marks (load_id, mark): what sync() compares."""
+        name = f"{self.deltas + 1:06d}-{uuid.uuid4().hex[:8]}"
+        counts.withColumn("n", F.col("n") * F.lit(sign)).write.mode("errorifexists").parquet(f"{self.path}/counts/{name}")
+        if marks is None:
+            marks = self.spark.read.schema(COUNT_SCHEMA).parquet(f"{self.path}/counts/{name}").select("load_id", F.lit(None).cast("string").alias("mark")).distinct()
+        marks.select(F.lit(name).alias("delta"), "load_id", F.lit(sign).alias("sign"), "mark").coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/log/{name}")
+
+    def loads(self) -> DataFrame:
+        """(load_id, mark) of the loads that the store holds."""
+        names = self._names()
+        if not names:
+            return self.spark.createDataFrame([], "load_id string, mark string")
+        log = self.spark.read.schema(self.LOG).parquet(*(f"{self.path}/log/{n}" for n in names))
+        # the last entry of a load says whether it is there
+        g = log.groupBy("load_id").agg(F.sum("sign").alias("held"), F.max_by("mark", F.struct("delta", "sign")).alias("mark"))
+        return g.filter("held > 0").select("load_id", "mark")
+
+    def sync(self, df: DataFrame, load_col: str, columns: list[str]) -> "ValueCountStore":
+        """Make the store agree with the table, load by load."""
+        now = load_marks(df, load_col, columns)
+        j = now.alias("t").join(self.loads().alias("s"), F.col("t.load_id").eqNullSafe(F.col("s.load_id")), "full")
+        same = F.coalesce(F.col("t.mark") == F.col("s.mark"), F.lit(False))
+        diff = j.filter(~same).select(F.col("t.load_id").alias("t_load"), F.col("t.mark").alias("mark"), F.col("s.mark").alias("old"), F.col("s.load_id").alias("s_load"))
+        rows = diff.collect()  # a row per load that is new, changed or gone
+        schema = "load_id string, mark string"
+        gone = self.spark.createDataFrame([(r["s_load"], r["old"]) for r in rows if r["old"] is not None], schema)
+        new = self.spark.createDataFrame([(r["t_load"], r["mark"]) for r in rows if r["mark"] is not None], schema)
+        of = lambda x, load, loads: x.join(F.broadcast(loads.select(F.col("load_id").alias("_l"))), F.col(f"`{load}`").cast("string").eqNullSafe(F.col("_l")), "left_semi")
+        if any(r["old"] is not None for r in rows):
+            self.apply(of(self.current(), "load_id", gone), -1, gone)
+        if any(r["mark"] is not None for r in rows):
+            self.apply(value_counts(of(df, load_col, new) if self.deltas else df, load_col, columns), 1, new)
+        return self
 
     def current(self) -> DataFrame:
         """The counts after all deltas. One delta alone holds each key once, so it is read as it is; values whose counts have come to 0 vanish."""
-        if not self.deltas:
+        names = self._names()
+        if not names:
             return self.spark.createDataFrame([], COUNT_SCHEMA)
-        if self.deltas == 1:
-            return self.spark.read.schema(COUNT_SCHEMA).parquet(f"{self.path}/delta=000001").filter("n <> 0")
-        paths = [f"{self.path}/delta={k:06d}" for k in range(1, self.deltas + 1)]
-        return self.spark.read.schema(COUNT_SCHEMA).parquet(*paths).groupBy(*KEYS).agg(F.sum("n").alias("n")).filter("n <> 0")
+        x = self.spark.read.schema(COUNT_SCHEMA).parquet(*(f"{self.path}/counts/{n}" for n in names))
+        return (x if len(names) == 1 else x.groupBy(*KEYS).agg(F.sum("n").alias("n"))).filter("n <> 0")
 
     def compact(self) -> "ValueCountStore":
         """Merge the log into one delta, in a new folder beside this one."""
         to = ValueCountStore(self.spark, f"{self.path}-compact{self.deltas}")
-        to.apply(self.current())
+        to.apply(self.current(), 1, self.loads())
         return to
 
 

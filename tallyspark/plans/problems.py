@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import orphans, parse, profile, skew
-from ..session import new_path, read, written
+from ..session import new_path, read, shared_dir, written
 
 #: Columns of general_ledger that are profiled: all but the row's own identifier and the load itself.
 PROFILED = [
@@ -19,10 +20,11 @@ PROFILED = [
 
 
 def _ledger_counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The ledger and its value counts, from a store in the shared folder that is kept and brought up to date load by load."""
     gl = read(spark, d, "general_ledger")
-    store = profile.ValueCountStore(spark, new_path(spark, "value-counts"))
-    store.apply(profile.value_counts(gl, "upload_batch_id", PROFILED))
-    return gl, store.current()
+    place = hashlib.sha256(f"{d}/general_ledger".encode()).hexdigest()[:16]
+    store = profile.ValueCountStore(spark, f"{shared_dir(spark)}/tallyspark/value-counts/general_ledger-{place}")
+    return gl, store.sync(gl, "upload_batch_id", PROFILED).current()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,12 +32,27 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return profile.check_catalog(counts, read(spark, d, "s0_column_catalog"), gl.select(*PROFILED).schema)
 
 
-def p2_profile(spark: SparkSession, d: str) -> DataFrame:
-    _, counts = _ledger_counts(spark, d)
+def _profile(counts: DataFrame) -> DataFrame:
     m = profile.metrics(counts).select(F.col("load_id").alias("upload_batch_id"), "column_name", "row_count", "nulls", "distinct_count", F.round("entropy", 6).alias("entropy"))
     return m.filter("upload_batch_id is not null")
 
 
+def p2_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _profile(_ledger_counts(spark, d)[1])
+
+
+def p2_retracted(spark: SparkSession, d: str) -> DataFrame:
+    """The profile after signed deltas: all loads but the last are added, then the last one, the first is taken back, and the last, changed, is loaded again."""
+    gl = read(spark, d, "general_ledger")
+    ends = gl.agg(F.min("upload_batch_id").alias("a"), F.max("upload_batch_id").alias("z")).first()
+    store = profile.ValueCountStore(spark, new_path(spark, "value-counts"))
+    last = F.coalesce(F.col("upload_batch_id") == ends["z"], F.lit(False))
+    store.sync(gl.filter(~last), "upload_batch_id", PROFILED)
+    store.sync(gl, "upload_batch_id", PROFILED)
+    store.sync(gl.filter(F.coalesce(F.col("upload_batch_id") != ends["a"], F.lit(True))).withColumn("currency", F.when(~last, F.col("currency"))), "upload_batch_id", PROFILED)
+    return _profile(store.current())
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return parse.errors(parse.parsed(read(spark, d, "journal_entries"), "record_id", "raw_line"))
 
@@ -66,7 +83,7 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_profile, p4_found, p4_valid, p5_found, p5_totals, p7_found, p7_counts)}
+    return {f.__name__: f for f in (p2_found, p2_profile, p2_retracted, p4_found, p4_valid, p5_found, p5_totals, p7_found, p7_counts)}
 
 
 _STRINGS = {"document_id", "company_code", "document_type", "currency", "reference", "header_text", "created_by", "user_persona", "source", "business_process", "approved_by", "gl_account", "cost_center", "line_text", "tax_code", "trading_partner"}
@@ -74,11 +91,11 @@ _DOUBLES = {"exchange_rate", "debit_amount", "credit_amount", "local_amount", "t
 _INTS = {"fiscal_year", "fiscal_period", "line_number"}
 
 
-def _counts_sql() -> str:
+def _counts_sql(table: str = "general_ledger") -> str:
     """(load_id, column_name, real, s, x, n) of every column."""
     real = lambda c: "object" if c in _STRINGS else "float64" if c in _DOUBLES else "int64" if c in _INTS else "datetime64[us]"
     num = lambda c: f"{c}::DOUBLE" if c in _DOUBLES | _INTS else "NULL::DOUBLE"
-    return " UNION ALL ".join(f"SELECT upload_batch_id AS load_id, '{c}' AS column_name, '{real(c)}' AS real, {c}::VARCHAR AS s, {num(c)} AS x, count(*) AS n FROM general_ledger GROUP BY ALL" for c in PROFILED)
+    return " UNION ALL ".join(f"SELECT upload_batch_id AS load_id, '{c}' AS column_name, '{real(c)}' AS real, {c}::VARCHAR AS s, {num(c)} AS x, count(*) AS n FROM {table} GROUP BY ALL" for c in PROFILED)
 
 
 _P2 = f"""
@@ -144,11 +161,13 @@ _P7 = " UNION ALL ".join(_orphans_sql(r, "coalesce(lower(regexp_replace(status,
 
 def oracle_sql() -> dict[str, str]:
     both = ("gl_account", "created_by")
-    return {
-        "p2_found": _P2,
-        "p2_profile": f"""WITH c AS ({_counts_sql()}), m AS (SELECT load_id, column_name, sum(n)::BIGINT AS row_count, sum(CASE WHEN s IS NULL THEN n ELSE 0 END)::BIGINT AS nulls, count(s) AS distinct_count,
+    profiled = lambda with_, table: f"""WITH {with_} c AS ({_counts_sql(table)}), m AS (SELECT load_id, column_name, sum(n)::BIGINT AS row_count, sum(CASE WHEN s IS NULL THEN n ELSE 0 END)::BIGINT AS nulls, count(s) AS distinct_count,
                           sum(CASE WHEN s IS NOT NULL THEN n * log2(n) END) AS nl FROM c WHERE load_id IS NOT NULL GROUP BY 1, 2)
-                          SELECT load_id AS upload_batch_id, column_name, row_count, nulls, distinct_count, CASE WHEN row_count > nulls THEN round(log2(row_count - nulls) - nl / (row_count - nulls), 6) END AS entropy FROM m""",
+                          SELECT load_id AS upload_batch_id, column_name, row_count, nulls, distinct_count, CASE WHEN row_count > nulls THEN round(log2(row_count - nulls) - nl / (row_count - nulls), 6) END AS entropy FROM m"""
+    left = """g AS (SELECT * REPLACE (CASE WHEN upload_batch_id IS DISTINCT FROM (SELECT max(upload_batch_id) FROM general_ledger) THEN currency END AS currency) FROM general_ledger
+              WHERE upload_batch_id IS DISTINCT FROM (SELECT min(upload_batch_id) FROM general_ledger)),"""
+    return {
+        "p2_found": _P2, "p2_profile": profiled("", "general_ledger"), "p2_retracted": profiled(left, "g"),
         "p4_found": f"WITH {_P4} SELECT record_id, reason FROM e",
         "p4_valid": f"WITH {_P4} SELECT record_id, {_amount_sql('c[9]')} AS debit_amount, {_amount_sql('c[10]')} AS credit_amount, c[4]::INTEGER AS fiscal_period FROM f WHERE record_id NOT IN (SELECT record_id FROM e)",
         "p5_found": " UNION ALL ".join(f"SELECT '{k}' AS field_name, {k} AS key_value FROM general_ledger WHERE {k} IS NOT NULL GROUP BY {k} HAVING count(*) >= 0.05 * (SELECT count(*) FROM general_ledger)" for k in both),

@@ -45,6 +45,18 @@ def test_signed_deltas(spark):
     assert profile.ValueCountStore(spark, store.path).deltas == 3
 
 
+def test_sync_keeps_up_with_the_table(spark):
+    path = new_path(spark, "t")
+    rows = [("a", "x", 1.0, 1, 1), ("b", "y", 2.0, 1, 1), (None, "z", 3.0, 1, None)]
+    counts = lambda df: {tuple(r) for r in df.select("load_id", "column_name", "s", "d", "i", "n").collect()}
+    cols = ["s", "d", "k", "n"]
+    for step, t in enumerate((rows, rows, [rows[0], ("b", "y", 9.0, 1, 1), rows[2], ("c", None, None, 1, 1)], rows[1:], [])):
+        df = table(spark, t)
+        store = profile.ValueCountStore(spark, path).sync(df, "load", cols)
+        assert counts(store.current()) == counts(profile.value_counts(df, "load", cols)), step
+        assert store.deltas == (1, 1, 3, 5, 6)[step]  # nothing is counted again that has not changed
+
+
 def test_empty(spark):
     c = profile.value_counts(table(spark, []), "load")
     assert c.count() == 0 and profile.metrics(c).count() == 0
