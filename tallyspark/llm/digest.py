@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import joined_by_key
 from ..session import small_or_shuffled, written
 
 #: Clusters per digest, at most about this many.
@@ -172,23 +173,27 @@ def brackets(d: DataFrame, group_col: str, percentiles: Sequence[float], widen:
 
 
 def _ranked(df: DataFrame, group_col: str, value: Column, br: DataFrame) -> DataFrame:
-    """One row per group and percentile: the count of rows below lo, and the value at the position if it lies within the bracket."""
+    """One row per group and percentile: the value at the position if it lies within the bracket, and the ranks that the estimate covers.
+
+    Rows are counted per value first. The counts are put in order by ranges of (group, percentile, value), each in a part of its own; sums of parts tell in which part the
+    position lies, and only that part's values are summed one by one, so no task holds all of a group's bracket."""
+    key = [group_col, "percentile"]
     rows = df.select(F.col(group_col), value.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     per = br.groupBy(group_col).agg(F.collect_list(F.struct("percentile", "lo", "hi")).alias("b"))  # as many as there are percentiles
-    near = rows.join(small_or_shuffled(per), group_col).select(group_col, "v", F.explode(F.filter("b", lambda x: F.col("v") <= x["hi"])).alias("x"))
+    near = joined_by_key(rows, per, [group_col]).select(group_col, "v", F.explode(F.filter("b", lambda x: F.col("v") <= x["hi"])).alias("x"))
     # rows below the bracket fall into one class, those within keep their value; both are counted before the shuffle
     counts = near.groupBy(group_col, F.col("x.percentile").alias("percentile"), F.when(F.col("v") >= F.col("x.lo"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-
-
-    w = Window.partitionBy(group_col, "percentile").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    j = counts.withColumn("upto", F.sum("c").over(w)).join(small_or_shuffled(br.select(group_col, "percentile", "position", "n", "estimate", "lo", "hi")), [group_col, "percentile"])
-    reached = F.col("upto") >= F.col("position")
-    return j.groupBy(group_col, "percentile", "position", "n", "estimate", "lo", "hi").agg(
-        F.min(F.when(reached & F.col("v").isNotNull(), F.col("v"))).alias("value"),
-        F.max(F.when(reached & F.col("v").isNull(), True)).alias("below"),
-        F.max(F.when(F.col("v") < F.col("estimate"), F.col("upto")).otherwise(F.when(F.col("v").isNull(), F.col("upto")))).alias("rank_lo"),
-        F.max(F.when(F.col("v").isNull() | (F.col("v") <= F.col("estimate")), F.col("upto"))).alias("rank_hi"),
-    )
+    order = F.col("v").asc_nulls_first()
+    counts = written(counts.repartitionByRange(F.col(group_col), F.col("percentile"), order).withColumn("part", F.spark_partition_id()), "counts")
+    marked = joined_by_key(counts, br.select(*key, "position", "n", "estimate"), key)
+    upto = lambda cond: F.sum(F.when(F.col("v").isNull() | cond, F.col("c")).otherwise(0))
+    ranks = marked.groupBy(*key, "position", "n", "estimate").agg(upto(F.col("v") < F.col("estimate")).alias("rank_lo"), upto(F.col("v") <= F.col("estimate")).alias("rank_hi"))
+    parts = marked.groupBy(*key, "part", "position").agg(F.sum("c").alias("pc"))
+    parts = parts.withColumn("before", F.sum("pc").over(Window.partitionBy(*key).orderBy("part")) - F.col("pc"))  # over parts
+    hit = parts.filter((F.col("before") < F.col("position")) & (F.col("before") + F.col("pc") >= F.col("position"))).select(*key, "part", "before", "position")
+    w = Window.partitionBy(*key, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    at = counts.join(small_or_shuffled(hit), [*key, "part"]).withColumn("r", F.col("before") + F.sum("c").over(w)).filter(F.col("r") >= F.col("position"))
+    return ranks.join(at.groupBy(*key).agg(F.min_by("v", "r").alias("value")), key, "left")
 
 
 def exact_percentiles(df: DataFrame, group_col: str, value: Column, percentiles: Sequence[float], d: DataFrame | None = None) -> DataFrame:
@@ -201,15 +206,15 @@ def exact_percentiles(df: DataFrame, group_col: str, value: Column, percentiles:
         if last:  # everything is within
             br = br.withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("inf"))})
         r = written(_ranked(df, group_col, value, br), "ranked")
-        ok = r.filter(F.col("below").isNull() & F.col("value").isNotNull())
+        ok = r.filter(F.col("value").isNotNull())
         done = ok if done is None else done.unionByName(ok)
-        failed = r.filter(F.col("below").isNotNull() | F.col("value").isNull()).select(group_col, "percentile")
+        failed = r.filter(F.col("value").isNull()).select(group_col, "percentile")
         if last or failed.isEmpty():
             break
         todo = todo.join(failed.select(group_col).distinct(), group_col, "left_semi")
         done = done.join(failed.select(group_col).distinct(), group_col, "left_anti")  # the group comes again as a whole
         widen *= 8
-    lo, hi = F.coalesce("rank_lo", F.lit(0)), F.coalesce("rank_hi", F.lit(0))
+    lo, hi = F.col("rank_lo"), F.col("rank_hi")
     error = F.when(F.col("position") > hi, F.col("position") - hi).when(F.col("position") <= lo, lo + 1 - F.col("position")).otherwise(0)
     return done.select(group_col, "percentile", "n", "position", "estimate", "value", error.cast("long").alias("rank_error"))
 

@@ -10,7 +10,9 @@ ever in one task.
 Defined results: documents of sources without a target, with a null source or without tokens take no part; a listed source without
 documents has the actual share 0, and the others divide its share in proportion to their weights; without a budget, the
 budget is the largest total at which every present source still has its share within its repeats; rows of equal id
-are told apart by nothing else and count each; an empty table gives an empty mix.
+are told apart by nothing else and count each; an empty table gives an empty mix. A source's share of the mix differs from its weight by at
+most its largest document over the budget (the last document of a source may fall beyond the cut), so a small mix of large
+documents is as coarse as these are; shares() reports it.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def mix(tokens: DataFrame, targets: DataFrame, budget: int | None = None, seed:
     rows = [r for r in plan(tokens, targets, budget) if r["weight"] > 0]
     total = rows[0]["budget"] if rows else 0
     n = sum(r["docs"] for r in rows)
-    bins = min(100_000, max(16, -(-n // PER_BIN)))
+    bins = max(16, -(-n // PER_BIN))
     copies = lambda r: int(min(int(r["max_repeats"] or 1), -(-max(1, total) // r["tokens"])))  # no source can take more than the whole budget
     weights = F.broadcast(spark.createDataFrame([(r["source"], r["weight"], copies(r), r["tokens"]) for r in rows], "source string, weight double, copies int, source_tokens bigint"))  # a row per target
     x = tokens.filter("n_tokens > 0").join(weights, "source").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -62,7 +64,7 @@ def mix(tokens: DataFrame, targets: DataFrame, budget: int | None = None, seed:
     x = x.join(before, key).withColumn("cum", F.sum("n_tokens").over(inner) + F.col("before") + (F.col("copy_no") - 1) * F.col("source_tokens"))
     x = written(x.select("doc_id", "source", "copy_no", "n_tokens", (F.col("cum") / F.col("weight")).alias("finish_time")), "queue")
     # cut the order at the budget: whole steps of time before the one in which the budget ends, and that step in order
-    step = max(1.0, total / min(100_000, bins * 4))
+    step = max(1.0, total / (bins * 4))
     steps = x.groupBy(F.floor(F.col("finish_time") / step).alias("step")).agg(F.sum("n_tokens").alias("s"))
     sofar = steps.withColumn("upto", F.sum("s").over(Window.orderBy("step")))  # over a few rows per bin, not over documents
     hit = sofar.filter(F.col("upto") > total).orderBy("step").first()
@@ -76,8 +78,8 @@ def mix(tokens: DataFrame, targets: DataFrame, budget: int | None = None, seed:
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, n_docs, n_tokens, actual_share, most_copies), one row per listed source."""
-    got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.max("copy_no").alias("most_copies"))
-    j = targets.select("source", "target_share").join(got, "source", "left").na.fill(0, ["n_docs", "n_tokens", "most_copies"])
+    """(source, target_share, n_docs, n_tokens, actual_share, most_copies, bound), one row per listed source; bound: the largest document taken over all tokens, about as far as the share may be off its weight."""
+    got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.max("copy_no").alias("most_copies"), F.max("n_tokens").alias("_most"))
+    j = targets.select("source", "target_share").join(got, "source", "left").na.fill(0, ["n_docs", "n_tokens", "most_copies", "_most"])
     all_ = F.sum("n_tokens").over(Window.partitionBy())
-    return j.select("source", "target_share", "n_docs", "n_tokens", F.when(all_ > 0, F.col("n_tokens") / all_).otherwise(0.0).alias("actual_share"), "most_copies")
+    return j.select("source", "target_share", "n_docs", "n_tokens", F.when(all_ > 0, F.col("n_tokens") / all_).otherwise(0.0).alias("actual_share"), "most_copies", F.when(all_ > 0, F.col("_most") / all_).otherwise(0.0).alias("bound"))

@@ -70,16 +70,16 @@ class Best:
 
 
 def top_n_per_group(df: DataFrame, group_col: str, score_col: str, id_col: str, n: int, rank_name: str = "rank_no") -> DataFrame:
-    """(group_col, id_col, score_col, rank_no int)."""
+    """(group_col, id_col, score_col, rank_no int). The score keeps its type, so whole numbers and decimals are compared as they are."""
     f = {x.name: x for x in df.schema.fields}
-    base = [T.StructField(group_col, f[group_col].dataType), T.StructField(id_col, f[id_col].dataType), T.StructField(score_col, T.DoubleType())]
+    base = [T.StructField(group_col, f[group_col].dataType), T.StructField(id_col, f[id_col].dataType), T.StructField(score_col, f[score_col].dataType)]
     partial, final = T.StructType(base), T.StructType([*base, T.StructField(rank_name, T.IntegerType())])
 
     def rows(b: pa.RecordBatch) -> Iterator[tuple]:
         return zip(*(c.to_pylist() for c in b.columns), strict=True)
 
     def batch(groups: list, ids: list, scores: list, like: pa.Schema, ranks: list | None = None) -> pa.RecordBatch:
-        cols = [pa.array(groups, like.field(0).type), pa.array(ids, like.field(1).type), pa.array(scores, pa.float64())]
+        cols = [pa.array(groups, like.field(0).type), pa.array(ids, like.field(1).type), pa.array(scores, like.field(2).type)]
         return pa.RecordBatch.from_arrays([*cols, pa.array(ranks, pa.int32())] if ranks is not None else cols, names=[group_col, id_col, score_col, rank_name][: 3 + (ranks is not None)])
 
     def out(best: dict, like: pa.Schema) -> pa.RecordBatch:
@@ -127,7 +127,8 @@ def top_n_per_group(df: DataFrame, group_col: str, score_col: str, id_col: str,
             close()
             yield batch(*done[:3], like, done[3])
 
-    clean = df.select(F.col(group_col), F.col(id_col), F.col(score_col).cast("double").alias(score_col))
-    clean = clean.filter(F.col(group_col).isNotNull() & F.col(id_col).isNotNull() & F.col(score_col).isNotNull() & ~F.isnan(score_col))
+    clean = df.select(group_col, id_col, score_col).filter(F.col(group_col).isNotNull() & F.col(id_col).isNotNull() & F.col(score_col).isNotNull())
+    if isinstance(f[score_col].dataType, (T.DoubleType, T.FloatType)):
+        clean = clean.filter(~F.isnan(score_col))
     heaps = clean.mapInArrow(before, partial)
     return heaps.repartition(F.col(group_col)).sortWithinPartitions(group_col).mapInArrow(after, final)

@@ -63,3 +63,20 @@ def test_widening_reaches_any_value(spark, monkeypatch):
     bad = spark.createDataFrame([("a", [900.0, 950.0], [500.0, 500.0], 900.0, 999.0)], "g string, means array<double>, weights array<double>, low double, high double")
     r = digest.exact_percentiles(df, "g", F.col("v"), (50,), bad).collect()
     assert [(x["value"], x["n"]) for x in r] == [(499.0, 1000)]
+
+
+def test_scores_of_other_types(spark):
+    df = spark.sql("select 'g' g, concat('i', id) i, 9007199254740992 + id as s from range(4)")
+    assert [r["i"] for r in topn.top_n_per_group(df, "g", "s", "i", 2).orderBy("rank_no").collect()] == ["i3", "i2"]
+    df = df.withColumn("s", F.expr("cast(concat('0.1000000000000000', substring(i, 2)) as decimal(38,18))"))
+    assert [r["i"] for r in topn.top_n_per_group(df, "g", "s", "i", 2).orderBy("rank_no").collect()] == ["i3", "i2"]
+
+
+def test_a_group_whose_values_are_close(spark):
+    """One group holds nearly all rows, most of them in a narrow range: exact values come out of ordered parts."""
+    df = spark.range(40_000).selectExpr("if(id % 20 = 0, 'b', 'a') g", "1000000 + (id * 7919 % 40000) / 1e6 v")
+    got = {(r["g"], int(r["percentile"])): r for r in digest.exact_percentiles(df, "g", F.col("v"), (1, 50, 99)).collect()}
+    for g in "ab":
+        v = sorted(r["v"] for r in df.filter(F.col("g") == g).collect())
+        for p in (1, 50, 99):
+            assert got[g, p]["value"] == v[-(-len(v) * p // 100) - 1] and got[g, p]["n"] == len(v)
