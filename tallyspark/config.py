@@ -58,6 +58,17 @@ class Settings:
     high_words: tuple[str, ...] = ("cancel", "reversal", "correction", "취소", "정정")
     medium_words: tuple[str, ...] = ("adjust", "settlement", "조정", "정산")
     fixed_holidays: tuple[tuple[int, int], ...] = ((1, 1), (3, 1), (5, 5), (6, 6), (8, 15), (10, 3), (10, 9), (12, 25))
+    # fixed values: public holidays of Korea that move (by the lunar calendar), stand in for others, or were set once, by year
+    moving_holidays: tuple[str, ...] = (
+        "2022-01-31", "2022-02-01", "2022-02-02", "2022-03-09", "2022-05-08", "2022-06-01", "2022-09-09", "2022-09-10", "2022-09-11", "2022-09-12", "2022-10-10",
+        "2023-01-21", "2023-01-22", "2023-01-23", "2023-01-24", "2023-05-27", "2023-05-29", "2023-09-28", "2023-09-29", "2023-09-30", "2023-10-02",
+        "2024-02-09", "2024-02-10", "2024-02-11", "2024-02-12", "2024-04-10", "2024-05-06", "2024-05-15", "2024-09-16", "2024-09-17", "2024-09-18", "2024-10-01",
+        "2025-01-27", "2025-01-28", "2025-01-29", "2025-01-30", "2025-03-03", "2025-05-06", "2025-06-03", "2025-10-05", "2025-10-06", "2025-10-07", "2025-10-08",
+        "2026-02-16", "2026-02-17", "2026-02-18", "2026-03-02", "2026-05-24", "2026-05-25", "2026-06-03", "2026-08-17", "2026-09-24", "2026-09-25", "2026-09-26", "2026-10-05",
+    )
+    own_holidays: tuple[str, ...] = ()
+    year_start: int = 1  # the month in which the fiscal year begins
+    approval_ladder: tuple[float, ...] = (1_000_000.0, 10_000_000.0, 100_000_000.0, 500_000_000.0, 1_000_000_000.0)
     rounding: int = 6
 
 

@@ -87,3 +87,21 @@ def ecdf(df: DataFrame, value: str, name: str, keys: list[str] | None = None) ->
     cum = running_count(some.select(*keys, value), value, "_r", keys).select(*keys, value, (F.col("_r") / F.col("_all")).alias(name))
     # rows at 0 and without a value, usually most, take no part in the join
     return joined_by_key(some, cum, [*keys, value], by=value).select(*df.columns, name).unionByName(df.filter(~pos).withColumn(name, F.lit(0.0)))
+
+
+def quantiles(df: DataFrame, value: str, qs: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+    """(keys, one column per entry of qs): exact quantiles with linear interpolation between neighbours, over the values that are not null or NaN. From counts of distinct values (running_count), so no
+    task holds all values of a group."""
+    keys = keys or []
+    x = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    r = running_count(x, "_v", "_r", keys)
+    at = lambda pos: F.max(F.when((pos >= F.col("_r") - F.col("_c")) & (pos < F.col("_r")), F.col("_v")))
+    place = {n: F.lit(q) * (F.col("_all") - 1) for n, q in qs.items()}
+    g = [f(p).alias(f"{side}_{n}") for n, p in place.items() for side, f in (("_lo", lambda p: at(F.floor(p))), ("_hi", lambda p: at(F.ceil(p))), ("_f", lambda p: F.max(p - F.floor(p))))]
+    r = r.groupBy(*keys).agg(*g) if keys else r.agg(*g)
+    return r.select(*keys, *((F.col(f"_lo_{n}") + F.col(f"_f_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n in qs))
+
+
+def melted(df: DataFrame, columns: list[str], cast: str, ids: list[str] | None = None) -> DataFrame:
+    """(ids, column_name, v): a row for each of the columns, in one scan."""
+    return df.select(*(ids or []), F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast(cast).alias("v")) for c in columns))).alias("_x")).select(*(ids or []), "_x.*")

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions import base_amount, blank, plain, zero
 from ..session import small_or_shuffled, written
+from .skew import joined_by_key
 
 
 def has_times(df: DataFrame, c: str = "posting_date") -> bool:
-    """Whether any timestamp of the column is not midnight (a date-only column says nothing about hours)."""
-    return bool(df.agg(F.max((F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)) > 0)).first()[0])
+    """Whether any timestamp of the column is not midnight (a date-only column says nothing about hours). Reads on until it meets one."""
+    return not df.select(c).filter((F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)) > 0).isEmpty()
 
 
 def clock(c: str) -> Column:
@@ -20,7 +21,8 @@ def clock(c: str) -> Column:
 
 
 def holiday(d: Column, s: Settings) -> Column:
-    return F.coalesce((F.month(d) * 100 + F.day(d)).isin(*(m * 100 + x for m, x in s.fixed_holidays)), F.lit(False))
+    moving = F.date_format(d, "yyyy-MM-dd").isin(*s.moving_holidays, *s.own_holidays)
+    return F.coalesce((F.month(d) * 100 + F.day(d)).isin(*(m * 100 + x for m, x in s.fixed_holidays)) | moving, F.lit(False))
 
 
 def time_features(df: DataFrame, s: Settings = DEFAULT, timed: bool | None = None) -> DataFrame:
@@ -38,7 +40,7 @@ def time_features(df: DataFrame, s: Settings = DEFAULT, timed: bool | None = Non
         "is_after_hours": F.coalesce(late, F.lit(False)) if timed else F.lit(False),
         "is_period_end": F.coalesce((F.datediff(F.last_day(p), p) <= s.period_margin) | (F.day(p) <= s.period_margin), F.lit(False)),
         "days_backdated": F.floor(F.timestamp_diff("SECOND", F.col("document_date"), p) / 86400),
-        "fiscal_period_mismatch": F.col("fiscal_period") != F.month(p),
+        "fiscal_period_mismatch": F.col("fiscal_period") != F.pmod(F.month(p) - s.year_start, F.lit(12)) + 1,
         "time_zone_category": kind,
     })
 
@@ -78,7 +80,7 @@ def zscores(df: DataFrame, value: Column, name: str, s: Settings = DEFAULT) -> D
         "_a", pick(F.col("m"), F.col("cm"), one["m"]).alias("_m"), pick(F.sqrt("s2"), root(F.col("cs"), F.col("ck")), (whole / (one["k"] - 1)) ** 0.5 if one["k"] > 1 else 0.0).alias("_s")
     )
     z = F.when(F.col("_s") == 0, F.when(F.col("_v").isNotNull(), 0.0)).otherwise((F.col("_v") - F.col("_m")) / F.col("_s"))
-    return x.join(small_or_shuffled(look), "_a").withColumn(name, z).drop("_v", "_a", "_m", "_s")
+    return joined_by_key(x, look, ["_a"]).withColumn(name, z).drop("_v", "_a", "_m", "_s")
 
 
 def starts(c: Column, prefixes: tuple[str, ...]) -> Column:
@@ -99,11 +101,13 @@ def pattern_features(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits; null for null, 0 for empty."""
-    chars = F.split(text, "")
+    """Shannon entropy of the characters, in bits; null for null, 0 for empty. One pass over the sorted characters."""
+    chars = F.array_sort(F.split(text, ""))
     n = F.size(chars).cast("double")
-    each = F.transform(F.array_distinct(chars), lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
-    return F.when(F.length(text) == 0, 0.0).when(text.isNotNull(), F.aggregate(each, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)))
+    state = lambda last, run, done: F.struct(last.alias("last"), run.cast("double").alias("run"), done.cast("double").alias("done"))
+    closed = lambda a: a["done"] + a["run"] * F.log2(F.greatest(a["run"], F.lit(1.0)))
+    total = F.aggregate(chars, state(F.lit(""), F.lit(0.0), F.lit(0.0)), lambda a, c: F.when(a["last"] == c, state(c, a["run"] + 1, a["done"])).otherwise(state(c, F.lit(1.0), closed(a))), closed)
+    return F.when(F.length(text) == 0, 0.0).when(text.isNotNull(), F.log2(n) - total / n)
 
 
 def text_features(df: DataFrame, column: str = "line_text", s: Settings = DEFAULT) -> DataFrame:

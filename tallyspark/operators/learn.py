@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small_or_shuffled
+from ..functions import melted, quantiles
+from .skew import joined_by_key
 
 
 def signed_log(c: Column) -> Column:
@@ -16,7 +17,7 @@ def frequency_encoded(df: DataFrame, column: str, name: str) -> DataFrame:
     """The share of rows that have the row's value; 0 for null."""
     n = df.count()
     g = df.filter(F.col(column).isNotNull()).groupBy(column).agg((F.count(F.lit(1)) / F.lit(float(max(1, n)))).alias(name))
-    return df.join(small_or_shuffled(g), column, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return joined_by_key(df, g, [column], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
 def rare_grouped(df: DataFrame, column: str, share: float = 0.01, other: str = "_OTHER_") -> DataFrame:
@@ -30,15 +31,12 @@ def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 
 def scaling_policy(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, policy, center, scale): standard where the column is nearly symmetric, else robust (median and interquartile range)."""
-    out = None
-    for c in columns:
-        v = F.col(c).cast("double")
-        g = df.agg(F.avg(v).alias("m"), F.stddev_samp(v).alias("sd"), F.skewness(v).alias("sk"), F.expr(f"percentile({c}, array(0.25, 0.5, 0.75))").alias("q"))
-        robust = F.abs("sk") > 2
-        g = g.select(F.lit(c).alias("column_name"), F.when(robust, "robust").otherwise("standard").alias("policy"), F.when(robust, F.col("q")[1]).otherwise(F.col("m")).alias("center"), F.when(robust, F.col("q")[2] - F.col("q")[0]).otherwise(F.col("sd")).alias("scale"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    """(column_name, policy, center, scale): standard where the column is nearly symmetric, else robust (median and interquartile range). One scan for the moments, one for the quantiles."""
+    x = melted(df, columns, "double")
+    g = x.groupBy("column_name").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("sd"), F.skewness("v").alias("sk"))
+    g = g.join(quantiles(x, "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, ["column_name"]), "column_name", "left")
+    robust = F.abs("sk") > 2
+    return g.select("column_name", F.when(robust, "robust").otherwise("standard").alias("policy"), F.when(robust, F.col("q2")).otherwise(F.col("m")).alias("center"), F.when(robust, F.col("q3") - F.col("q1")).otherwise(F.col("sd")).alias("scale"))
 
 
 def psi_numeric(before: DataFrame, after: DataFrame, column: str, eps: float = 1e-4) -> DataFrame:

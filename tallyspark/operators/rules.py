@@ -205,10 +205,15 @@ def duplicate_entries(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return flags(x.join(twice, key, "left_semi"), "L2-03")
 
 
+def account_nets(gl: DataFrame) -> DataFrame:
+    """(document_id, company_code, gl_account, net, cents, day): documents' net amounts on accounts that are not zero, with the day."""
+    net = gl.filter("document_id is not null and gl_account is not null").groupBy("document_id", "company_code", "gl_account").agg(F.sum(zero("debit_amount") - zero("credit_amount")).alias("net"), F.min("posting_date").alias("at"))
+    return net.withColumns({"cents": F.round(F.abs("net") * 100).cast("bigint"), "day": F.datediff(F.col("at").cast("date"), F.lit("1970-01-01").cast("date"))}).filter("cents > 0 and day is not null and company_code is not null")
+
+
 def reversal_pairs(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(document_id, other, gl_account): documents whose net amounts on an account are equal and opposite within the days. Days are cut into cells of the window's length; one side looks into two."""
-    net = gl.filter("document_id is not null and gl_account is not null").groupBy("document_id", "company_code", "gl_account").agg(F.sum(zero("debit_amount") - zero("credit_amount")).alias("net"), F.min("posting_date").alias("at"))
-    net = net.withColumns({"cents": F.round(F.abs("net") * 100).cast("bigint"), "day": F.datediff(F.col("at").cast("date"), F.lit("1970-01-01").cast("date"))}).filter("cents > 0 and day is not null")
+    net = account_nets(gl)
     cell = F.floor(F.col("day") / (s.reversal_days + 1))
     up = net.filter("net > 0").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).alias("u")
     down = net.filter("net < 0").withColumn("cell", cell).alias("v")
@@ -218,8 +223,14 @@ def reversal_pairs(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def reversals(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    p = reversal_pairs(gl, s)
-    hit = p.select("document_id", "gl_account").unionByName(p.select(F.col("other").alias("document_id"), "gl_account")).distinct()
+    """Lines of documents that have a counterpart in reversal_pairs. Whether there is one is read from days on which each side occurs, so no pair is made, however many documents share an amount; windows run over days."""
+    key = ["company_code", "gl_account", "cents"]
+    net = account_nets(gl)
+    days = net.groupBy(*key, "day").agg(F.max(F.col("net") > 0).alias("up"), F.max(F.col("net") < 0).alias("down"))
+    w = Window.partitionBy(*key).orderBy("day").rangeBetween(-s.reversal_days, s.reversal_days)
+    days = days.withColumns({"near_up": F.max("up").over(w), "near_down": F.max("down").over(w)}).filter("near_up and near_down").select(*key, "day")
+    # every document of such a day has the other side within its window: all of one side by definition, and of the other since the window is that of the day
+    hit = net.join(days, [*key, "day"], "left_semi").select("document_id", "gl_account").distinct()
     return flags(gl.join(hit, ["document_id", "gl_account"], "left_semi"), "L2-05")
 
 

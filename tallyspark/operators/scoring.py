@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import running_count
+from ..functions import melted, quantiles, running_count
 from .rules import RULES
+from .skew import joined_by_key
 
 #: Weight of each level in a row's score, and the lower bounds of the risk levels.
 LEVEL_WEIGHTS = {"L1": 0.40, "L2": 0.25, "L3": 0.20, "L4": 0.15}
@@ -72,9 +73,10 @@ def combine(units: DataFrame, bodies: list[str], features: list[str], strict: bo
 
 
 def rank_of(df: DataFrame, key: str, value: str, name: str, descending: bool = True) -> DataFrame:
-    """The rank (1 + rows that are better; equal values share one), from counts of distinct values, so no task sorts all rows."""
-    ranks = running_count(df.select(value), value, "_r", descending=descending).select(value, (F.col("_r") - F.col("_c") + 1).alias(name))
-    return df.join(ranks, value, "left").select(key, name)
+    """(key, name): the rank (1 + rows that are better; equal values share one; null without a value), from counts of distinct values, so no task sorts all rows."""
+    some = df.filter(F.col(value).isNotNull())
+    ranks = running_count(some.select(value), value, "_r", descending=descending).select(value, (F.col("_r") - F.col("_c") + 1).alias(name))
+    return joined_by_key(some, ranks, [value]).select(key, name).unionByName(df.filter(F.col(value).isNull()).select(key, F.lit(None).cast("bigint").alias(name)))
 
 
 def reciprocal_rank_fusion(df: DataFrame, key: str, scores: list[str], k: int = 60) -> DataFrame:
@@ -116,7 +118,7 @@ def latest_decisions(events: DataFrame, key: str, at: str, id_col: str) -> DataF
 
 def boosted_fusion(df: DataFrame, key: str, scores: list[str], booster: str, q: float = 0.95, k: int = 60) -> DataFrame:
     """(key, rrf): rank fusion in which one more ranker counts only for rows at or above its own q-quantile of positive scores."""
-    edge = df.filter(F.col(booster) > 0).agg(F.expr(f"percentile({booster}, {q})")).first()[0]
+    edge = quantiles(df.filter(F.col(booster) > 0), booster, {"edge": q}).first()[0]
     base = reciprocal_rank_fusion(df, key, scores, k)
     if edge is None:
         return base
@@ -126,13 +128,9 @@ def boosted_fusion(df: DataFrame, key: str, scores: list[str], booster: str, q:
 
 def score_diagnostics(df: DataFrame, scores: list[str]) -> DataFrame:
     """(score_name, n, non_zero_rate, distinct_share, top_tie_share): whether a score can rank at all, and how many rows share its highest value."""
-    out = None
-    for c in scores:
-        v = df.groupBy(F.coalesce(F.col(c), F.lit(0.0)).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-        g = v.agg(F.sum("k").alias("n"), F.sum(F.when(F.col("v") != 0, F.col("k")).otherwise(0)).alias("z"), F.count(F.lit(1)).alias("d"), F.max(F.struct("v", "k")).alias("top"))
-        g = g.select(F.lit(c).alias("score_name"), "n", F.try_divide("z", "n").alias("non_zero_rate"), F.try_divide("d", "n").alias("distinct_share"), F.try_divide("top.k", "n").alias("top_tie_share"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    v = melted(df, scores, "double").groupBy(F.col("column_name").alias("score_name"), F.coalesce("v", F.lit(0.0)).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    g = v.groupBy("score_name").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("v") != 0, F.col("k")).otherwise(0)).alias("z"), F.count(F.lit(1)).alias("d"), F.max(F.struct("v", "k")).alias("top"))
+    return g.select("score_name", "n", F.try_divide("z", "n").alias("non_zero_rate"), F.try_divide("d", "n").alias("distinct_share"), F.try_divide("top.k", "n").alias("top_tie_share"))
 
 
 def topside(flags: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_or_shuffled
+from ..functions import quantiles
+from .skew import joined_by_key
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,6 +27,6 @@ def centroids(df: DataFrame, vec: str, group: str) -> DataFrame:
 def far_from_centre(df: DataFrame, id_col: str, vec: str, group: str, q: float = 0.95) -> DataFrame:
     """(id, group, distance): members whose cosine distance to their group's centre is above the group's q-quantile. Null vectors and groups take no part."""
     v = df.filter(F.col(vec).isNotNull() & F.col(group).isNotNull()).withColumn("_v", F.col(vec).cast("array<double>"))
-    d = v.join(small_or_shuffled(centroids(v, "_v", group)), group).select(id_col, group, (1 - cosine(F.col("_v"), F.col("centre"))).alias("distance"))
-    edge = d.groupBy(group).agg(F.expr(f"percentile(distance, {q})").alias("edge"))
-    return d.join(small_or_shuffled(edge), group).filter(F.col("distance") > F.col("edge")).select(id_col, group, "distance")
+    d = joined_by_key(v, centroids(v, "_v", group), [group]).select(id_col, group, (1 - cosine(F.col("_v"), F.col("centre"))).alias("distance"))
+    edge = quantiles(d, "distance", {"edge": q}, [group])
+    return joined_by_key(d, edge, [group]).filter(F.col("distance") > F.col("edge")).select(id_col, group, "distance")

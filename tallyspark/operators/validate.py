@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import base_amount, blank, zero
+from ..functions import base_amount, blank, melted, quantiles, zero
 from .rules import REQUIRED
 
 
@@ -87,38 +87,32 @@ def reconcile(tb: DataFrame, gl: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, n, nulls, zeros, negatives, avg, sd, lo, hi, p25, p50, p75) in one pass."""
-    out = None
-    for c in columns:
-        v = F.col(c)
-        g = df.agg(F.lit(c).alias("column_name"), F.count(v).alias("n"), F.count(F.when(v.isNull(), 1)).alias("nulls"), F.count(F.when(v == 0, 1)).alias("zeros"), F.count(F.when(v < 0, 1)).alias("negatives"), F.avg(v).alias("avg"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    """(column_name, n, nulls, zeros, negatives, avg, sd, lo, hi, p25, p50, p75): one scan for the moments, one for the quantiles."""
+    x, v = melted(df, columns, "double"), F.col("v")
+    g = x.groupBy("column_name").agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("nulls"), F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"), F.avg(v).alias("avg"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    return g.join(quantiles(x, "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column_name"]), "column_name", "left")
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
-    """The k most frequent values of each column (ties: in order of the values)."""
-    out = None
-    for c in columns:
-        g = df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).filter("value is not null").orderBy(F.desc("n"), "value").limit(k).select(F.lit(c).alias("column_name"), "value", "n")
-        out = g if out is None else out.unionByName(g)
-    return out
+    """The k most frequent values of each column (ties: in order of the values), in one scan."""
+    g = melted(df, columns, "string").filter("v is not null").groupBy("column_name", F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")  # over distinct values, cut to k in each task first
+    return g.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")
 
 
 def datetime_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, n, nulls, first, last, days, weekend_share) of timestamps."""
-    out = None
-    for c in columns:
-        d = F.col(c)
-        g = df.agg(F.lit(c).alias("column_name"), F.count(d).alias("n"), F.count(F.when(d.isNull(), 1)).alias("nulls"), F.date_format(F.min(d), "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format(F.max(d), "yyyy-MM-dd HH:mm:ss").alias("last"), F.count_distinct(d.cast("date")).alias("days"), F.avg((F.weekday(d) >= 5).cast("int")).alias("weekend_share"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    """(column_name, n, nulls, first, last, days, weekend_share) of timestamps: counts per day in one scan, then over days."""
+    x = melted(df, columns, "timestamp_ntz")
+    d = x.groupBy("column_name", F.col("v").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    some = F.col("day").isNotNull()
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    g = d.groupBy("column_name").agg(
+        F.sum(F.when(some, F.col("c")).otherwise(0)).alias("n"), F.sum(F.when(some, 0).otherwise(F.col("c"))).alias("nulls"), text(F.min("lo")).alias("first"), text(F.max("hi")).alias("last"), F.count("day").alias("days"), F.sum(F.when(F.weekday("day") >= 5, F.col("c")).otherwise(0)).alias("_w"),
+    )
+    return g.withColumn("weekend_share", F.try_divide("_w", "n")).drop("_w")
 
 
 def boolean_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, trues, falses, nulls)."""
-    out = None
-    for c in columns:
-        g = df.agg(F.lit(c).alias("column_name"), F.count(F.when(F.col(c), 1)).alias("trues"), F.count(F.when(~F.col(c), 1)).alias("falses"), F.count(F.when(F.col(c).isNull(), 1)).alias("nulls"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    x, v = melted(df, columns, "boolean"), F.col("v")
+    return x.groupBy("column_name").agg(F.count_if(v).alias("trues"), F.count_if(~v).alias("falses"), F.count_if(v.isNull()).alias("nulls"))

@@ -16,7 +16,7 @@ from ..operators import rules as R
 from ..operators import scoring as K
 from ..operators import timeseries as T
 from ..operators.similarity import far_from_centre
-from ..session import read, written
+from ..session import cached, read
 from .ledger import _DIGIT, BASE, BLANK, SQL_FLAGS, C, D, Query, gl_of
 
 _Q: dict[str, Query] = {}
@@ -73,7 +73,7 @@ def round_density(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.round_density(gl_of(spark, d)), 6, "share", "excess", "p_value")
 
 
-_RZ = lambda x, med, mad, iqr: f"CASE WHEN {mad} > 0 THEN 0.6745 * ({x} - {med}) / {mad} WHEN {iqr} > 0 THEN ({x} - {med}) / ({iqr} / 1.349) WHEN {med} > 0 THEN ({x} - {med}) / sqrt({med}) ELSE least({x}, 10.0) END"
+_RZ = lambda x, med, mad, iqr: f"CASE WHEN {mad} > 0 THEN 0.6745 * ({x} - {med}) / {mad} WHEN {iqr} > 0 THEN ({x} - {med}) / ({iqr} / 1.349) WHEN {med} > 0 THEN ({x} - {med}) / greatest(sqrt({med}), 1) ELSE greatest(0.0, least({x}, 10.0)) END"
 
 
 @query(f"""
@@ -255,8 +255,9 @@ def period_end_share(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- scores over all flags
 def _flags(spark: SparkSession, d: str) -> DataFrame:
-    """The long table, written once: it is read by several plans."""
-    return written(R.all_flags(gl_of(spark, d), read(spark, d, "employees")), "flags")
+    """The long table, made once as long as its input files stay as they are: it is read by many plans."""
+    inputs = [f"{d}/general_ledger.parquet", f"{d}/employees.parquet"]
+    return cached(spark, "flags", inputs, lambda: R.all_flags(gl_of(spark, d), read(spark, d, "employees")), version=repr(S))
 
 
 _FLAGS = "flags AS (" + " UNION ALL ".join(f"SELECT row_id, rule_id, score FROM ({s})" for s in SQL_FLAGS.values()) + ")"

@@ -11,7 +11,7 @@ from ..config import DEFAULT as S
 from ..operators import features as X
 from ..operators import rules as R
 from ..operators import validate as V
-from ..session import read
+from ..session import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -41,7 +41,7 @@ PLAIN = lambda c: f"lower(trim({c}, ' '))"
 _SOURCES = lambda x: ", ".join(f"'{v}'" for v in x)
 H = "(hour(posting_date) + minute(posting_date) / 60.0)"
 WEEKEND = "coalesce(isodow(posting_date) >= 6, false)"
-HOLIDAY = f"coalesce(month(posting_date) * 100 + day(posting_date) IN ({', '.join(str(m * 100 + x) for m, x in S.fixed_holidays)}), false)"
+HOLIDAY = f"coalesce(month(posting_date) * 100 + day(posting_date) IN ({', '.join(str(m * 100 + x) for m, x in S.fixed_holidays)}) OR strftime(posting_date, '%Y-%m-%d') IN ({', '.join(repr(x) for x in S.moving_holidays)}), false)"
 TIMED = "(SELECT coalesce(bool_or(hour(posting_date) * 3600 + minute(posting_date) * 60 + second(posting_date) > 0), false) FROM general_ledger)"
 LATE = f"coalesce({TIMED} AND ({H} >= 22 OR {H} < 6), false)"
 END = "coalesce(date_diff('day', posting_date::DATE, last_day(posting_date::DATE)) <= 5 OR day(posting_date) <= 5, false)"
@@ -59,7 +59,8 @@ HUMAN = f"(NOT coalesce({PLAIN('user_persona')} = 'automated_system', false) AND
     SELECT row_id, is_weekend, is_holiday, is_after_hours, is_period_end, days_backdated, fiscal_period_mismatch,
         CASE WHEN k2 = 'normal' AND (is_weekend OR is_holiday) THEN 'overtime' ELSE k2 END AS time_zone_category FROM u""")
 def feature_time(spark: SparkSession, d: str) -> DataFrame:
-    x = X.time_features(gl_of(spark, d))
+    gl = gl_of(spark, d)
+    x = X.time_features(spread(gl.select("row_id", "posting_date", "document_date", "fiscal_period")), timed=X.has_times(gl))
     return x.select("row_id", "is_weekend", "is_holiday", "is_after_hours", "is_period_end", F.col("days_backdated").cast("double").alias("days_backdated"), F.col("fiscal_period_mismatch").cast("int").cast("double").alias("fiscal_period_mismatch"), "time_zone_category")
 
 
@@ -71,7 +72,7 @@ _DIGIT = "try_cast(regexp_extract(m::DECIMAL(30,6)::VARCHAR, '([1-9])', 1) AS IN
     WITH t AS (SELECT row_id, {BASE} AS b, greatest(abs({D}), abs({C})) AS m FROM general_ledger)
     SELECT row_id, b AS base_amount, round(log10(abs(b) + 1), 6) AS amount_magnitude, {_ROUND} AS is_round_number, {_DIGIT}::DOUBLE AS first_digit FROM t""")
 def feature_amount(spark: SparkSession, d: str) -> DataFrame:
-    x = X.amount_features(gl_of(spark, d))
+    x = X.amount_features(spread(gl_of(spark, d).select("row_id", "debit_amount", "credit_amount")))
     return x.select("row_id", "base_amount", F.round("amount_magnitude", 6).alias("amount_magnitude"), "is_round_number", F.col("first_digit").cast("double").alias("first_digit"))
 
 
@@ -89,7 +90,7 @@ def _z_sql(value: str) -> str:
 def feature_zscore(spark: SparkSession, d: str) -> DataFrame:
     from ..functions import base_amount
 
-    return X.zscores(gl_of(spark, d), base_amount(), "amount_zscore").select("row_id", (F.round("amount_zscore", 4) + 0.0).alias("amount_zscore"))
+    return X.zscores(spread(gl_of(spark, d).select("row_id", "gl_account", "debit_amount", "credit_amount")), base_amount(), "amount_zscore").select("row_id", (F.round("amount_zscore", 4) + 0.0).alias("amount_zscore"))
 
 
 @query(f"""
@@ -109,7 +110,7 @@ def feature_pattern(spark: SparkSession, d: str) -> DataFrame:
         round(CASE WHEN c IS NULL THEN NULL WHEN c = '' THEN 0.0 ELSE list_aggregate(string_split(c, ''), 'entropy') END, 5) AS char_entropy,
         CASE WHEN regexp_matches(c, '({"|".join(S.high_words)})') THEN 'high' WHEN regexp_matches(c, '({"|".join(S.medium_words)})') THEN 'medium' END AS risk_keyword FROM u""")
 def feature_text(spark: SparkSession, d: str) -> DataFrame:
-    x = X.text_features(gl_of(spark, d))
+    x = X.text_features(spread(gl_of(spark, d).select("row_id", "line_text")))
     return x.select("row_id", "description_quality", "token_count", F.round("type_token_ratio", 6).alias("type_token_ratio"), F.round("char_entropy", 5).alias("char_entropy"), "risk_keyword")
 
 
@@ -209,10 +210,10 @@ def trial_balance_reconciled(spark: SparkSession, d: str) -> DataFrame:
 _NUMERIC = ["debit_amount", "credit_amount", "local_amount", "tax_amount", "exchange_rate"]
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(*) FILTER (WHERE {c} = 0) AS zeros, count(*) FILTER (WHERE {c} < 0) AS negatives, round(avg({c}), 3) AS avg, round(stddev_samp({c}), 2) AS sd, min({c}) AS lo, max({c}) AS hi FROM general_ledger" for c in _NUMERIC))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(*) FILTER (WHERE {c} = 0) AS zeros, count(*) FILTER (WHERE {c} < 0) AS negatives, round(avg({c}), 3) AS avg, round(stddev_samp({c}), 2) AS sd, min({c}) AS lo, max({c}) AS hi, round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75 FROM general_ledger" for c in _NUMERIC))
 def profile_numeric(spark: SparkSession, d: str) -> DataFrame:
     v = V.numeric_profile(gl_of(spark, d), _NUMERIC)
-    return v.withColumns({"avg": F.round("avg", 3), "sd": F.round("sd", 2)})
+    return v.withColumns({"avg": F.round("avg", 3), "sd": F.round("sd", 2)} | {c: F.round(c, 4) for c in ("p25", "p50", "p75")})
 
 
 _CATEGORICAL = ["document_type", "currency", "user_persona", "source", "business_process"]
