@@ -43,18 +43,18 @@ JOURNAL = Layout(
 )
 
 
-def split_quoted(line: Column) -> tuple[Column, Column]:
-    """(well_formed, fields) of a comma-separated record."""
+def split_quoted(line: Column, sep: str = ",") -> tuple[Column, Column]:
+    """(well_formed, fields) of a record whose fields are separated by one character."""
     segs = F.split(F.replace(F.coalesce(line, F.lit("")), F.lit(_ESC), F.lit(_LIT)), '"', -1)
     last = F.size(segs) - 1
     # outside quotes: nothing (a doubled mark or an end), or text that the neighbouring quoted fields are cut off from by commas
     outside_ok = F.forall(
-        F.transform(segs, lambda s, i: (i % 2 == 1) | (s == "") | (((i == 0) | s.startswith(",")) & ((i == last) | s.endswith(",")))),
+        F.transform(segs, lambda s, i: (i % 2 == 1) | (s == "") | (((i == 0) | s.startswith(sep)) & ((i == last) | s.endswith(sep)))),
         lambda ok: ok,
     )
     well = (F.size(segs) % 2 == 1) & outside_ok
     joined = F.array_join(
-        F.transform(segs, lambda s, i: F.when(i % 2 == 1, s).when((s == "") & (i > 0) & (i < last), F.lit('"')).otherwise(F.replace(s, F.lit(","), F.lit(_SEP)))), ""
+        F.transform(segs, lambda s, i: F.when(i % 2 == 1, s).when((s == "") & (i > 0) & (i < last), F.lit('"')).otherwise(F.replace(s, F.lit(sep), F.lit(_SEP)))), ""
     )
     fields = F.transform(F.split(joined, _SEP, -1), lambda f: F.replace(f, F.lit(_LIT), F.lit(_ESC)))
     return well, fields

@@ -80,48 +80,90 @@ class Rejected(ValueError):
 
 
 def guarded(spark: SparkSession, sql: str, allowed: Iterable[str] = TABLES, must_filter: str | None = "upload_batch_id", limit: int = 1000, depth: int = 3) -> DataFrame:
-    """Run an ad-hoc SELECT: read-only, only over allowed tables, with a predicate on the load, nested at most so deep, and limited.
+    """Run an ad-hoc SELECT: read-only, only over allowed tables, nested at most so deep, and limited. Every mention of a table that has the column must_filter stands under a condition that names loads: one of the
+    parts joined by AND in a WHERE above it compares the column with a literal by = or IN. A condition on a qualified column holds for the table of that alias alone.
 
     The checks are made on the parsed plan, so words within strings or comments mean nothing."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise Rejected(f"cannot be parsed: {str(e).splitlines()[0]}") from e
-    names, ctes, filters, deepest = set(), set(), [], 0
-    todo = [(plan, 0)]
+    allowed = {t.lower() for t in allowed}
+    loose: set[str] = set()
+    # a node to visit with: its depth, the names of common tables in scope, the alias it stands under, and the aliases (or "*") for which loads are named above it
+    todo = [(plan, 0, frozenset(), None, frozenset())]
     while todo:
-        node, at = todo.pop()
+        node, at, ctes, alias, named = todo.pop()
         kind = node.getClass().getSimpleName()
-        deepest = max(deepest, at)
-        if kind.startswith(("Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Truncate", "Set", "Add", "Replace", "Refresh", "Cache", "Uncache", "Load", "Rename")):
+        if at > depth:
+            raise Rejected("nested too deep")
+        if kind.startswith(("Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Truncate", "Set", "Add", "Replace", "Refresh", "Cache", "Uncache", "Load", "Rename", "Describe", "Show", "Explain", "Analyze")):
             raise Rejected(f"not a SELECT: {kind}")
         if kind == "UnresolvedRelation":
-            names.add(node.tableName().lower().replace("`", ""))
+            name = node.tableName().lower().replace("`", "")
+            if name in ctes:
+                continue
+            if name not in allowed:
+                raise Rejected(f"a table that may not be read: {name}")
+            if must_filter and not named & {"*", alias or name} and must_filter in spark.table(name).columns:
+                loose.add(name)
         if kind == "UnresolvedWith":
-            ctes |= {_first(node.cteRelations().apply(k)).lower() for k in range(node.cteRelations().size())}
-            todo += [(node.cteRelations().apply(k).productElement(1), at) for k in range(node.cteRelations().size())]
-        if kind == "Filter":
-            filters.append(node.condition().toString().lower())
-        nested = kind == "SubqueryAlias"
-        for part in (node.children(), node.innerChildren()):
-            for k in range(part.size()):
-                child = part.apply(k)
-                if hasattr(child, "getClass") and "plans.logical" in child.getClass().getName() or child.getClass().getSimpleName() in ("UnresolvedRelation", "UnresolvedWith"):
-                    todo.append((child, at + nested))
+            for k in range(node.cteRelations().size()):
+                todo.append((node.cteRelations().apply(k).productElement(1), at, ctes, None, frozenset()))
+                ctes = ctes | {_first(node.cteRelations().apply(k)).lower()}
+        if kind == "Filter" and must_filter:
+            named = named | _named(node.condition(), must_filter)
+        if kind == "SubqueryAlias":
+            inner = node.child().getClass().getSimpleName()
+            alias = node.alias().lower() if inner == "UnresolvedRelation" else None
+            nested = inner not in ("UnresolvedRelation", "Project", "Aggregate") or alias is None
+            # what is said of a subquery's column says nothing of the tables within
+            named = named if alias else frozenset()
+            todo += [(c, at + nested, ctes, alias, named) for c in _plans(node)]
+            continue
+        if kind in ("Union", "Intersect", "Except", "Distinct"):
+            todo += [(c, at, ctes, None, named if kind == "Distinct" else frozenset()) for c in _plans(node)]
+        else:
+            todo += [(c, at, ctes, None, named) for c in _plans(node)]
         exprs = node.expressions()
         for k in range(exprs.size()):
-            todo += [(p, at + 1) for p in _subplans(exprs.apply(k))]
-    if unknown := names - ctes - {t.lower() for t in allowed}:
-        raise Rejected(f"tables that may not be read: {sorted(unknown)}")
-    if deepest > depth:
-        raise Rejected("nested too deep")
-    if must_filter and not any(must_filter in f for f in filters):
-        raise Rejected(f"no predicate on {must_filter}")
+            todo += [(p, at + 1, ctes, None, frozenset()) for p in _subplans(exprs.apply(k))]
+    if loose:
+        raise Rejected(f"no predicate on {must_filter} for {sorted(loose)}")
     df = spark.sql(sql)
     df._jdf.queryExecution().assertAnalyzed()
     return df.limit(limit)
 
 
+def _plans(node) -> list:
+    out = []
+    for part in (node.children(), node.innerChildren()):
+        for k in range(part.size()):
+            child = part.apply(k)
+            if hasattr(child, "getClass") and ("plans.logical" in child.getClass().getName() or child.getClass().getSimpleName() in ("UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving")):
+                out.append(child)
+    return out
+
+
+def _named(cond, column: str) -> frozenset[str]:
+    """The aliases (or "*") for which a condition names values of the column."""
+    kind = cond.getClass().getSimpleName()
+    if kind == "And":
+        return _named(cond.left(), column) | _named(cond.right(), column)
+    if kind == "EqualTo":
+        sides = [(cond.left(), [cond.right()]), (cond.right(), [cond.left()])]
+    elif kind == "In":
+        sides = [(cond.value(), [cond.list().apply(k) for k in range(cond.list().size())])]
+    else:
+        return frozenset()
+    for attr, values in sides:
+        if attr.getClass().getSimpleName() == "UnresolvedAttribute" and all(v.getClass().getSimpleName() == "Literal" for v in values):
+            parts = [attr.nameParts().apply(k).lower() for k in range(attr.nameParts().size())]
+            if parts[-1] == column and len(parts) <= 2:
+                return frozenset({parts[0] if len(parts) == 2 else "*"})
+    return frozenset()
+
+
 def _first(pair) -> str:
     return str(pair.productElement(0))
 

@@ -1,4 +1,4 @@
-"""Readers by format. Detection looks at the first 64 kB of a file on the driver; reading is distributed."""
+"""Readers by format. Detection looks at the first 64 kB of a file, whatever its size, on the driver; reading is distributed."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import marks, read_repaired
+
 TEXT, SHEETS = {"csv", "tsv", "txt", "dat"}, {"xlsx", "xls", "xlsb"}
 #: Largest accepted file per class, in bytes (spreadsheets are read on the driver).
 LIMITS = {"text": None, "sheet": 200 << 20, "parquet": None, "json": None}
@@ -49,7 +51,11 @@ def inspect(spark: SparkSession, path: str) -> Found:
         raise BadFile("too large for its kind")
     head = b""
     if fs.getFileStatus(p).isFile():
-        head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SAMPLE)).first()[0]) if size <= (64 << 20) else "\n".join(r[0] for r in spark.read.text(path).limit(200).collect()).encode()
+        stream = fs.open(p)
+        try:
+            head = bytes(stream.readNBytes(SAMPLE))
+        finally:
+            stream.close()
     if kind == "parquet" and head and head[:4] != b"PAR1":
         raise BadFile("not a parquet file")
     if kind == "text" and b"\0" in head[:4096] and head[:2] not in (b"\xff\xfe", b"\xfe\xff"):
@@ -103,8 +109,14 @@ def detect_header(rows: list[list[str]], known: set[str] | None = None) -> tuple
     return at, scores[at]
 
 
+def widest(text: str, separator: str, lines: int = 50) -> int:
+    """The largest number of fields of the first lines: titles above a table are narrower than it."""
+    return max((len(r) for r in csv.reader([x for x in text.splitlines()[:lines] if x.strip()], delimiter=separator)), default=0)
+
+
 def read_text(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None) -> DataFrame:
-    """Delimited text, all columns as strings, with lines that don't fit kept in _corrupt_record."""
+    """Delimited text, all columns as strings, with lines that don't fit kept in _corrupt_record. Read by splits unless a line has an odd number of quotation marks, which
+    shows that records span lines (or quotes are broken); such a file is put together by sources.text."""
     head = inspect(spark, path).head
     encoding = encoding or detect_encoding(head)
     if encoding.upper() not in ("UTF-8", "UTF-16", "ISO-8859-1"):
@@ -112,9 +124,14 @@ def read_text(spark: SparkSession, path: str, encoding: str | None = None, separ
     text = head.decode({"MS949": "cp949"}.get(encoding, encoding), errors="replace").lstrip("﻿")
     separator = separator or detect_separator(text)
     names = [c.strip() or f"column_{k + 1}" for k, c in enumerate(next(csv.reader(text.splitlines(), delimiter=separator)))]
+    names += [f"column_{k + 1}" for k in range(len(names), widest(text, separator))]
     names = [c if c not in names[:k] else f"{c}_{k + 1}" for k, c in enumerate(names)]
+    utf16 = encoding.upper().startswith("UTF-16")
+    if not utf16 and not spark.read.option("encoding", encoding).text(path).filter(marks(F.col("value")) % 2 == 1).isEmpty():
+        x = read_repaired(spark, path, names, separator, encoding)
+        return x.withColumn("_corrupt_record", F.to_json("_more")).drop("_more")
     schema = ", ".join(f"`{c}` string" for c in names) + ", `_corrupt_record` string"
-    return spark.read.schema(schema).csv(path, header=True, sep=separator, encoding=encoding, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", enforceSchema=True)
+    return spark.read.schema(schema).csv(path, header=True, sep=separator, encoding=encoding, quote='"', escape='"', multiLine=utf16, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", enforceSchema=True)
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:

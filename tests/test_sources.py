@@ -74,6 +74,12 @@ def test_guard(spark, small):
     for bad in ("DROP TABLE general_ledger", "SELECT * FROM secrets WHERE upload_batch_id = '1'", "SELECT * FROM general_ledger", "SELECT 1; SELECT 2", "INSERT INTO general_ledger SELECT * FROM general_ledger WHERE upload_batch_id = '1'", "SELECT * FROM general_ledger WHERE upload_batch_id IN (SELECT v FROM hidden)"):
         with pytest.raises(surface.Rejected):
             surface.guarded(spark, bad)
+    g = "SELECT * FROM general_ledger"
+    for bad in (f"{g} WHERE 'upload_batch_id' = 'upload_batch_id'", f"{g} WHERE upload_batch_id = upload_batch_id OR true", f"{g} WHERE upload_batch_id = 'a' OR row_id > 0", f"{g} WHERE NOT upload_batch_id = 'a'", f"{g} WHERE upload_batch_id = 'a' UNION ALL {g}", "SELECT 1 FROM general_ledger a JOIN general_ledger b ON a.row_id = b.row_id WHERE a.upload_batch_id = 'x'", f"SELECT * FROM ({g}) WHERE upload_batch_id = 'x'", f"SELECT * FROM employees WHERE upload_batch_id = 'x' AND user_id IN (SELECT created_by FROM general_ledger)", f"WITH general_ledger AS ({g}) {g} WHERE upload_batch_id = 'x'"):
+        with pytest.raises(surface.Rejected):
+            surface.guarded(spark, bad)
+    for good in (f"{g} WHERE upload_batch_id = 'a' AND row_id > 0", f"{g} g WHERE 'a' = g.upload_batch_id", f"SELECT count(*) FROM general_ledger WHERE upload_batch_id IN ('a', 'b') GROUP BY gl_account HAVING count(*) > 1", "SELECT * FROM payment_allocations", "SELECT 1 FROM general_ledger a JOIN general_ledger b ON a.row_id = b.row_id WHERE a.upload_batch_id = 'x' AND b.upload_batch_id = 'x'"):
+        surface.guarded(spark, good)
     assert spark.table("general_ledger").filter(surface.where(companies=["C0001"], least=1000.0)).count() > 0
 
 
@@ -105,3 +111,44 @@ def test_streams(spark, small, tmp_path):
         return stream.simultaneous(s, "at", 2)
 
     assert run(daily) > 100 and run(once) == gl.count() and run(bursts) > 10 and run(trailing) > 100 and run(same_second) >= 1
+
+
+def test_records_over_lines_and_splits(spark, tmp_path):
+    from tallyspark.sources import text
+
+    rows = [f'{k},"a ""q"" {k}",x' if k % 3 else f'{k},"one\n\ntwo, {k}",x' for k in range(2000)]
+    (tmp_path / "f.csv").write_text("id,text,z\n" + "\n".join(rows) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = [r["record"] for r in text.records(text.lines_of(spark, str(tmp_path / "f.csv"))).orderBy("rec").collect()]
+        assert got == ["id,text,z", *rows]
+        df = readers.read_text(spark, str(tmp_path / "f.csv"))
+        assert df.count() == 2000 and df.filter("id = '3'").first()["text"] == "one\n\ntwo, 3"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_repairs(spark, tmp_path):
+    from tallyspark.sources import text
+
+    lines = ["a,b,c", "1,2,3", "4;5;6", "7,8,text", "that goes on", "and on", '9,"open,x', "10,11,12", "", "13\t14\t15", "16,17,18,19"]
+    (tmp_path / "f.csv").write_text("\n".join(lines))
+    r = text.records(text.lines_of(spark, str(tmp_path / "f.csv")), most=2)  # the quote that never closes would take six lines
+    assert r.count() == 10
+    got = {x["a"]: (x["b"], x["c"], x["_more"]) for x in _repaired(spark, str(tmp_path / "f.csv"), text)}
+    assert got["4"] == ("5", "6", None) and got["7"] == ("8", "text\nthat goes on\nand on", None) and got["13"] == ("14", "15", None) and got["16"] == ("17", "18", ["19"]) and got["9"] == ("open", "x", None)
+    assert text.read_repaired(spark, str(tmp_path / "f.csv"), ["a", "b", "c"]).count() > 0
+
+
+def _repaired(spark, path, text):
+    r = text.records(text.lines_of(spark, path), most=2)
+    x = text.rejoined(text.remixed(r.withColumn("cells", text.tidy_cells(text.cells(F.col("record")))), "cells", 3), "cells", "file", ["rec", "part"])
+    return x.selectExpr("get(cells, 0) a", "get(cells, 1) b", "get(cells, 2) c", "if(size(cells) > 3, slice(cells, 4, 9), null) _more").collect()
+
+
+def test_code_pages_of_large_files(spark, tmp_path):
+    big = "전표번호,적요\n" + "\n".join(f"{k},감사 전표 {k}" for k in range(60_000))
+    (tmp_path / "f.csv").write_bytes(big.encode("cp949"))
+    assert readers.detect_encoding(readers.inspect(spark, str(tmp_path / "f.csv")).head) == "MS949"
+    assert readers.read_text(spark, str(tmp_path / "f.csv")).filter("`적요` = '감사 전표 59999'").count() == 1
