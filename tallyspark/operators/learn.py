@@ -92,9 +92,15 @@ def sequences(df: DataFrame, user: str, bins: Column, order: list[str], features
     return x.select(user, key, "at", F.size("steps").alias("valid"), F.concat(pad, F.col("steps")).alias("steps"))
 
 
+def bucket(c: Column, n: int, seed: int = 42) -> Column:
+    """0..n - 1 by a digest of the value and the seed; nulls are one value."""
+    digest = F.md5(F.concat(F.coalesce(c.cast("string"), F.lit("")), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n
+
+
 def group_split(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Marks each row train or test by a hash of its group, so that a group is never on both sides."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(F.col(group).cast("string"), F.lit(seed)), F.lit(10_000)) < int(share * 10_000), "test").otherwise("train"))
+    return df.withColumn("split", F.when(bucket(F.col(group), 10_000, seed) < int(share * 10_000), "test").otherwise("train"))
 
 
 def temporal_holdout(df: DataFrame, at: str, group: str, cut) -> DataFrame:

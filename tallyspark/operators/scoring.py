@@ -14,6 +14,19 @@ from .skew import joined_by_key
 #: Weight of each level in a row's score, and the lower bounds of the risk levels.
 LEVEL_WEIGHTS = {"L1": 0.40, "L2": 0.25, "L3": 0.20, "L4": 0.15}
 RISK = (("High", 0.50), ("Medium", 0.25), ("Low", 0.10))
+RISK_QUANTILES = (("High", 0.90), ("Medium", 0.75), ("Low", 0.50))
+#: Tests whose signal does not depend on their severity, the topic of each test, and its share in a case's priority.
+PLAIN_SIGNAL = ("L1-03", "L1-07", "L4-04")
+TOPICS = {
+    "L1-01": "ledger_integrity", "L1-02": "ledger_integrity", "L1-03": "ledger_integrity", "L1-04": "approval_control", "L1-05": "approval_control", "L1-06": "approval_control", "L1-07": "approval_control", "L1-07-02": "approval_control",
+    "L1-08": "closing_timing", "L2-01": "duplicate_outflow", "L2-02": "duplicate_outflow", "L2-03": "duplicate_outflow", "L2-04": "account_logic", "L2-05": "duplicate_outflow", "L3-02": "approval_control", "L3-03": "account_logic",
+    "L3-04": "closing_timing", "L3-05": "closing_timing", "L3-06": "closing_timing", "L3-07": "closing_timing", "L3-09": "account_logic", "L4-01": "revenue_statistical", "L4-03": "revenue_statistical", "L4-04": "account_logic",
+    "L4-05": "closing_timing", "L4-06": "revenue_statistical", "EV01": "duplicate_outflow",
+}
+PRIORITY = {"approval_control": 0.25, "duplicate_outflow": 0.15, "account_logic": 0.15, "closing_timing": 0.10, "revenue_statistical": 0.10}
+PRIORITY_AMOUNT = 0.25
+#: Tests whose strong flags make a row High whatever else it has, and from which score on.
+FLOOR_RULES, FLOOR_SCORE = ("L1-04", "L1-06", "L1-07-02"), 0.8
 
 
 def registry(spark) -> DataFrame:
@@ -21,9 +34,12 @@ def registry(spark) -> DataFrame:
 
 
 def evidence(flags: DataFrame) -> DataFrame:
-    """Flags with their normalised strength: signal x severity / 5 x evidence factor x role factor, within 0..1."""
+    """Flags with their normalised strength: signal x severity / 5 x evidence factor x role factor, within 0..1. The signal is the flag's score if above severity / 5, else that share of it; of some
+    tests (PLAIN_SIGNAL) the severity is left out again."""
     x = flags.join(F.broadcast(registry(flags.sparkSession)), "rule_id")  # a row per test
-    return x.withColumn("strength", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") * F.col("severity") / 5 * F.col("factor") * F.col("role"))))
+    sev, v = F.col("severity") / 5, F.greatest(F.col("score"), F.lit(0.0))
+    signal = F.when(F.col("rule_id").isin(*PLAIN_SIGNAL), F.least(v, F.lit(1.0)) / sev).otherwise(F.least(F.when(v > sev, v).otherwise(v / sev), F.lit(1.0)))
+    return x.withColumn("strength", F.greatest(F.lit(0.0), F.least(F.lit(1.0), signal * sev * F.col("factor") * F.col("role"))))
 
 
 def row_scores(flags: DataFrame) -> DataFrame:
@@ -47,6 +63,23 @@ def risk_level(score: Column) -> Column:
     return out
 
 
+def quantile_levels(scores: DataFrame, score: str = "anomaly_score") -> DataFrame:
+    """scores with risk_level by the share of rows that score at most as much; rows at 0 and below are Normal."""
+    some = scores.filter(F.col(score).isNotNull())
+    r = running_count(some, score, "_r").select(score, (F.col("_r") / F.col("_all")).alias("_p"))
+    level = F.lit("Normal")
+    for name, q in reversed(RISK_QUANTILES):
+        level = F.when(F.col("_p") > q, name).otherwise(level)
+    return joined_by_key(some, r, [score]).withColumn("risk_level", F.when(F.col(score) <= 0, "Normal").otherwise(level)).drop("_p")
+
+
+def policy_floors(scores: DataFrame, flags: DataFrame) -> DataFrame:
+    """scores raised to High where a test that must not be diluted is flagged strongly, with the reasons."""
+    f = flags.filter(F.col("rule_id").isin(*FLOOR_RULES) & (F.col("score") >= FLOOR_SCORE)).groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat("rule_id", F.lit(":immediate")))), ",").alias("reasons"))
+    x, up = scores.join(f, "row_id", "left"), F.col("reasons").isNotNull()
+    return x.withColumns({"anomaly_score": F.when(up, F.greatest("anomaly_score", F.lit(dict(RISK)["High"]))).otherwise(F.col("anomaly_score")), "risk_level": F.when(up, "High").otherwise(F.col("risk_level")), "reasons": F.coalesce("reasons", F.lit(""))})
+
+
 def rule_summary(flags: DataFrame) -> DataFrame:
     return flags.groupBy("rule_id").agg(F.count(F.lit(1)).alias("flagged"), F.round(F.avg("score"), 6).alias("avg_score"), F.max("score").alias("max_score"))
 

@@ -17,7 +17,7 @@ from ..operators import scoring as K
 from ..operators import timeseries as T
 from ..operators.similarity import far_from_centre
 from ..session import cached, read
-from .ledger import _DIGIT, BASE, BLANK, SQL_FLAGS, C, D, Query, gl_of
+from .ledger import _DIGIT, _ROUND, BASE, BLANK, SQL_FLAGS, C, D, Query, gl_of
 
 _Q: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -68,7 +68,12 @@ def benford_accounts(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(b, 6, "mad", "ks"), 4, "chi_square").withColumn("digits", F.array_join(F.col("digits").cast("array<string>"), ","))
 
 
-@query()
+@query(f"""
+    WITH t AS (SELECT {BASE} AS b, coalesce(gl_account, '') AS gl_account, coalesce(strftime(posting_date, '%Y-%m'), '') AS month, coalesce(lower(trim(created_by, ' ')), '') AS creator FROM general_ledger), x AS (SELECT *, {_ROUND}::INTEGER AS r FROM t WHERE b > 0), o AS (SELECT avg(r) AS p FROM x),
+    g AS ({" UNION ALL ".join(f"SELECT '{a}' AS axis, {a} AS key, count(*) AS n, sum(r)::BIGINT AS rounds FROM x WHERE {a} <> '' GROUP BY 2" for a in ("gl_account", "month", "creator"))}),
+    h AS (SELECT g.*, p, rounds / n AS share, rounds / n - p AS excess FROM g, o WHERE n >= 100 AND rounds / n - p >= 0.05),
+    b AS (SELECT axis, key, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))) AS tail FROM (SELECT h.*, unnest(range(greatest(rounds, 1), n)) AS j FROM h) GROUP BY 1, 2)
+    SELECT axis, key, n, rounds, round(share, 6) AS share, round(excess, 6) AS excess, round(coalesce(tail, 0), 6) AS p_value FROM h LEFT JOIN b USING (axis, key) WHERE coalesce(tail, 0) <= 0.01""")
 def round_density(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.round_density(gl_of(spark, d)), 6, "share", "excess", "p_value")
 
@@ -262,11 +267,13 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
 
 _FLAGS = "flags AS (" + " UNION ALL ".join(f"SELECT row_id, rule_id, score FROM ({s})" for s in SQL_FLAGS.values()) + ")"
 _REG = "reg(rule_id, level, severity, factor, role) AS (VALUES " + ", ".join(f"('{r.id}', '{r.level}', {r.severity}, {r.factor}, {r.role})" for r in R.RULES.values()) + ")"
+_PLAIN = ", ".join(f"'{r}'" for r in K.PLAIN_SIGNAL)
+_STRENGTH = f"greatest(0.0, least(1.0, CASE WHEN rule_id IN ({_PLAIN}) THEN least(score, 1.0) / (severity / 5) WHEN score > severity / 5 THEN least(score, 1.0) ELSE least(score / (severity / 5), 1.0) END * (severity / 5) * factor * role))"
 _BEST = ", ".join(f"max(CASE WHEN level = '{k}' THEN strength ELSE 0 END) * {w}" for k, w in K.LEVEL_WEIGHTS.items()).replace(", max", " + max")
 
 
 @query(f"""
-    WITH {_FLAGS}, {_REG}, e AS (SELECT row_id, rule_id, level, greatest(0.0, least(1.0, score * severity / 5 * factor * role)) AS strength FROM flags JOIN reg USING (rule_id)),
+    WITH {_FLAGS}, {_REG}, e AS (SELECT row_id, rule_id, level, {_STRENGTH} AS strength FROM flags JOIN reg USING (rule_id)),
     g AS (SELECT row_id, round({_BEST}, 6) AS s, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS flagged_rules, count(*) FILTER (WHERE rule_id IN ('L1-01', 'L1-02', 'L1-03')) AS i, count(*) AS n FROM e GROUP BY 1)
     SELECT row_id, s AS anomaly_score, CASE WHEN i >= 1 AND n - i >= 2 THEN 'High' WHEN s >= 0.5 THEN 'High' WHEN s >= 0.25 THEN 'Medium' WHEN s >= 0.1 THEN 'Low' ELSE 'Normal' END AS risk_level, flagged_rules FROM g""")
 def row_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -435,9 +442,13 @@ def rare_categories(spark: SparkSession, d: str) -> DataFrame:
     return L.one_hot(L.rare_grouped(gl_of(spark, d), "document_type", 0.05), "source", ["Manual"]).select("row_id", "document_type", "source_Manual")
 
 
-@query()
+_SCALED = ("debit_amount", "credit_amount", "local_amount", "line_number")
+
+
+@query(" UNION ALL ".join(f"""(WITH v AS (SELECT {c}::DOUBLE AS v FROM general_ledger WHERE {c} IS NOT NULL), m AS (SELECT avg(v) AS m, stddev_samp(v) AS sd, stddev_pop(v) AS sp, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3 FROM v),
+    k AS (SELECT avg(pow((v - m) / sp, 3)) AS sk FROM v, m) SELECT '{c}' AS column_name, CASE WHEN abs(sk) > 2 THEN 'robust' ELSE 'standard' END AS policy, round(CASE WHEN abs(sk) > 2 THEN q2 ELSE m END, 4) AS center, round(CASE WHEN abs(sk) > 2 THEN q3 - q1 ELSE sd END, 3) AS scale FROM m, k)""" for c in _SCALED))
 def scaling_policy(spark: SparkSession, d: str) -> DataFrame:
-    return L.scaling_policy(gl_of(spark, d), ["debit_amount", "credit_amount", "local_amount", "line_number"])
+    return rounded(rounded(L.scaling_policy(gl_of(spark, d), list(_SCALED)), 4, "center"), 3, "scale")
 
 
 @query()
@@ -454,11 +465,6 @@ def temporal_holdout(spark: SparkSession, d: str) -> DataFrame:
     return L.temporal_holdout(gl_of(spark, d).select("row_id", "created_by", "posting_date"), "posting_date", "created_by", datetime.datetime(2024, 7, 1)).select("row_id", "split")
 
 
-@query()
-def group_split(spark: SparkSession, d: str) -> DataFrame:
-    return L.group_split(gl_of(spark, d), "document_id").select("row_id", "split")
-
-
 def queries() -> dict[str, Query]:
     return dict(_Q)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, ledger, problems, surface
+from . import analytics, intake, ledger, problems, review, surface
 
-MODULES = (problems, ledger, analytics, surface)
+MODULES = (problems, ledger, analytics, surface, intake, review)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
