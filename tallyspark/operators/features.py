@@ -141,3 +141,23 @@ def approval_features(df: DataFrame, employees: DataFrame, s: Settings = DEFAULT
         "is_near_threshold": F.coalesce((a >= lim * s.near_ratio) & (a < lim), F.lit(False)),
         "exceeds_threshold": F.coalesce(a > lim, F.lit(False)),
     }).drop("approver", "limit", "may")
+
+
+def approval_details(df: DataFrame, employees: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """approval_features with what they rest on: threshold_ratio, threshold_gap, approval_level by the ladder, why a line counts as over its limit, and whether the amount could be judged at all."""
+    from .sinks import approval_level
+
+    x = approval_features(df, employees, s)
+    a, lim = F.col("document_amount"), F.col("approver_limit")
+    return x.withColumns({
+        "threshold_ratio": F.try_divide(a, lim), "threshold_gap": lim - a, "approval_level": approval_level(a, s.approval_ladder), "amount_resolved": a.isNotNull() & lim.isNotNull(),
+        "over_reason": F.when(F.col("exceeds_threshold") & (lim == 0), "no_authority").when(F.col("exceeds_threshold"), "over_limit").when(F.col("is_near_threshold"), "near_limit"),
+    })
+
+
+def description_profile(df: DataFrame, keys: list[str], column: str = "line_text", s: Settings = DEFAULT) -> DataFrame:
+    """Per group: lines, how many have no text, a corrupted one, a risk word, and the mean number of tokens."""
+    x = text_features(df.select(*keys, column), column, s)
+    return x.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("description_quality") == "missing").alias("missing"), F.count_if(F.col("description_quality") == "corrupted").alias("corrupted"), F.count("risk_keyword").alias("risk_words"), F.avg("token_count").alias("mean_tokens"),
+    )

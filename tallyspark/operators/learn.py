@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import melted, quantiles
+from ..functions import melted, order_bin, quantiles
 from .skew import joined_by_key
 
 
@@ -108,3 +110,71 @@ def temporal_holdout(df: DataFrame, at: str, group: str, cut) -> DataFrame:
     tr, te = df.filter(F.col(at) < F.lit(cut)), df.filter(F.col(at) >= F.lit(cut))
     te = te.join(tr.select(group).distinct(), group, "left_anti")
     return tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
+
+
+def null_flagged(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with <c>_was_null and the column filled with its median (0 if it has no values)."""
+    m = {r["column_name"]: r["m"] for r in quantiles(melted(df, columns, "double"), "v", {"m": 0.5}, ["column_name"]).collect()}  # a row per column
+    return df.withColumns({f"{c}_was_null": F.col(c).isNull().cast("int") for c in columns} | {c: F.coalesce(F.col(c).cast("double"), F.lit(m.get(c) or 0.0)) for c in columns})
+
+
+#: Powers that are tried.
+LAMBDAS = [k / 10 for k in range(-20, 21)]
+
+
+def yeo_johnson(c: Column, power: float) -> Column:
+    up = F.log1p(c) if power == 0 else (F.pow(c + 1, F.lit(power)) - 1) / power
+    down = -F.log1p(-c) if power == 2 else -(F.pow(1 - c, F.lit(2 - power)) - 1) / (2 - power)
+    return F.when(c >= 0, up).otherwise(down)
+
+
+def best_power(df: DataFrame, column: str) -> float | None:
+    """The power under which the transformed values are most nearly normal (highest likelihood), of LAMBDAS; one pass. None without two different values."""
+    v = F.col(column).cast("double")
+    one = df.filter(v.isNotNull() & ~F.isnan(v)).agg(F.count(F.lit(1)).alias("n"), F.sum(F.signum(v) * F.log1p(F.abs(v))).alias("s"), *(F.var_pop(yeo_johnson(v, p)).alias(f"v{k}") for k, p in enumerate(LAMBDAS))).first()
+    like = {p: -one["n"] / 2 * math.log(one[f"v{k}"]) + (p - 1) * one["s"] for k, p in enumerate(LAMBDAS) if one["n"] and one[f"v{k}"] and one[f"v{k}"] > 0}
+    return max(like, key=like.get) if like else None
+
+
+def coverage(df: DataFrame, least: dict[str, float]) -> DataFrame:
+    """(column_name, coverage, kept): the share of rows with a value (blank is none), and whether it reaches what the column must have; one scan."""
+    need = F.create_map(*(F.lit(x) for c, v in least.items() for x in (c, v)))
+    g = melted(df, list(least), "string").groupBy("column_name").agg(F.avg((F.coalesce(F.trim("v"), F.lit("")) != "").cast("int")).alias("coverage"))
+    return g.withColumn("kept", F.col("coverage") >= F.element_at(need, F.col("column_name")))
+
+
+def stored_ecdf(train: DataFrame, df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with the share of the training values that are at most the row's own. Training values are stored as counts; they and the rows' distinct values are put in order together, in two levels."""
+    one = lambda x, w: x.select(F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(value).agg((F.count(F.lit(1)) * w).alias("_c"))
+    c = one(train, 1).unionByName(one(df, 0)).groupBy(value).agg(F.sum("_c").alias("_c")).withColumn("_bin", order_bin(F.col(value)))
+    per = c.groupBy("_bin").agg(F.sum("_c").alias("_b"))
+    per = per.select("_bin", (F.sum("_b").over(Window.orderBy("_bin")) - F.col("_b")).alias("_before"), F.sum("_b").over(Window.partitionBy()).alias("_all"))  # over bins
+    c = c.join(per, "_bin").withColumn(name, (F.col("_before") + F.sum("_c").over(Window.partitionBy("_bin").orderBy(value))) / F.col("_all"))
+    x = df.withColumn(value, F.col(value).cast("double"))
+    return joined_by_key(x, c.select(value, name), [value], "left")
+
+
+def user_holdout(df: DataFrame, user: str, year: str, train: list[int], test: list[int]) -> DataFrame:
+    """Rows of the training years, and of the test years those of users that the training years don't have."""
+    tr = df.filter(F.col(year).isin(train))
+    te = df.filter(F.col(year).isin(test)).join(tr.select(user).distinct(), user, "left_anti")
+    return tr.withColumn("split", F.lit("train")).unionByName(te.select(*df.columns).withColumn("split", F.lit("test")))
+
+
+def nonnegative_weights(df: DataFrame, columns: list[str], label: str, ridge: float = 1.0, rounds: int = 500) -> list[float]:
+    """Weights of at least 0 by which the columns add up to the label with the least squared error (ridge-regularised). One pass for the products of columns, then coordinate descent on the driver over as many numbers as there are columns."""
+    k = range(len(columns))
+    s = df.agg(*(F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i in k for j in k if j >= i), *(F.sum(F.col(columns[i]) * F.col(label)).alias(f"r{i}") for i in k)).first()
+    g = [[(s[f"g{min(i, j)}_{max(i, j)}"] or 0.0) + (ridge if i == j else 0.0) for j in k] for i in k]
+    w = [0.0] * len(columns)
+    for _ in range(rounds):
+        for i in k:
+            w[i] = max(0.0, ((s[f"r{i}"] or 0.0) - sum(g[i][j] * w[j] for j in k if j != i)) / g[i][i])
+    return w
+
+
+def column_groups(metrics: DataFrame, kinds: dict[str, str], excluded: tuple[str, ...] = (), high: int = 50, missing: float = 0.95) -> DataFrame:
+    """metrics (column_name, null_rate, distinct_count) -> (column_name, feature_group): excluded (by name, times, mostly missing), boolean, numeric, categorical_low (up to `high` values) or categorical_high. kinds: the type of each column."""
+    kind = F.element_at(F.create_map(*(F.lit(x) for c, v in kinds.items() for x in (c, v))), F.col("column_name"))
+    out = F.when(F.col("column_name").isin(*excluded, ""), "excluded").when(kind.startswith("datetime"), "excluded").when(F.col("null_rate") >= missing, "excluded")
+    return metrics.select("column_name", out.when(kind == "bool", "boolean").when(kind.isin("int64", "float64"), "numeric").when(F.col("distinct_count") <= high, "categorical_low").otherwise("categorical_high").alias("feature_group"))

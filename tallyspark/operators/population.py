@@ -78,15 +78,25 @@ def round_density(gl: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return out.withColumn("p_value", binomial_tail(F.col("rounds"), F.col("n"), F.lit(one))).filter("p_value <= 0.01")
 
 
-def concentration(gl: DataFrame, unit: str = "month", s: Settings = DEFAULT) -> DataFrame:
-    """Buckets of an account and year with far more documents than its other buckets (robust z)."""
-    x = gl.filter(~blank("gl_account") & F.col("posting_date").isNotNull() & F.col("document_id").isNotNull())
-    b = x.groupBy("gl_account", F.year("posting_date").alias("year"), F.date_trunc(unit, "posting_date").cast("date").alias("bucket")).agg(F.count_distinct("document_id").alias("docs"))
-    g = b.groupBy("gl_account", "year").agg(F.count(F.lit(1)).alias("buckets"), F.expr("percentile(docs, array(0.25, 0.5, 0.75))").alias("q"))
-    mad = b.join(g, ["gl_account", "year"]).withColumn("dev", F.abs(F.col("docs") - F.col("q")[1])).groupBy("gl_account", "year").agg(F.expr("percentile(dev, 0.5)").alias("mad"))
-    j = b.join(g, ["gl_account", "year"]).join(mad, ["gl_account", "year"])
+def concentration(gl: DataFrame, unit: str = "month", s: Settings = DEFAULT, lanes: bool = False) -> DataFrame:
+    """Buckets of an account and year (lanes: also of period ends and other days apart) with far more documents than its other buckets (robust z)."""
+    p = F.col("posting_date")
+    end = (F.datediff(F.last_day(p), p) <= s.period_margin) | (F.day(p) <= s.period_margin)
+    x = gl.filter(~blank("gl_account") & p.isNotNull() & F.col("document_id").isNotNull()).withColumn("lane", F.when(end, "period_end").otherwise("regular"))
+    key = ["gl_account", "year", "lane"] if lanes else ["gl_account", "year"]
+    b = x.withColumn("year", F.year(p)).groupBy(*key, F.date_trunc(unit, "posting_date").cast("date").alias("bucket")).agg(F.count_distinct("document_id").alias("docs"))
+    g = b.groupBy(*key).agg(F.count(F.lit(1)).alias("buckets"), F.expr("percentile(docs, array(0.25, 0.5, 0.75))").alias("q"))
+    mad = b.join(g, key).withColumn("dev", F.abs(F.col("docs") - F.col("q")[1])).groupBy(*key).agg(F.expr("percentile(dev, 0.5)").alias("mad"))
+    j = b.join(g, key).join(mad, key)
     z = robust_z(F.col("docs").cast("double"), F.col("q")[1], F.col("mad"), F.col("q")[2] - F.col("q")[0])
-    return j.withColumn("z", z).filter((F.col("z") >= s.concentration_z) & (F.col("docs") >= s.concentration_docs) & (F.col("buckets") >= 3)).select("gl_account", "year", "bucket", "docs", "z")
+    return j.withColumn("z", z).filter((F.col("z") >= s.concentration_z) & (F.col("docs") >= s.concentration_docs) & (F.col("buckets") >= 3)).select(*key, "bucket", "docs", "z")
+
+
+def monthly_shares(gl: DataFrame) -> DataFrame:
+    """(fiscal_year, company_code, gl_account, fiscal_period, ratio): each period's part of the account's year, over aggregated rows."""
+    key = ["fiscal_year", "company_code", "gl_account"]
+    m = gl.filter(~blank("gl_account")).groupBy(*key, "fiscal_period").agg(F.sum(zero("debit_amount") + zero("credit_amount")).alias("a"))
+    return m.select(*key, "fiscal_period", F.try_divide("a", F.sum("a").over(Window.partitionBy(*key))).alias("ratio"))
 
 
 def partner_signals(gl: DataFrame, since, recent, s: Settings = DEFAULT) -> DataFrame:

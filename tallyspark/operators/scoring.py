@@ -26,7 +26,7 @@ TOPICS = {
 PRIORITY = {"approval_control": 0.25, "duplicate_outflow": 0.15, "account_logic": 0.15, "closing_timing": 0.10, "revenue_statistical": 0.10}
 PRIORITY_AMOUNT = 0.25
 #: Tests whose strong flags make a row High whatever else it has, and from which score on.
-FLOOR_RULES, FLOOR_SCORE = ("L1-04", "L1-06", "L1-07-02"), 0.8
+FLOOR_RULES, FLOOR_SCORE = ("L1-04",), 0.8
 
 
 def registry(spark) -> DataFrame:

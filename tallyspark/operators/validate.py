@@ -116,3 +116,36 @@ def boolean_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, trues, falses, nulls)."""
     x, v = melted(df, columns, "boolean"), F.col("v")
     return x.groupBy("column_name").agg(F.count_if(v).alias("trues"), F.count_if(~v).alias("falses"), F.count_if(v.isNull()).alias("nulls"))
+
+
+def temporal_patterns(gl: DataFrame) -> DataFrame:
+    """(axis, key, lines, amount) by weekday (0 is Monday), hour, day of the month and month; one scan."""
+    p = F.col("posting_date")
+    each = F.array(*(F.struct(F.lit(a).alias("axis"), c.cast("int").alias("key")) for a, c in (("weekday", F.weekday(p)), ("hour", F.hour(p)), ("day", F.day(p)), ("month", F.month(p)))))
+    x = gl.filter(p.isNotNull()).select(F.explode(each).alias("k"), base_amount().alias("v"))
+    return x.groupBy("k.axis", "k.key").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("v"), 2).alias("amount"))
+
+
+def validation_score(gl: DataFrame) -> DataFrame:
+    """One row: total and valid lines and documents, and a score of 0..100: the shares of lines without a missing or ill-formed required field and of balanced documents, in equal parts."""
+    bad = F.lit(False)
+    for c in REQUIRED:
+        bad = bad | blank(c)
+    bad = bad | ~F.coalesce(F.col("fiscal_period").between(1, 16), F.lit(False))
+    rows = gl.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(~bad).alias("valid_rows"), F.min("posting_date").alias("first"), F.max("posting_date").alias("last"))
+    g = gate(gl).select(F.col("documents").alias("total_documents"), (F.col("documents") - F.col("unbalanced")).alias("valid_documents"))
+    score = 50 * F.coalesce(F.try_divide("valid_rows", "total_rows"), F.lit(0.0)) + 50 * F.coalesce(F.try_divide("valid_documents", "total_documents"), F.lit(0.0))
+    x = rows.crossJoin(F.broadcast(g))  # one row each
+    return x.select("total_rows", "valid_rows", "total_documents", "valid_documents", F.date_format("first", "yyyy-MM-dd").alias("first"), F.date_format("last", "yyyy-MM-dd").alias("last"), F.round(score, 4).alias("score"))
+
+
+def statistical_summary(gl: DataFrame) -> DataFrame:
+    """(measure, subject, value): of companies the spread and concentration of amounts, of months the change and seasonality, of the whole the number of missing business days."""
+    d = melted_rows(dispersion(gl), "company_code", ["cv", "skew", "kurt", "hhi"])
+    v = melted_rows(volatility(gl), "month", ["change", "seasonality"])
+    m = missing_business_days(gl).agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("missing_business_days").alias("measure"), F.lit("all").alias("subject"), "value")
+    return d.unionByName(v).unionByName(m)
+
+
+def melted_rows(df: DataFrame, subject: str, columns: list[str]) -> DataFrame:
+    return melted(df, columns, "double", [subject]).select(F.col("column_name").alias("measure"), F.col(subject).alias("subject"), F.col("v").alias("value")).filter("value is not null")

@@ -72,7 +72,7 @@ def benford_accounts(spark: SparkSession, d: str) -> DataFrame:
     WITH t AS (SELECT {BASE} AS b, coalesce(gl_account, '') AS gl_account, coalesce(strftime(posting_date, '%Y-%m'), '') AS month, coalesce(lower(trim(created_by, ' ')), '') AS creator FROM general_ledger), x AS (SELECT *, {_ROUND}::INTEGER AS r FROM t WHERE b > 0), o AS (SELECT avg(r) AS p FROM x),
     g AS ({" UNION ALL ".join(f"SELECT '{a}' AS axis, {a} AS key, count(*) AS n, sum(r)::BIGINT AS rounds FROM x WHERE {a} <> '' GROUP BY 2" for a in ("gl_account", "month", "creator"))}),
     h AS (SELECT g.*, p, rounds / n AS share, rounds / n - p AS excess FROM g, o WHERE n >= 100 AND rounds / n - p >= 0.05),
-    b AS (SELECT axis, key, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))) AS tail FROM (SELECT h.*, unnest(range(greatest(rounds, 1), n)) AS j FROM h) GROUP BY 1, 2)
+    b AS (SELECT axis, key, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))) AS tail FROM (SELECT h.*, unnest(range(greatest(rounds, 1), n + 1)) AS j FROM h) GROUP BY 1, 2)
     SELECT axis, key, n, rounds, round(share, 6) AS share, round(excess, 6) AS excess, round(coalesce(tail, 0), 6) AS p_value FROM h LEFT JOIN b USING (axis, key) WHERE coalesce(tail, 0) <= 0.01""")
 def round_density(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.round_density(gl_of(spark, d)), 6, "share", "excess", "p_value")
@@ -107,32 +107,6 @@ def partner_summary(spark: SparkSession, d: str) -> DataFrame:
     return P.partner_summary(gl_of(spark, d))
 
 
-#: The two halves of a year that the shift and drift queries compare.
-_H1, _H2 = ("posting_date >= timestamp_ntz'2023-01-01' and posting_date < timestamp_ntz'2023-07-01'", "posting_date >= timestamp_ntz'2023-07-01' and posting_date < timestamp_ntz'2024-01-01'")
-_HALF = "CASE WHEN posting_date >= TIMESTAMP '2023-01-01' AND posting_date < TIMESTAMP '2023-07-01' THEN 1 WHEN posting_date >= TIMESTAMP '2023-07-01' AND posting_date < TIMESTAMP '2024-01-01' THEN 2 END"
-
-
-@query(f"""
-    WITH s AS (SELECT gl_account, {_HALF} AS y, sum({BASE}) AS t, count(*) AS n, avg({BASE}) AS a FROM general_ledger WHERE NOT {BLANK("gl_account")} GROUP BY 1, 2),
-    j AS (SELECT c.gl_account, c.n, p.n IS NULL AS is_new, 0.5 * abs(c.t - p.t) / greatest(abs(p.t), 1) + 0.3 * abs(c.n - p.n) / greatest(p.n, 1) + 0.2 * abs(c.a - p.a) / greatest(abs(p.a), 1) AS score FROM s c LEFT JOIN s p ON p.gl_account = c.gl_account AND p.y = 1 WHERE c.y = 2)
-    SELECT gl_account, n, round(score, 5) AS score, is_new FROM j WHERE is_new OR score > 0.5""")
-def activity_shift(spark: SparkSession, d: str) -> DataFrame:
-    gl = gl_of(spark, d)
-    return rounded(P.activity_shift(gl.filter(_H2), gl.filter(_H1)), 5, "score")
-
-
-@query(f"""
-    WITH g AS (SELECT gl_account, {_HALF} AS y, (month(posting_date) - 1) % 6 AS m, count(DISTINCT document_id) AS c FROM general_ledger WHERE NOT {BLANK("gl_account")} AND posting_date IS NOT NULL GROUP BY 1, 2, 3),
-    t AS (SELECT gl_account, coalesce(sum(c) FILTER (WHERE y = 2), 0)::BIGINT AS na, coalesce(sum(c) FILTER (WHERE y = 1), 0)::BIGINT AS nb FROM g GROUP BY 1),
-    k AS (SELECT t.gl_account, na, nb, m, coalesce(sum(c) FILTER (WHERE y = 2), 0) / na AS a, coalesce(sum(c) FILTER (WHERE y = 1), 0) / nb AS b FROM t JOIN g USING (gl_account) WHERE na >= 3 AND nb >= 3 AND y IS NOT NULL GROUP BY 1, 2, 3, 4),
-    r AS (SELECT gl_account, na, nb, sqrt(greatest(0, sum((CASE WHEN a > 0 THEN a * ln(2 * a / (a + b)) ELSE 0 END) + (CASE WHEN b > 0 THEN b * ln(2 * b / (a + b)) ELSE 0 END)) / 2)) AS d, abs(max(a) - max(b)) AS ts FROM k GROUP BY 1, 2, 3)
-    SELECT gl_account, na, nb, round(d, 5) AS distance, round(ts, 6) AS top_shift FROM r WHERE d > 0.3 AND ts >= 0.25""")
-def shape_shift(spark: SparkSession, d: str) -> DataFrame:
-    gl = gl_of(spark, d)
-    x = P.shape_shift(gl.filter(_H2), gl.filter(_H1), (F.month("posting_date") - 1) % 6, least=3)
-    return x.select("gl_account", "na", "nb", F.round("distance", 5).alias("distance"), F.round("top_shift", 6).alias("top_shift"))
-
-
 # ---- every year and half of the ledger against the one before it; the periods are those that occur
 _SPANS = """u AS (SELECT *, 'year' AS unit, fiscal_year AS period, month(posting_date) AS m FROM general_ledger WHERE fiscal_year IS NOT NULL
         UNION ALL SELECT *, 'half', year(posting_date) * 10 + CASE WHEN month(posting_date) > 6 THEN 2 ELSE 1 END, (month(posting_date) - 1) % 6 FROM general_ledger WHERE posting_date IS NOT NULL),
@@ -145,7 +119,7 @@ _PSI = """round(sum((pb - pa) * ln(pb / pa)), 6) AS psi FROM (SELECT unit, perio
     j AS (SELECT c.unit, c.period, c.gl_account, c.n, p.n IS NULL AS is_new, 0.5 * abs(c.t - p.t) / greatest(abs(p.t), 1) + 0.3 * abs(c.n - p.n) / greatest(p.n, 1) + 0.2 * abs(c.a - p.a) / greatest(abs(p.a), 1) AS score
         FROM s c JOIN pr USING (unit, period) LEFT JOIN s p ON p.unit = c.unit AND p.period = pr.prior AND p.gl_account = c.gl_account)
     SELECT unit, period, gl_account, n, round(score, 5) AS score, is_new FROM j WHERE is_new OR score > 0.5""")
-def activity_shift_periods(spark: SparkSession, d: str) -> DataFrame:
+def activity_shift(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.activity_shifts(gl_of(spark, d)), 5, "score")
 
 
@@ -155,7 +129,7 @@ def activity_shift_periods(spark: SparkSession, d: str) -> DataFrame:
     t AS (SELECT unit, period, gl_account, sum(a)::BIGINT AS na, sum(b)::BIGINT AS nb FROM h GROUP BY 1, 2, 3), k AS (SELECT unit, period, gl_account, na, nb, a / na AS a, b / nb AS b FROM h JOIN t USING (unit, period, gl_account) WHERE least(na, nb) >= CASE WHEN unit = 'year' THEN 20 ELSE 3 END),
     r AS (SELECT unit, period, gl_account, na, nb, sqrt(greatest(0, sum((CASE WHEN a > 0 THEN a * ln(2 * a / (a + b)) ELSE 0 END) + (CASE WHEN b > 0 THEN b * ln(2 * b / (a + b)) ELSE 0 END)) / 2)) AS d, abs(max(a) - max(b)) AS ts FROM k GROUP BY ALL)
     SELECT unit, period, gl_account, na, nb, round(d, 5) AS distance, round(ts, 6) AS top_shift FROM r WHERE d > 0.3 AND ts >= 0.25""")
-def shape_shift_periods(spark: SparkSession, d: str) -> DataFrame:
+def shape_shift(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(P.shape_shifts(gl_of(spark, d), {"year": 20, "half": 3}), 5, "distance"), 6, "top_shift")
 
 
@@ -164,7 +138,7 @@ def shape_shift_periods(spark: SparkSession, d: str) -> DataFrame:
     x AS (SELECT u.unit, pr.period, u.period = pr.period AS now, greatest(0, least(9, floor((debit_amount - m.m) / m.s * 2 + 5))) AS bin FROM u JOIN pr ON u.unit = pr.unit AND u.period IN (pr.period, pr.prior) JOIN m ON m.unit = pr.unit AND m.period = pr.prior WHERE debit_amount IS NOT NULL),
     g AS (SELECT unit, period, bin, count(*) FILTER (WHERE NOT now) AS a, count(*) FILTER (WHERE now) AS b FROM x GROUP BY 1, 2, 3)
     SELECT unit, period, {_PSI}""")
-def drift_numeric_periods(spark: SparkSession, d: str) -> DataFrame:
+def drift_numeric(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.drifts_numeric(gl_of(spark, d), "debit_amount"), 6, "psi")
 
 
@@ -173,7 +147,7 @@ def drift_numeric_periods(spark: SparkSession, d: str) -> DataFrame:
     x AS (SELECT u.unit, pr.period, u.period = pr.period AS now, coalesce(c.v, '_OTHER_') AS bin FROM u JOIN pr ON u.unit = pr.unit AND u.period IN (pr.period, pr.prior) LEFT JOIN c ON c.unit = pr.unit AND c.period = pr.prior AND c.r <= 10 AND c.v = u.document_type),
     g AS (SELECT unit, period, bin, count(*) FILTER (WHERE NOT now) AS a, count(*) FILTER (WHERE now) AS b FROM x GROUP BY 1, 2, 3)
     SELECT unit, period, {_PSI}""")
-def drift_categorical_periods(spark: SparkSession, d: str) -> DataFrame:
+def drift_categorical(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.drifts_categorical(gl_of(spark, d), "document_type"), 6, "psi")
 
 
@@ -407,26 +381,6 @@ def reconstruction_errors(spark: SparkSession, d: str) -> DataFrame:
     return detect.reconstruction_errors(detect.model_features(gl_of(spark, d)), detect.FEATURES)
 
 
-@query(f"""
-    WITH a AS (SELECT debit_amount AS v FROM general_ledger WHERE {_HALF} = 1), b AS (SELECT debit_amount AS v FROM general_ledger WHERE {_HALF} = 2), m AS (SELECT avg(v) AS m, stddev_samp(v) AS s FROM a),
-    x AS (SELECT 'a' AS k, greatest(0, least(9, floor((v - m) / s * 2 + 5))) AS bin FROM a, m WHERE v IS NOT NULL UNION ALL SELECT 'b', greatest(0, least(9, floor((v - m) / s * 2 + 5))) FROM b, m WHERE v IS NOT NULL),
-    g AS (SELECT bin, greatest(count(*) FILTER (WHERE k = 'a') / sum(count(*) FILTER (WHERE k = 'a')) OVER (), 1e-4) AS pa, greatest(count(*) FILTER (WHERE k = 'b') / sum(count(*) FILTER (WHERE k = 'b')) OVER (), 1e-4) AS pb FROM x GROUP BY 1)
-    SELECT round(sum((pb - pa) * ln(pb / pa)), 6) AS psi FROM g""")
-def drift_numeric(spark: SparkSession, d: str) -> DataFrame:
-    gl = gl_of(spark, d)
-    return rounded(L.psi_numeric(gl.filter(_H1), gl.filter(_H2), "debit_amount"), 6, "psi")
-
-
-@query(f"""
-    WITH t AS (SELECT document_type AS v FROM general_ledger WHERE {_HALF} = 1 AND document_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10),
-    x AS (SELECT {_HALF} AS y, CASE WHEN document_type IN (SELECT v FROM t) THEN document_type ELSE '_OTHER_' END AS bin FROM general_ledger WHERE {_HALF} IS NOT NULL),
-    g AS (SELECT bin, greatest(count(*) FILTER (WHERE y = 1) / sum(count(*) FILTER (WHERE y = 1)) OVER (), 1e-4) AS pa, greatest(count(*) FILTER (WHERE y = 2) / sum(count(*) FILTER (WHERE y = 2)) OVER (), 1e-4) AS pb FROM x GROUP BY 1)
-    SELECT round(sum((pb - pa) * ln(pb / pa)), 6) AS psi FROM g""")
-def drift_categorical(spark: SparkSession, d: str) -> DataFrame:
-    gl = gl_of(spark, d)
-    return rounded(L.psi_categorical(gl.filter(_H1), gl.filter(_H2), "document_type"), 6, "psi")
-
-
 @query("""
     WITH f AS (SELECT document_type, count(*) / (SELECT count(*) FROM general_ledger) AS f FROM general_ledger WHERE document_type IS NOT NULL GROUP BY 1)
     SELECT row_id, round(coalesce(f.f, 0), 9) AS type_frequency, round(sign(local_amount) * ln(1 + abs(local_amount)), 6) AS signed_log_amount FROM general_ledger LEFT JOIN f USING (document_type)""")
@@ -451,11 +405,18 @@ def scaling_policy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(L.scaling_policy(gl_of(spark, d), list(_SCALED)), 4, "center"), 3, "scale")
 
 
-@query()
+@query(f"""
+    WITH x AS (SELECT created_by, row_id, ln(1 + {BASE}) AS a, coalesce(fiscal_period, 0) AS p, row_number() OVER u AS pos, count(*) OVER (PARTITION BY created_by) AS n FROM general_ledger WHERE created_by IS NOT NULL
+        WINDOW u AS (PARTITION BY created_by ORDER BY posting_date NULLS LAST, row_id)),
+    w AS (SELECT created_by, row_id, pos, n, count(*) OVER v AS valid, sum(a) OVER v AS total, first_value(a) OVER v AS first_amount, sum(p) OVER v AS periods FROM x WINDOW v AS (PARTITION BY created_by ORDER BY pos ROWS BETWEEN 15 PRECEDING AND CURRENT ROW))
+    SELECT created_by, row_id, pos AS "at", valid, round(total, 6) AS total, round(CASE WHEN valid < 16 THEN 0 ELSE first_amount END, 6) AS first_amount, periods::DOUBLE AS periods FROM w WHERE pos >= 16 OR (n < 16 AND pos = n)""")
 def user_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of each user's lines, told by what their steps add up to and the first step (0 where it is padding)."""
     x = gl_of(spark, d).withColumn("amount", F.log1p(base_amount()))
     undated = F.lit(10_000_000) + F.floor(F.col("row_id") / 100_000)  # after all days, as undated lines come last
-    return L.sequences(x, "created_by", F.coalesce(F.unix_date(F.col("posting_date").cast("date")).cast("bigint"), undated), ["posting_date", "row_id"], ["amount", "fiscal_period"])
+    y = L.sequences(x, "created_by", F.coalesce(F.unix_date(F.col("posting_date").cast("date")).cast("bigint"), undated), ["posting_date", "row_id"], ["amount", "fiscal_period"])
+    total = lambda k: F.aggregate("steps", F.lit(0.0), lambda a, s: a + s[k])
+    return y.select("created_by", "row_id", "at", F.col("valid").cast("bigint").alias("valid"), F.round(total(0), 6).alias("total"), F.round(F.col("steps")[0][0], 6).alias("first_amount"), total(1).alias("periods"))
 
 
 @query("""

@@ -46,7 +46,7 @@ def risk_by_quantile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH s AS ({_SCORES}), {_FLAGS}, f AS (SELECT row_id, string_agg(DISTINCT rule_id || ':immediate', ',' ORDER BY rule_id || ':immediate') AS reasons FROM flags WHERE rule_id IN ('L1-04', 'L1-06', 'L1-07-02') AND score >= 0.8 GROUP BY 1)
+    WITH s AS ({_SCORES}), {_FLAGS}, f AS (SELECT row_id, string_agg(DISTINCT rule_id || ':immediate', ',' ORDER BY rule_id || ':immediate') AS reasons FROM flags WHERE rule_id = 'L1-04' AND score >= 0.8 GROUP BY 1)
     SELECT row_id, CASE WHEN reasons IS NULL THEN anomaly_score ELSE greatest(anomaly_score, 0.5) END AS anomaly_score, CASE WHEN reasons IS NULL THEN risk_level ELSE 'High' END AS risk_level, coalesce(reasons, '') AS reasons FROM s LEFT JOIN f USING (row_id)""")
 def policy_floors(spark: SparkSession, d: str) -> DataFrame:
     f = _flags(spark, d)
@@ -141,7 +141,7 @@ def tie_break(spark: SparkSession, d: str) -> DataFrame:
     return C.ordered_by_ladder(_cases(spark, d), ["score", "doc_count", "row_count"], "row_id", 500)
 
 
-_FINDINGS = {"benford_accounts": ("concat_ws('|', company_code, gl_account)", "mad", "WHERE deviates"), "activity_shift_periods": ("concat_ws('|', unit, period, gl_account)", "score", "WHERE score IS NOT NULL"), "shape_shift_periods": ("concat_ws('|', unit, period, gl_account)", "distance", ""), "round_density": ("concat_ws('|', axis, key)", "excess", ""), "trend_break": ("gl_account", "dominant", ""), "sign_bias": ("gl_account", "same_sign", "")}
+_FINDINGS = {"benford_accounts": ("concat_ws('|', company_code, gl_account)", "mad", "WHERE deviates"), "activity_shift": ("concat_ws('|', unit, period, gl_account)", "score", "WHERE score IS NOT NULL"), "shape_shift": ("concat_ws('|', unit, period, gl_account)", "distance", ""), "round_density": ("concat_ws('|', axis, key)", "excess", ""), "trend_break": ("gl_account", "dominant", ""), "sign_bias": ("gl_account", "same_sign", "")}
 
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS finding, {key} AS subject, {v}::DOUBLE AS measure FROM ({A._SQL[k]}) {cond}" for k, (key, v, cond) in _FINDINGS.items()))

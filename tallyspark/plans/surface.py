@@ -12,6 +12,8 @@ from ..session import read
 from .ledger import BASE, BLANK, C, D, Query
 
 TABLES = ("general_ledger", "employees", "purchase_order_headers", "goods_receipt_headers", "vendor_invoice_headers", "payment_allocations")
+#: Tables beside those that ad-hoc statements may read.
+OWN_TABLES = (*TABLES, "contract_v2_group_top_case_eval")
 
 #: Preset statements; each runs as it is on Spark, and on other engines of the same dialect.
 PRESETS = {
@@ -46,6 +48,29 @@ PRESETS = {
     "user_activity": f"""
         SELECT lower(trim(created_by)) AS user_name, count(*) AS line_count, count(DISTINCT document_id) AS documents, round(avg(CASE WHEN hour(posting_date) >= 22 OR hour(posting_date) < 6 THEN 1e0 ELSE 0e0 END), 6) AS late_share, round(avg({BASE}), 2) AS mean_amount
         FROM general_ledger WHERE created_by IS NOT NULL GROUP BY lower(trim(created_by))""",
+    "period_end_large": f"""
+        SELECT row_id, document_id, gl_account, {BASE} AS amount FROM general_ledger WHERE (datediff(last_day(CAST(posting_date AS DATE)), CAST(posting_date AS DATE)) <= 5 OR day(posting_date) <= 5) AND {BASE} >= 50000 ORDER BY amount DESC, row_id LIMIT 1000""",
+    "digit_shares": f"""
+        WITH x AS (SELECT substring(CAST(CAST({BASE} AS BIGINT) AS VARCHAR), 1, 1) AS digit FROM general_ledger WHERE {BASE} >= 1), n AS (SELECT digit, count(*) AS c FROM x GROUP BY digit)
+        SELECT digit, c AS line_count, round(c / (SELECT sum(c) FROM n), 6) AS observed, round(log10(1 + 1e0 / CAST(digit AS DOUBLE)), 6) AS expected FROM n""",
+    "intercompany_check": f"""
+        SELECT company_code, trading_partner, round(sum({D}), 2) AS debit, round(sum({C}), 2) AS credit, round(sum({D} - {C}), 2) AS net FROM general_ledger WHERE lower(trim(business_process)) = 'intercompany' OR lower(trim(document_type)) = 'ic' GROUP BY company_code, trading_partner""",
+    "suspense_aging": f"""
+        SELECT gl_account, CASE WHEN {BLANK("reference")} THEN 'open' ELSE 'cleared' END AS state, count(*) AS line_count, round(sum({D}), 2) AS debit FROM general_ledger WHERE gl_account LIKE '19%' OR gl_account LIKE '29%' OR lower(line_text) LIKE '%suspense%' OR lower(line_text) LIKE '%clearing%'
+        GROUP BY gl_account, CASE WHEN {BLANK("reference")} THEN 'open' ELSE 'cleared' END""",
+    "process_users": "SELECT lower(trim(created_by)) AS user_name, count(DISTINCT business_process) AS processes, count(*) AS line_count FROM general_ledger WHERE created_by IS NOT NULL AND business_process IS NOT NULL GROUP BY lower(trim(created_by)) HAVING count(DISTINCT business_process) > 2",
+    "manual_texts": "SELECT header_text, count(*) AS line_count FROM general_ledger WHERE lower(trim(source)) = 'manual' AND header_text IS NOT NULL GROUP BY header_text ORDER BY line_count DESC, header_text LIMIT 20",
+    "account_list": f"SELECT gl_account, count(*) AS line_count, count(DISTINCT document_id) AS documents, min(posting_date) AS first_posting, max(posting_date) AS last_posting, round(sum({BASE}), 2) AS amount FROM general_ledger WHERE gl_account IS NOT NULL GROUP BY gl_account",
+    "yearly_estimates": f"SELECT CAST(fiscal_year AS VARCHAR) AS fiscal_year, gl_account, round(sum({D} - {C}), 2) AS net, count(*) AS line_count FROM general_ledger WHERE substring(gl_account, 1, 2) IN ('15', '16', '25', '26') GROUP BY fiscal_year, gl_account",
+    "vendor_details": "SELECT vendor_id, count(DISTINCT document_id) AS invoices, round(sum(gross_amount), 2) AS gross, CAST(sum(CASE WHEN is_paid THEN 1 ELSE 0 END) AS BIGINT) AS paid FROM vendor_invoice_headers WHERE vendor_id IS NOT NULL GROUP BY vendor_id",
+    "label_stats": "SELECT theme_label, band, count(*) AS cases, round(avg(CAST(doc_count AS DOUBLE)), 6) AS mean_documents, round(avg(CAST(rule_count AS DOUBLE)), 6) AS mean_rules FROM contract_v2_group_top_case_eval GROUP BY theme_label, band",
+    "latest_report": "SELECT case_id, row_id, band FROM contract_v2_group_top_case_eval WHERE evaluated_at IS NOT NULL ORDER BY evaluated_at DESC, row_id DESC LIMIT 1",
+    "report_rules": "SELECT theme_id, sum(rule_count) AS rules, max(doc_count) AS documents FROM contract_v2_group_top_case_eval WHERE theme_id IS NOT NULL GROUP BY theme_id",
+    "queue_rows": "SELECT row_id, case_id, coalesce(rank, 999999) AS place FROM contract_v2_group_top_case_eval WHERE band IS NOT NULL ORDER BY coalesce(rank, 999999), row_id LIMIT 500",
+    "materiality": f"""
+        SELECT company_code, round(sum(CASE WHEN gl_account LIKE '4%' AND NOT coalesce(lower(header_text), '') LIKE '%closing%' THEN {C} - {D} ELSE 0 END), 2) AS revenue, round(sum(CASE WHEN (gl_account LIKE '5%' OR gl_account LIKE '6%') AND NOT coalesce(lower(header_text), '') LIKE '%closing%' THEN {D} - {C} ELSE 0 END), 2) AS expense
+        FROM general_ledger GROUP BY company_code""",
+    "process_stats": f"SELECT coalesce(business_process, '-') AS process, count(*) AS line_count, count(DISTINCT document_id) AS documents, round(sum({BASE}), 2) AS amount, round(avg({BASE}), 4) AS mean_amount FROM general_ledger GROUP BY coalesce(business_process, '-')",
     "overview": f"""
         SELECT count(*) AS line_count, count(DISTINCT document_id) AS documents, count(DISTINCT gl_account) AS accounts, count(DISTINCT created_by) AS users, count(DISTINCT trading_partner) AS partners, count(DISTINCT company_code) AS companies, round(sum({D}), 2) AS debit, round(sum({C}), 2) AS credit,
         CAST(sum(CASE WHEN {BLANK("approved_by")} THEN 1 ELSE 0 END) AS BIGINT) AS unapproved, datediff(max(CAST(posting_date AS DATE)), min(CAST(posting_date AS DATE))) AS days FROM general_ledger""",
@@ -55,6 +80,8 @@ PRESETS = {
 #: Where another engine spells a function differently.
 OTHER_DIALECT = {
     "weekend_midnight": PRESETS["weekend_midnight"].replace("weekday(posting_date) IN (5, 6)", "isodow(posting_date) IN (6, 7)"),
+    "period_end_large": PRESETS["period_end_large"].replace("datediff(last_day(CAST(posting_date AS DATE)), CAST(posting_date AS DATE))", "date_diff('day', CAST(posting_date AS DATE), last_day(CAST(posting_date AS DATE)))"),
+    "digit_shares": PRESETS["digit_shares"].replace("CAST(CAST(", "CAST(CAST(trunc(").replace(" AS BIGINT) AS VARCHAR)", ") AS BIGINT) AS VARCHAR)"),
     "overview": PRESETS["overview"].replace("datediff(max(CAST(posting_date AS DATE)), min(CAST(posting_date AS DATE)))", "max(CAST(posting_date AS DATE)) - min(CAST(posting_date AS DATE))"),
 }
 
@@ -65,7 +92,7 @@ def spark_sql(text: str) -> str:
     return re.sub(r"trim\(([^(),]*(?:\([^()]*\))?), ' '\)", r"trim(\1)", text)
 
 
-def views(spark: SparkSession, d: str, tables: Iterable[str] = TABLES) -> None:
+def views(spark: SparkSession, d: str, tables: Iterable[str] = OWN_TABLES) -> None:
     for t in tables:
         read(spark, d, t).createOrReplaceTempView(t)
 
@@ -198,9 +225,30 @@ def _run(name: str) -> Query:
     return lambda spark, d: preset(spark, d, name)
 
 
+#: Statements that the guard must let through or refuse; {g} stands for a read of the ledger.
+GUARDED = (
+    ("{g} WHERE upload_batch_id = 'a'", True), ("{g} g WHERE g.upload_batch_id IN ('a', 'b') AND row_id > 0", True), ("{g}", False), ("{g} WHERE 'upload_batch_id' = 'upload_batch_id'", False), ("{g} WHERE upload_batch_id = upload_batch_id OR true", False),
+    ("{g} WHERE upload_batch_id = 'a' UNION ALL {g}", False), ("DROP TABLE general_ledger", False), ("SELECT * FROM secrets", False), ("WITH x AS ({g} WHERE upload_batch_id = 'a') SELECT count(*) FROM x", True), ("SELECT * FROM payment_allocations", True),
+)
+
+
+def guard_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """(statement, accepted) of GUARDED."""
+    views(spark, d)
+    out = []
+    for text, _ in GUARDED:
+        try:
+            guarded(spark, text.format(g="SELECT * FROM general_ledger"))
+            out.append((text, True))
+        except Rejected:
+            out.append((text, False))
+    return spark.createDataFrame(out, "statement string, accepted boolean")
+
+
 def queries() -> dict[str, Query]:
-    return {f"sql_{k}": _run(k) for k in PRESETS}
+    return {f"sql_{k}": _run(k) for k in PRESETS} | {"sql_guard_verdicts": guard_verdicts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"sql_{k}": OTHER_DIALECT.get(k, s) for k, s in PRESETS.items()}
+    verdicts = ", ".join("('" + t.replace("'", "''") + f"', {str(ok).lower()})" for t, ok in GUARDED)
+    return {f"sql_{k}": OTHER_DIALECT.get(k, s) for k, s in PRESETS.items()} | {"sql_guard_verdicts": f"SELECT * FROM (VALUES {verdicts}) t(statement, accepted)"}
