@@ -91,7 +91,9 @@ class Encoder:
             if self.rank[t] < 0:
                 self.rank[t], self.left[t], self.right[t] = r, ia, ib
         self.auto = ahocorasick.Automaton()
+        self.raw = [b""] * size
         for word, i in ids.items():
+            self.raw[i] = word.encode("latin-1")
             # a longer token that no merge makes can't come out of the merges
             if len(word) == 1 or self.rank[i] >= 0:
                 self.length[i] = len(word)
@@ -185,6 +187,10 @@ class Encoder:
     def encode(self, text: str | None) -> list[int]:
         return array("i", self.encode_bytes(text)).tolist()
 
+    def decode(self, ids: list[int] | None) -> str:
+        """The text of ids that encode() gave; bytes of ids that end within a character become the usual replacement."""
+        return b"".join(map(self.raw.__getitem__, ids or [])).decode("utf-8", "replace")
+
     def count(self, text: str | None) -> int:
         """The number of ids."""
         return len(self.encode_bytes(text)) // 4

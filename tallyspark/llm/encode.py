@@ -57,3 +57,17 @@ def count_tokens(df: DataFrame, keep: list[str], text_col: str, path: str | None
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*keep, "n_tokens"])
 
     return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+
+
+def decode_corpus(df: DataFrame, id_col: str, ids_col: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(id_col, text): the texts that ids stand for; no ids give an empty text."""
+    schema = T.StructType([df.schema[id_col], T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, pattern)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([enc.decode(x) for x in part.column(1).to_pylist()], pa.string())], names=schema.names)
+
+    return df.select(id_col, ids_col).mapInArrow(run, schema)

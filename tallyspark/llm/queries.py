@@ -44,18 +44,24 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_digest(spark: SparkSession, d: str) -> DataFrame:
-    """Digests of each load, added up per account, with the certified rank error of what they estimate."""
+    """Digests of each load, added up per account: the exact values read out of their brackets, and whether the estimates are within 1 % of the ranks, as the counting pass certifies."""
     gl = read(spark, d, "general_ledger").filter("gl_account is not null")
     per_load = digest.digests(gl.withColumn("of", F.to_json(F.struct("gl_account", F.coalesce("upload_batch_id", F.lit("")).alias("load")))), "of", F.col("local_amount"))
     parts = per_load.select(F.get_json_object("of", "$.gl_account").alias("gl_account"), "means", "weights", "low", "high")
     e = digest.exact_percentiles(gl, "gl_account", F.col("local_amount"), (50, 99), digest.merge(parts, "gl_account"))
-    return e.select("gl_account", "percentile", "n", "estimate", "value", "rank_error")
+    return e.select("gl_account", F.col("percentile").cast("int").alias("percentile"), "n", "value", (F.col("rank_error") <= 0.01 * F.col("n") + 1).alias("certified"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(read(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """A digest of each text as its ids decode to it."""
+    ids = encode.encode_corpus(read(spark, d, "documents"), "doc_id", "text")
+    return encode.decode_corpus(ids, "doc_id", "ids").select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(mixing.with_tokens(read(spark, d, "documents")), read(spark, d, "mix_targets"))
 
@@ -65,6 +71,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(mixing.with_tokens(read(spark, d, "documents")), targets), targets)
 
 
+def p9_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source's share of the mix is within the bound of its weight, and no document is used more often than it may be."""
+    docs, targets = mixing.with_tokens(read(spark, d, "documents")), read(spark, d, "mix_targets")
+    mixed = written(mixing.mix(docs, targets), "mix")
+    weights = spark.createDataFrame([(r["source"], float(r["weight"])) for r in mixing.plan(docs, targets)], "source string, weight double")
+    s = mixing.shares(mixed, targets).join(F.broadcast(weights), "source").join(targets.select("source", "max_repeats"), "source")
+    ok = (F.abs(F.col("actual_share") - F.col("weight")) <= 2 * F.col("bound") + 1e-9) & (F.col("most_copies") <= F.col("max_repeats"))
+    return s.select("source", F.round("weight", 9).alias("weight"), ok.alias("kept"))
+
+
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(read(spark, d, "documents"), "doc_id", "text")
 
@@ -75,7 +91,7 @@ def p10_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_classes, p3_recall, p6_found, p6_percentiles, p6_digest, p8_ids, p9_mix, p9_shares, p10_pieces, p10_audit)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_classes, p3_recall, p6_found, p6_percentiles, p6_digest, p8_ids, p8_decoded, p9_mix, p9_shares, p9_bounds, p10_pieces, p10_audit)}
 
 
 _DOCS = """
@@ -112,6 +128,15 @@ def oracle_sql() -> dict[str, str]:
             WITH {_DOCS.replace("min(posting_date::DATE)", "DATE '1970-01-01'").replace("max(CASE WHEN NOT isnan(local_amount) THEN local_amount END)", "1.0")}, {_CLASSES},
               q AS (SELECT * FROM sets WHERE try_cast(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) % 50 = 0)
             SELECT count(*) AS links, true AS enough FROM q JOIN sets b ON q.grp = b.grp AND q.id <> b.id WHERE len(list_intersect(q.s, b.s)) >= 0.5 * (len(q.s) + len(b.s) - len(list_intersect(q.s, b.s)))""",
+        "p6_digest": """
+            WITH r AS (SELECT gl_account, local_amount AS v, row_number() OVER (PARTITION BY gl_account ORDER BY local_amount) AS k, count(*) OVER (PARTITION BY gl_account) AS n
+                       FROM general_ledger WHERE gl_account IS NOT NULL AND local_amount IS NOT NULL AND NOT isnan(local_amount)),
+                 p AS (SELECT unnest([50, 99])::INTEGER AS percentile)
+            SELECT gl_account, percentile, n, v AS value, true AS certified FROM r JOIN p ON k = (n * percentile + 99) // 100""",
+        "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
+        "p9_bounds": """
+            WITH d AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND length(text) > 0), t AS (SELECT m.source, max(target_share) AS s, max(max_repeats) AS r, count(d.source) > 0 AND coalesce(max(max_repeats), 1) > 0 AS present FROM mix_targets m LEFT JOIN d USING (source) WHERE m.source IS NOT NULL AND target_share > 0 GROUP BY 1)
+            SELECT source, round(CASE WHEN present THEN s / (SELECT sum(s) FROM t WHERE present) ELSE 0 END, 9) AS weight, true AS kept FROM t""",
         "p10_audit": "SELECT 0::BIGINT AS over_limit, 0::BIGINT AS altered, 0::BIGINT AS gaps, 0::BIGINT AS unordered, 0::BIGINT AS unlapped, 0::BIGINT AS unfinished",
         "p6_found": """
             WITH v AS (SELECT gl_account, abs(local_amount) AS a FROM general_ledger WHERE gl_account IS NOT NULL AND local_amount IS NOT NULL AND NOT isnan(local_amount)),
