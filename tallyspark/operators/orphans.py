@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .skew import joined_by_key
 
 
@@ -45,13 +46,14 @@ def plain_key(c: Column) -> Column:
 
 def failing_keys(child: DataFrame, parent: DataFrame) -> DataFrame:
     """(key, state, valid_from) for keys some of whose rows fail. child: (key, created); parent: (key, status, created)."""
-    refs = child.filter("key is not null").groupBy("key").agg(F.min("created").alias("first_use"))
+    # written, so that the referring table is read once for both joins
+    refs = written(child.filter("key is not null").groupBy("key").agg(F.min("created").alias("first_use")), "references")
     alive = F.coalesce(F.col("status") != "deleted", F.lit(True))
-    have = parent.filter("key is not null").groupBy("key").agg(
+    have = written(parent.filter("key is not null").groupBy("key").agg(
         F.count(F.when(alive, 1)).alias("alive"),
         F.count(F.when(alive & F.col("created").isNull(), 1)).alias("undated"),
         F.min(F.when(alive, F.col("created"))).alias("first"),
-    )
+    ), "parents")
     missing = refs.join(have, "key", "left_anti").select("key", F.lit("missing").alias("state"), F.lit(None).cast(parent.schema["created"].dataType).alias("valid_from"))
     state = F.when(F.col("alive") == 0, "deleted").when((F.col("undated") == 0) & (F.col("first_use") < F.col("first")), "late")
     return missing.unionByName(refs.join(have, "key").select("key", state.alias("state"), F.col("first").alias("valid_from")).filter("state is not null"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import orphans, parse, profile, skew
-from ..session import new_path, read, shared_dir, written
+from ..session import at_once, new_path, read, shared_dir, written
 
 #: Columns of general_ledger that are profiled: all but the row's own identifier and the load itself.
 PROFILED = [
@@ -74,7 +74,7 @@ def p5_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    found = [orphans.orphans(read(spark, d, r.table), read(spark, d, r.parent), r) for r in orphans.LEDGER_REFERENCES]
+    found = at_once(*((lambda r=r: orphans.orphans(read(spark, d, r.table), read(spark, d, r.parent), r)) for r in orphans.LEDGER_REFERENCES))
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
