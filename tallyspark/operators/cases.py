@@ -120,17 +120,17 @@ def ordered_by_ladder(df: DataFrame, ladder: list[str], key: str, n: int) -> Dat
     return df.orderBy(*(F.col(c).desc_nulls_last() for c in ladder), key).limit(n)
 
 
-def recall_at_k(df: DataFrame, group: str, scenario: str, score: str, key: str, top: float = 0.01, folds: int = 5) -> DataFrame:
+def recall_at_k(df: DataFrame, group: str, scenario: str, score: str, top: float = 0.01, folds: int = 5) -> DataFrame:
     """(fold, scenario, n_truth, n_hit, recall, k, fold_size): of each fold (groups by digest, never split) and scenario how many cases are among the k = max(1, floor(top x size)) best, all that tie with the last included."""
     from .learn import bucket
 
-    x = df.filter(F.col(score).isNotNull()).withColumn("fold", bucket(F.col(group), folds).cast("int"))
-    r = running_count(x.select("fold", score), score, "_r", ["fold"], descending=True)
+    x = df.filter(F.col(score).isNotNull()).select(bucket(F.col(group), folds).cast("int").alias("fold"), F.col(scenario).alias("scenario"), F.col(score).cast("double").alias("_s"))
+    r = running_count(x.select("fold", "_s"), "_s", "_r", ["fold"], descending=True)
     k = F.greatest(F.lit(1), F.floor(F.col("_all") * top))
     # the k-th best is the largest value at or below which k rows lie
-    edge = r.withColumn("k", k).filter(F.col("_r") >= F.col("k")).groupBy("fold").agg(F.max(score).alias("_edge"), F.max("k").alias("k"), F.max("_all").alias("fold_size"))
+    edge = r.withColumn("k", k).filter(F.col("_r") >= F.col("k")).groupBy("fold").agg(F.max("_s").alias("_edge"), F.max("k").alias("k"), F.max("_all").alias("fold_size"))
     y = x.join(F.broadcast(edge), "fold")  # a row per fold
-    g = y.filter(F.col(scenario).isNotNull()).groupBy("fold", scenario, "k", "fold_size").agg(F.count(F.lit(1)).alias("n_truth"), F.count_if(F.col(score) >= F.col("_edge")).alias("n_hit"))
+    g = y.filter(F.col("scenario").isNotNull()).groupBy("fold", "scenario", "k", "fold_size").agg(F.count(F.lit(1)).alias("n_truth"), F.count_if(F.col("_s") >= F.col("_edge")).alias("n_hit"))
     return g.withColumn("recall", F.col("n_hit") / F.col("n_truth"))
 
 

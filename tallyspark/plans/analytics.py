@@ -412,13 +412,17 @@ def scaling_policy(spark: SparkSession, d: str) -> DataFrame:
     SELECT created_by, row_id, pos AS "at", valid, round(total, 6) AS total, round(CASE WHEN valid < 16 THEN 0 ELSE first_amount END, 6) AS first_amount, periods::DOUBLE AS periods FROM w WHERE pos >= 16 OR (n < 16 AND pos = n)""")
 def user_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Windows of each user's lines, told by what their steps add up to and the first step (0 where it is padding)."""
-    x = gl_of(spark, d).withColumn("amount", F.log1p(base_amount()))
-    undated = F.lit(10_000_000) + F.floor(F.col("row_id") / 100_000)  # after all days, as undated lines come last
-    y = L.sequences(x, "created_by", F.coalesce(F.unix_date(F.col("posting_date").cast("date")).cast("bigint"), undated), ["posting_date", "row_id"], ["amount", "fiscal_period"])
+    y = sequences_of_users(spark, d)
     total = lambda k: F.aggregate("steps", F.lit(0.0), lambda a, s: a + s[k])
     return y.select("created_by", "row_id", "at", F.col("valid").cast("bigint").alias("valid"), F.round(total(0), 6).alias("total"), F.round(F.col("steps")[0][0], 6).alias("first_amount"), total(1).alias("periods"))
 
 
+def sequences_of_users(spark: SparkSession, d: str) -> DataFrame:
+    x = gl_of(spark, d).withColumn("amount", F.log1p(base_amount()))
+    undated = F.lit(10_000_000) + F.floor(F.col("row_id") / 100_000)  # after all days, as undated lines come last
+    return L.sequences(x, "created_by", F.coalesce(F.unix_date(F.col("posting_date").cast("date")).cast("bigint"), undated), ["posting_date", "row_id"], ["amount", "fiscal_period"])
+
+
 @query("""
     WITH tr AS (SELECT row_id, created_by FROM general_ledger WHERE posting_date < TIMESTAMP '2024-07-01'), te AS (SELECT row_id, created_by FROM general_ledger WHERE posting_date >= TIMESTAMP '2024-07-01')
     SELECT row_id, 'train' AS split FROM tr UNION ALL SELECT row_id, 'test' FROM te WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.created_by = te.created_by)""")

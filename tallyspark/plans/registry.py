@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, intake, ledger, problems, review, signals, surface
+from . import analytics, intake, ledger, problems, review, signals, streams, surface
 
-MODULES = (problems, ledger, analytics, surface, intake, review, signals)
+MODULES = (problems, ledger, analytics, surface, intake, review, signals, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -191,7 +191,7 @@ _FOLDS = """x AS (SELECT row_id, theme_id, band, score, (('0x' || substring(md5(
 
 def _recall(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "contract_v2_group_top_case_eval").filter("score is not null and not isnan(score)")
-    return C.recall_at_k(c.select("row_id", "theme_id", F.col("band").alias("scenario"), "score"), "theme_id", "scenario", "score", "row_id")
+    return C.recall_at_k(c.select("row_id", "theme_id", F.col("band").alias("scenario"), "score"), "theme_id", "scenario", "score")
 
 
 @query(f"WITH {_FOLDS} SELECT fold, scenario, k, fold_size, n_truth, n_hit, round(n_hit / n_truth, 9) AS recall FROM rk")

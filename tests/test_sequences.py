@@ -6,7 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tallyspark.operators import learn
-from tallyspark.plans import registry
+from tallyspark.plans import analytics
 
 
 def windows(lines, length, stride=1):
@@ -26,7 +26,7 @@ def test_user_sequences_cover_whole_histories(spark, small):
     gl = spark.read.parquet(f"{small}/general_ledger.parquet").filter("created_by is not null").collect()
     base = lambda r: max(r["debit_amount"] or 0.0, r["credit_amount"] or 0.0)
     want = windows([(r["created_by"], r["posting_date"].timestamp(), r["row_id"], [math.log1p(base(r)), float(r["fiscal_period"] or 0)]) for r in gl], 16)
-    got = registry.queries()["user_sequences"](spark, small).collect()
+    got = analytics.sequences_of_users(spark, small).collect()
     assert len(got) == len(want) and {r["created_by"] for r in got} == {r["created_by"] for r in gl}
     for r in got:
         at, valid, steps = want[r["created_by"], r["row_id"]]
