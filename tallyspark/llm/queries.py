@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read, written
+from ..session import read, spread, written
 from . import digest, encode, mixing, neardup, pieces, topn
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    cases = read(spark, d, "contract_v2_group_top_case_eval")
+    cases = spread(read(spark, d, "contract_v2_group_top_case_eval").select("theme_id", "case_id", "score"))
     return topn.top_n_per_group(cases, "theme_id", "score", "case_id", 3).select("theme_id", "case_id", "rank_no")
 
 
@@ -53,27 +53,27 @@ def p6_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encode_corpus(read(spark, d, "documents"), "doc_id", "text")
+    return encode.encode_corpus(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     """A digest of each text as its ids decode to it."""
-    ids = encode.encode_corpus(read(spark, d, "documents"), "doc_id", "text")
+    ids = encode.encode_corpus(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return encode.decode_corpus(ids, "doc_id", "ids").select("doc_id", F.md5("text").alias("text_md5"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(mixing.with_tokens(read(spark, d, "documents")), read(spark, d, "mix_targets"))
+    return mixing.mix(mixing.with_tokens(spread(read(spark, d, "documents").select("doc_id", "source", "text"))), read(spark, d, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = read(spark, d, "mix_targets")
-    return mixing.shares(mixing.mix(mixing.with_tokens(read(spark, d, "documents")), targets), targets)
+    return mixing.shares(mixing.mix(mixing.with_tokens(spread(read(spark, d, "documents").select("doc_id", "source", "text"))), targets), targets)
 
 
 def p9_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Whether each source's share of the mix is within the bound of its weight, and no document is used more often than it may be."""
-    docs, targets = mixing.with_tokens(read(spark, d, "documents")), read(spark, d, "mix_targets")
+    docs, targets = mixing.with_tokens(spread(read(spark, d, "documents").select("doc_id", "source", "text"))), read(spark, d, "mix_targets")
     mixed = written(mixing.mix(docs, targets), "mix")
     weights = spark.createDataFrame([(r["source"], float(r["weight"])) for r in mixing.plan(docs, targets)], "source string, weight double")
     s = mixing.shares(mixed, targets).join(F.broadcast(weights), "source").join(targets.select("source", "max_repeats"), "source")
@@ -82,11 +82,11 @@ def p9_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.split_oversized(read(spark, d, "documents"), "doc_id", "text")
+    return pieces.split_oversized(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p10_audit(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", "text")
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
     return pieces.audit(docs, pieces.split_oversized(docs, "doc_id", "text"), "doc_id", "text")
 
 
