@@ -69,10 +69,11 @@ def zscores(df: DataFrame, value: Column, name: str, s: Settings = DEFAULT) -> D
     acc = written(acc.withColumn("_c", F.substring("_a", 1, 1)), "accounts")
     spread = lambda mean: F.sum(F.col("s2") * F.greatest(F.col("k") - 1, F.lit(0)) + F.col("k") * F.pow(F.col("m") - mean, 2))
     root = lambda m2, k: F.when(k > 1, F.sqrt(m2 / F.greatest(k - 1, F.lit(1)))).otherwise(0.0)
-    one = acc.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.try_divide(F.sum(F.col("k") * F.col("m")), F.sum("k")).alias("m")).first()
+    within, between = F.sum(F.col("s2") * F.greatest(F.col("k") - 1, F.lit(0))), F.sum(F.col("k") * F.col("m") * F.col("m"))
+    one = acc.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.try_divide(F.sum(F.col("k") * F.col("m")), F.sum("k")).alias("m"), within.alias("within"), between.alias("between")).first()
     if not one["k"] or one["n"] < s.zscore_least:
         return df.withColumn(name, F.lit(None).cast("double"))
-    whole = acc.agg(spread(F.lit(one["m"])).alias("m2")).first()["m2"]
+    whole = max(0.0, one["within"] + one["between"] - one["k"] * one["m"] ** 2)
     w = Window.partitionBy("_c")  # over accounts
     c = acc.withColumn("cm", F.try_divide(F.sum(F.col("k") * F.col("m")).over(w), F.sum("k").over(w))).groupBy("_c").agg(F.sum("n").alias("cn"), F.sum("k").alias("ck"), F.max("cm").alias("cm"), spread(F.col("cm")).alias("cs"))
     pick = lambda a, b, g: F.when(F.col("n") >= s.zscore_group, a).when(F.col("cn") >= s.zscore_group, b).otherwise(F.lit(float(g)))

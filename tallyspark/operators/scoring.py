@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import melted, quantiles, running_count
+from ..session import at_once
 from .rules import RULES
 from .skew import joined_by_key
 
@@ -113,20 +114,21 @@ def rank_of(df: DataFrame, key: str, value: str, name: str, descending: bool = T
 
 
 def reciprocal_rank_fusion(df: DataFrame, key: str, scores: list[str], k: int = 60) -> DataFrame:
-    """(key, rrf): the sum of 1 / (k + rank) over the rankers; a null score does not count."""
+    """(key, rrf): the sum of 1 / (k + rank) over the rankers; a null score does not count. Keys must be unique."""
     out = df.select(key)
-    for c in scores:
-        out = out.join(rank_of(df.select(key, c), key, c, f"r_{c}"), key, "left")
+    for r in at_once(*((lambda c=c: rank_of(df.select(key, c).filter(F.col(c).isNotNull()), key, c, f"r_{c}")) for c in scores)):
+        out = out.join(r, key, "left")
     return out.select(key, reduce(lambda a, b: a + b, (F.coalesce(1 / (k + F.col(f"r_{c}")), F.lit(0.0)) for c in scores)).alias("rrf"))
 
 
 def noisy_or(df: DataFrame, key: str, scores: list[str]) -> DataFrame:
-    """(key, noisy_or): 1 - product of (1 - ecdf) over the scores' zero-preserving ECDFs."""
+    """(key, noisy_or): 1 - product of (1 - ecdf) over the scores' zero-preserving ECDFs. Keys must be unique."""
     from ..functions import ecdf
 
-    out = df
-    for c in scores:
-        out = ecdf(out, c, f"e_{c}")
+    out = df.select(key)
+    for e in at_once(*((lambda c=c: ecdf(df.select(key, c).filter(F.col(c) > 0), c, f"e_{c}").select(key, f"e_{c}")) for c in scores)):
+        out = out.join(e, key, "left")
+    out = out.na.fill(0.0, [f"e_{c}" for c in scores])
     return out.select(key, (1 - reduce(lambda a, b: a * b, (1 - F.col(f"e_{c}") for c in scores))).alias("noisy_or"))
 
 

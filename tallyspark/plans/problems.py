@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import orphans, parse, profile, skew
-from ..session import at_once, new_path, read, shared_dir, written
+from ..session import at_once, code_mark, new_path, read, shared_dir, written
 
 #: Columns of general_ledger that are profiled: all but the row's own identifier and the load itself.
 PROFILED = [
@@ -22,7 +22,7 @@ PROFILED = [
 def _ledger_counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The ledger and its value counts, from a store in the shared folder that is kept and brought up to date load by load."""
     gl = read(spark, d, "general_ledger")
-    place = hashlib.sha256(f"{d}/general_ledger".encode()).hexdigest()[:16]
+    place = hashlib.sha256(f"{d}/general_ledger {code_mark()}".encode()).hexdigest()[:16]
     store = profile.ValueCountStore(spark, f"{shared_dir(spark)}/tallyspark/value-counts/general_ledger-{place}")
     return gl, store.sync(gl, "upload_batch_id", PROFILED).current()
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import hashlib
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,18 +97,31 @@ def file_marks(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
+@functools.cache
+def code_mark() -> str:
+    """Of the code that makes results: what is kept beyond a session must not outlive a change of it."""
+    here = Path(__file__).parent
+    files = sorted([here / "config.py", *(here / "functions").glob("*.py"), *(here / "operators").glob("*.py")])
+    return hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:16]
+
+
 def cached(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame], version: str = "1") -> DataFrame:
-    """The table that make() gives, kept in the shared folder under a fingerprint of the input files: computed once as long as these stay as they are. Only a complete table (with its mark of success) is
-    read; of two sessions that make it at once, one's copy is kept."""
-    key = hashlib.sha256("\n".join([name, version, *(m for i in inputs for m in file_marks(spark, i))]).encode()).hexdigest()[:24]
-    to = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallyspark/cache/{name}-{key}")
-    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    """The table that make() gives, kept in the shared folder under a fingerprint of the input files and the code: computed once as long as these stay as they are. Only a complete table is
+    read; of two sessions that make it at once, one's copy is kept. Tables of the same name and inputs with another fingerprint are removed after an hour."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    digest = lambda *x: hashlib.sha256("\n".join(x).encode()).hexdigest()[:24]
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallyspark/cache/{name}-{digest(*inputs)}")
+    to = jvm.org.apache.hadoop.fs.Path(folder, digest(version, code_mark(), *(m for i in inputs for m in file_marks(spark, i))))
+    fs = to.getFileSystem(conf)
     if not fs.exists(to):
         df = make()
         path = new_path(spark, name)
         df.write.mode("errorifexists").parquet(path)
-        fs.mkdirs(to.getParent())
-        if not fs.exists(to) and not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(path), to):
+        fs.mkdirs(folder)
+        for old in fs.listStatus(folder):
+            if old.getModificationTime() < (time.time() - 3600) * 1000:
+                fs.delete(old.getPath(), True)
+        if not fs.exists(to) and not fs.rename(jvm.org.apache.hadoop.fs.Path(path), to):
             return spark.read.schema(df.schema).parquet(path)
     return spark.read.parquet(to.toString())
 
