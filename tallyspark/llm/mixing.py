@@ -10,9 +10,8 @@ ever in one task.
 Defined results: documents of sources without a target, with a null source or without tokens take no part; a listed source without
 documents has the actual share 0, and the others divide its share in proportion to their weights; without a budget, the
 budget is the largest total at which every present source still has its share within its repeats; rows of equal id
-are told apart by nothing else and count each; an empty table gives an empty mix. A source's share of the mix differs from its weight by at
-most its largest document over the budget (the last document of a source may fall beyond the cut), so a small mix of large
-documents is as coarse as these are; shares() reports it.
+are told apart by nothing else and count each; an empty table gives an empty mix. A source lacks at the cut
+less than its next document, so a small mix of large documents is as coarse as these are; shares() reports the bound.
 """
 
 from __future__ import annotations
@@ -77,9 +76,14 @@ def mix(tokens: DataFrame, targets: DataFrame, budget: int | None = None, seed:
     return x.filter(in_step < at).unionByName(edge).orderBy("finish_time", "source", "doc_id")
 
 
-def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, n_docs, n_tokens, actual_share, most_copies, bound), one row per listed source; bound: the largest document taken over all tokens, about as far as the share may be off its weight."""
-    got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.max("copy_no").alias("most_copies"), F.max("n_tokens").alias("_most"))
-    j = targets.select("source", "target_share").join(got, "source", "left").na.fill(0, ["n_docs", "n_tokens", "most_copies", "_most"])
-    all_ = F.sum("n_tokens").over(Window.partitionBy())
-    return j.select("source", "target_share", "n_docs", "n_tokens", F.when(all_ > 0, F.col("n_tokens") / all_).otherwise(0.0).alias("actual_share"), "most_copies", F.when(all_ > 0, F.col("_most") / all_).otherwise(0.0).alias("bound"))
+def shares(mixed: DataFrame, targets: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """(source, target_share, n_docs, n_tokens, actual_share, most_copies, bound), one row per listed source; bound: how far the share may be off the source's weight. What a source lacks at the cut is less than its next
+    document, so it is at most the source's largest document (of tokens, or without these of the mix), or its weight's part of what all sources lack, over all tokens."""
+    got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.max("copy_no").alias("most_copies"))
+    most = (mixed if tokens is None else tokens).groupBy("source").agg(F.max("n_tokens").alias("_most"))
+    j = targets.select("source", "target_share").join(got, "source", "left").join(most, "source", "left").na.fill(0, ["n_docs", "n_tokens", "most_copies", "_most"])
+    whole = Window.partitionBy()  # over sources
+    all_, lacking = F.sum("n_tokens").over(whole), F.sum("_most").over(whole)
+    weight = F.when(F.col("_most") > 0, F.col("target_share") / F.sum(F.when(F.col("_most") > 0, F.col("target_share"))).over(whole)).otherwise(0.0)
+    bound = F.when(all_ > 0, F.greatest(F.col("_most").cast("double"), weight * lacking) / all_).otherwise(0.0)
+    return j.select("source", "target_share", "n_docs", "n_tokens", F.when(all_ > 0, F.col("n_tokens") / all_).otherwise(0.0).alias("actual_share"), "most_copies", bound.alias("bound"))

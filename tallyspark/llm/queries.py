@@ -68,7 +68,8 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = read(spark, d, "mix_targets")
-    return mixing.shares(mixing.mix(mixing.with_tokens(spread(read(spark, d, "documents").select("doc_id", "source", "text"))), targets), targets)
+    tokens = mixing.with_tokens(spread(read(spark, d, "documents").select("doc_id", "source", "text")))
+    return mixing.shares(written(mixing.mix(tokens, targets), "mix"), targets, tokens)
 
 
 def p9_bounds(spark: SparkSession, d: str) -> DataFrame:
@@ -76,8 +77,8 @@ def p9_bounds(spark: SparkSession, d: str) -> DataFrame:
     docs, targets = mixing.with_tokens(spread(read(spark, d, "documents").select("doc_id", "source", "text"))), read(spark, d, "mix_targets")
     mixed = written(mixing.mix(docs, targets), "mix")
     weights = spark.createDataFrame([(r["source"], float(r["weight"])) for r in mixing.plan(docs, targets)], "source string, weight double")
-    s = mixing.shares(mixed, targets).join(F.broadcast(weights), "source").join(targets.select("source", "max_repeats"), "source")
-    ok = (F.abs(F.col("actual_share") - F.col("weight")) <= 2 * F.col("bound") + 1e-9) & (F.col("most_copies") <= F.col("max_repeats"))
+    s = mixing.shares(mixed, targets, docs).join(F.broadcast(weights), "source").join(targets.select("source", "max_repeats"), "source")
+    ok = (F.abs(F.col("actual_share") - F.col("weight")) <= F.col("bound") + 1e-9) & (F.col("most_copies") <= F.col("max_repeats"))
     return s.select("source", F.round("weight", 9).alias("weight"), ok.alias("kept"))
 
 
