@@ -256,19 +256,19 @@ def document_rule_detail(spark: SparkSession, d: str) -> DataFrame:
     return x.filter(F.col("document_id") == x.agg(F.min("document_id")).first()[0]).select("row_id", "line_number", "rule_id", "score")
 
 
-@query(f"WITH s AS ({_SCORES}) SELECT gl_account, count(*) AS flagged, round(avg(anomaly_score), 4) AS avg_score, round(sum(debit_amount), 2) AS debit FROM general_ledger JOIN s USING (row_id) WHERE anomaly_score > 0 AND gl_account IS NOT NULL GROUP BY 1 ORDER BY flagged DESC, gl_account LIMIT 10")
+@query(f"WITH s AS ({_SCORES}) SELECT gl_account, count(*) AS flagged, round(avg(anomaly_score), 9) AS avg_score, round(sum(debit_amount), 2) AS debit FROM general_ledger JOIN s USING (row_id) WHERE anomaly_score > 0 AND gl_account IS NOT NULL GROUP BY 1 ORDER BY flagged DESC, gl_account LIMIT 10")
 def accounts_with_most_flags(spark: SparkSession, d: str) -> DataFrame:
     x = _scored(spark, d).filter("anomaly_score > 0 and gl_account is not null")
-    return x.groupBy("gl_account").agg(F.count(F.lit(1)).alias("flagged"), F.round(F.avg("anomaly_score"), 4).alias("avg_score"), F.round(F.sum("debit_amount"), 2).alias("debit")).orderBy(F.desc("flagged"), "gl_account").limit(10)
+    return x.groupBy("gl_account").agg(F.count(F.lit(1)).alias("flagged"), F.round(F.avg("anomaly_score"), 9).alias("avg_score"), F.round(F.sum("debit_amount"), 2).alias("debit")).orderBy(F.desc("flagged"), "gl_account").limit(10)
 
 
 @query(f"""
-    WITH s AS ({_SCORES}) SELECT created_by, count(*) AS line_count, round(avg(coalesce(anomaly_score, 0)), 4) AS avg_score, round(avg(CASE WHEN contains(coalesce(flagged_rules, ''), 'L3-02') THEN 1.0 ELSE 0.0 END), 4) AS manual_rate, round(avg(CASE WHEN contains(coalesce(flagged_rules, ''), 'L3-06') THEN 1.0 ELSE 0.0 END), 4) AS late_rate
+    WITH s AS ({_SCORES}) SELECT created_by, count(*) AS line_count, round(avg(coalesce(anomaly_score, 0)), 9) AS avg_score, round(avg(CASE WHEN contains(coalesce(flagged_rules, ''), 'L3-02') THEN 1.0 ELSE 0.0 END), 9) AS manual_rate, round(avg(CASE WHEN contains(coalesce(flagged_rules, ''), 'L3-06') THEN 1.0 ELSE 0.0 END), 9) AS late_rate
     FROM general_ledger LEFT JOIN s USING (row_id) WHERE created_by IS NOT NULL GROUP BY 1 HAVING count(*) >= 20 ORDER BY avg_score DESC, created_by LIMIT 10""")
 def users_by_risk(spark: SparkSession, d: str) -> DataFrame:
     x = _scored(spark, d).filter("created_by is not null")
-    rate = lambda r: F.round(F.avg(F.when(F.coalesce("flagged_rules", F.lit("")).contains(r), 1.0).otherwise(0.0)), 4)
-    g = x.groupBy("created_by").agg(F.count(F.lit(1)).alias("line_count"), F.round(F.avg("anomaly_score"), 4).alias("avg_score"), rate("L3-02").alias("manual_rate"), rate("L3-06").alias("late_rate")).filter("line_count >= 20")
+    rate = lambda r: F.round(F.avg(F.when(F.coalesce("flagged_rules", F.lit("")).contains(r), 1.0).otherwise(0.0)), 9)
+    g = x.groupBy("created_by").agg(F.count(F.lit(1)).alias("line_count"), F.round(F.avg("anomaly_score"), 9).alias("avg_score"), rate("L3-02").alias("manual_rate"), rate("L3-06").alias("late_rate")).filter("line_count >= 20")
     return g.orderBy(F.desc("avg_score"), "created_by").limit(10)
 
 
