@@ -38,13 +38,21 @@ _END = frozenset(".!?…。！？")
 _CLOSE = frozenset("\"')]}”’」』")
 _HEADING = re.compile(r"(?:#{1,6} |§|\[?[A-Z]{1,3}-?\d+(?:[.-]\d+)*\]?[ .:]|\d+(?:\.\d+)*[.)] |제 ?\d+ ?[장조절]|(?:Section|Chapter|SECTION) )").match
 #: The end of a sentence that the next one follows without white space, as is usual where scripts need none.
-_RUN_ON = re.compile("(?:[。！？…]|(?<=[\uac00-\ud7a3\u3040-\u30ff\u4e00-\u9fff])[.!?])[.!?…。！？\"')\\]}”’」』]*(?=[^\\W_])").finditer
+_RUN_ON = re.compile("[.!?…。！？][.!?…。！？\"')\\]}”’」』]*(?=[^\\W_])").finditer
+#: Marks that end a sentence whatever stands before them; the others do after a letter of such scripts.
+_FULL, _UNSPACED = frozenset("。！？…"), re.compile("[\uac00-\ud7a3\u3040-\u30ff\u4e00-\u9fff]").match
 #: What the tokenizer takes as one piece wherever a text begins with it.
 _CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)").match
 
-#: Last characters of a part after which the cut may be more than one between words.
-_MARKS = np.zeros(0x110000, bool)
-_MARKS[[ord(c) for c in {*_END, *_CLOSE, *" \n\t\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029"}]] = True
+
+
+def _among(chars) -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    table[[ord(c) for c in chars]] = True
+    return table
+
+
+_IS_END, _IS_CLOSE, _IS_SPACE = _among(_END), _among(_CLOSE), _among(" \n\t\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def _strength(before: str, after: str) -> int:
@@ -102,10 +110,15 @@ class Grid:
         self.part_tok, self.part_char = np.cumsum(tokens) - tokens, np.cumsum(size) - size
         tok, chars = self.part_tok[1:], self.part_char[1:]
         strength = np.full(n - 1, WORD, np.int64)
-        for k in np.flatnonzero((_points([p[0] for p in parts[1:]]) != 32) | _MARKS[_points([p[-1] for p in parts[:-1]])]):
+        last = _points([p[-1] for p in parts[:-1]])
+        plain = (_points([p[0] for p in parts[1:]]) == 32) & ~_IS_SPACE[last]  # one space between words
+        strength[plain & _IS_END[last]] = SENTENCE
+        close = np.flatnonzero(plain & _IS_CLOSE[last])
+        strength[close[_IS_END[_points([parts[k][-2:-1] or " " for k in close])]]] = SENTENCE
+        for k in np.flatnonzero(~plain):
             strength[k] = _strength(parts[k], parts[k + 1])
-        ends = np.fromiter((m.end() for m in _RUN_ON(text)), np.int64)
-        if len(ends):
+        ends = [] if text.isascii() else [m.end() for m in _RUN_ON(text) if text[m.start()] in _FULL or (m.start() and _UNSPACED(text, m.start() - 1))]
+        if ends:
             more = []
             for k in np.unique(np.searchsorted(self.part_char, ends, "right") - 1):
                 t, c = self.within(int(k))
